@@ -9,8 +9,10 @@ chunk) and never the table.
 from __future__ import annotations
 
 import hashlib
+import os
 import tempfile
 from collections.abc import Callable, Iterator
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -147,6 +149,13 @@ def sha256(text: str | bytes) -> str:
     return hashlib.sha256(text.encode() if isinstance(text, str) else text).hexdigest()
 
 
+def findable(spark: SparkSession) -> None:
+    """Lets local Python workers import this package where the driver found it only by its own path."""
+    root, env = str(Path(__file__).resolve().parents[2]), spark.sparkContext.environment
+    if root not in os.environ.get("PYTHONPATH", "").split(os.pathsep) and root not in env.get("PYTHONPATH", "").split(os.pathsep):
+        env["PYTHONPATH"] = os.pathsep.join(filter(None, (root, env.get("PYTHONPATH", ""))))
+
+
 def per_batch(df: DataFrame, make: Callable[[pa.RecordBatch], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
     """mapInArrow with a function of one batch."""
 
@@ -155,6 +164,7 @@ def per_batch(df: DataFrame, make: Callable[[pa.RecordBatch], Iterator[pa.Record
             if batch.num_rows:
                 yield from make(batch)
 
+    findable(df.sparkSession)
     return df.mapInArrow(run, schema)
 
 
