@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
-from loomstone.llm import decontamination, jaccard, mixing, token_counts
+from loomstone.llm import decontamination, jaccard, mixing, substring_dedup, token_counts
 
 QUERIES = {
     "op2_mixing": mixing.op2_mixing,
+    "op3_substring_dedup": substring_dedup.op3_substring_dedup,
     "op5_decontamination": decontamination.op5_decontamination,
     "op7_token_counts": token_counts.op7_token_counts,
     "op10_ngram_jaccard_join": jaccard.op10_ngram_jaccard_join,
 }
 SQL: dict[str, str] = {
     "op2_mixing": mixing.SQL,
+    "op3_substring_dedup": substring_dedup.SQL,
     "op5_decontamination": decontamination.SQL,
 }
