@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from loomstone.llm import decontamination, jaccard, mixing, substring_dedup, token_counts
+from loomstone.llm import decontamination, jaccard, lm_scoring, mixing, substring_dedup, token_counts
 
 QUERIES = {
     "op2_mixing": mixing.op2_mixing,
     "op3_substring_dedup": substring_dedup.op3_substring_dedup,
     "op5_decontamination": decontamination.op5_decontamination,
     "op7_token_counts": token_counts.op7_token_counts,
+    "op9_lm_scoring": lm_scoring.op9_lm_scoring,
     "op10_ngram_jaccard_join": jaccard.op10_ngram_jaccard_join,
 }
 SQL: dict[str, str] = {
