@@ -10,7 +10,7 @@ consecutive windows with one anchor form an edge: the words they cover together.
   left, the edges of each one's earliest document, is compared window by window,
   read again at its coordinates in the source texts.
 
-Only anchors are shuffled (about one in eighteen words); windows are only at
+Only anchors are shuffled (about one word in twelve); windows are only at
 branches.  Anchors and documents without repeats are kept out of the joins by
 bitmaps of fixed size, behind which the joins are exact.
 """
@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from loomstone.llm import common
 
 SPAN = 50
-K = 16
+K = 24
 _BASE = 0x9E6C63D0876A9A47
 _INVERSE = pow(_BASE, -1, 1 << 64)
 
@@ -49,13 +49,18 @@ def edges(h: np.ndarray, row: np.ndarray, span: int, k: int) -> tuple[np.ndarray
     s1 = windows[np.concatenate((np.flatnonzero(new)[1:] - 1, [len(windows) - 1]))]
     # polynomial of the words from s0 to s1 + span, moved to the origin
     n = len(h)
-    power = np.concatenate(([1], np.cumprod(np.full(n, _BASE, np.uint64)))).astype(np.uint64)
-    back = np.concatenate(([1], np.cumprod(np.full(n, _INVERSE, np.uint64)))).astype(np.uint64)
+    one = np.ones(1, np.uint64)
+    power = np.cumprod(np.concatenate((one, np.full(n, _BASE, np.uint64))))
+    back = np.cumprod(np.concatenate((one, np.full(n, _INVERSE, np.uint64))))
     total = np.concatenate((np.zeros(1, np.uint64), np.cumsum(h * power[:n])))
     content = (total[s1 + span] - total[s0]) * back[s0]
     anchor = at[new]
     content = common.mix(content + (anchor - s0).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + (s1 - s0).astype(np.uint64))
-    return nodes[anchor], content, row[s0], s0, s1
+    a = nodes[anchor]
+    # equal edges in a row, as a repeated word makes them, are one
+    new = np.concatenate(([True], (a[1:] != a[:-1]) | (content[1:] != content[:-1]) | (s0[1:] != s1[:-1] + 1)))
+    last = np.concatenate((np.flatnonzero(new)[1:] - 1, [len(a) - 1]))
+    return a[new], content[new], row[s0[new]], s0[new], s1[last]
 
 
 def windows_of(h: np.ndarray, s0: np.ndarray, s1: np.ndarray, span: int) -> tuple[np.ndarray, np.ndarray]:
