@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from loomstone.llm import decontamination, jaccard, lm_scoring, mixing, substring_dedup, token_counts
+from loomstone.llm import decontamination, jaccard, lm_scoring, mixing, quality, substring_dedup, token_counts
 
 QUERIES = {
+    "op1_quality_classifier": quality.op1_quality_classifier,
     "op2_mixing": mixing.op2_mixing,
     "op3_substring_dedup": substring_dedup.op3_substring_dedup,
     "op5_decontamination": decontamination.op5_decontamination,
