@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from loomstone.llm import decontamination, jaccard, lm_scoring, mixing, quality, substring_dedup, token_counts
+from loomstone.llm import decontamination, jaccard, language_id, lm_scoring, mixing, quality, substring_dedup, token_counts
 
 QUERIES = {
     "op1_quality_classifier": quality.op1_quality_classifier,
@@ -10,6 +10,7 @@ QUERIES = {
     "op3_substring_dedup": substring_dedup.op3_substring_dedup,
     "op5_decontamination": decontamination.op5_decontamination,
     "op7_token_counts": token_counts.op7_token_counts,
+    "op8_language_id": language_id.op8_language_id,
     "op9_lm_scoring": lm_scoring.op9_lm_scoring,
     "op10_ngram_jaccard_join": jaccard.op10_ngram_jaccard_join,
 }
