@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from loomstone.llm import decontamination, jaccard, language_id, lm_scoring, mixing, nearest, quality, substring_dedup, token_counts
+from loomstone.llm import decontamination, jaccard, language_id, lm_scoring, mixing, nearest, pii, quality, substring_dedup, token_counts
 
 QUERIES = {
     "op1_quality_classifier": quality.op1_quality_classifier,
     "op2_mixing": mixing.op2_mixing,
     "op3_substring_dedup": substring_dedup.op3_substring_dedup,
+    "op4_personal_data": pii.op4_personal_data,
     "op5_decontamination": decontamination.op5_decontamination,
     "op6_nearest_neighbours": nearest.op6_nearest_neighbours,
     "op7_token_counts": token_counts.op7_token_counts,
