@@ -69,21 +69,21 @@ def _matches(kind: str, text: Column) -> Column:
 
 
 def found(docs: DataFrame) -> DataFrame:
-    """(r, doc_id, base, candidates): for each row the accepted spans and, apart from them, the strings that a context may reveal."""
+    """(r, doc_id, t, base, candidates): for each row, t being the hash of its text, the accepted spans and, apart from them, the strings that a context may reveal."""
     text = F.coalesce(F.col("text"), F.lit(""))
-    rows = docs.select(F.monotonically_increasing_id().alias("r"), "doc_id", F.concat(*[_matches(k, text) for k in (*KINDS, "other")]).alias("m"))
-    flat = rows.select("r", "doc_id", F.posexplode_outer("m").alias("i", "m")).select("r", "doc_id", "i", "m.*")
+    rows = docs.select(F.monotonically_increasing_id().alias("r"), "doc_id", F.xxhash64("text").alias("t"), F.concat(*[_matches(k, text) for k in (*KINDS, "other")]).alias("m"))
+    flat = rows.select("r", "doc_id", "t", F.posexplode_outer("m").alias("i", "m")).select("r", "doc_id", "t", "i", "m.*")
     end = F.sum(F.col("before") + F.length("x")).over(Window.partitionBy("r", "kind").orderBy("i"))
     flat = flat.withColumn("end", end.cast("long")).withColumn("start", F.col("end") - F.length("x"))
     # a string of another kind without the punctuation around it
     lead, trail = F.length(F.regexp_extract("x", r"^[^A-Za-z0-9+(]*", 0)), F.length(F.regexp_extract("x", r"[^A-Za-z0-9]*$", 0))
     other = F.col("kind") == "other"
     flat = flat.withColumn("cut", F.when(other, F.greatest(F.length("x") - lead - trail, F.lit(0))))
-    flat = flat.select("r", "doc_id", "kind", (F.col("start") + F.when(other, lead).otherwise(0)).alias("start"), F.when(other, F.col("start") + lead + F.col("cut")).otherwise(F.col("end")).alias("end"), F.lower(F.when(other, F.expr("substring(x, length(regexp_extract(x, '^[^A-Za-z0-9+(]*', 0)) + 1, cut)")).otherwise(F.col("x"))).alias("x"), "ctx", _accepted(F.col("kind"), F.col("x")).alias("ok"))
+    flat = flat.select("r", "doc_id", "t", "kind", (F.col("start") + F.when(other, lead).otherwise(0)).alias("start"), F.when(other, F.col("start") + lead + F.col("cut")).otherwise(F.col("end")).alias("end"), F.lower(F.when(other, F.expr("substring(x, length(regexp_extract(x, '^[^A-Za-z0-9+(]*', 0)) + 1, cut)")).otherwise(F.col("x"))).alias("x"), "ctx", _accepted(F.col("kind"), F.col("x")).alias("ok"))
     span = F.struct(F.array_position(F.array(*map(F.lit, KINDS)), F.col("kind")).cast("int").alias("k"), "start", "end", "kind", "x", "ctx")
-    per_doc = flat.groupBy("r", "doc_id").agg(F.array_sort(F.collect_list(F.when(F.col("ok"), span))).alias("base"), F.array_sort(F.collect_list(F.when((F.col("kind") == "other") & (F.length("x") >= 6), span))).alias("other"))
+    per_doc = flat.groupBy("r", "doc_id", "t").agg(F.array_sort(F.collect_list(F.when(F.col("ok"), span))).alias("base"), F.array_sort(F.collect_list(F.when((F.col("kind") == "other") & (F.length("x") >= 6), span))).alias("other"))
     free = F.filter("other", lambda c: ~F.exists("base", lambda b: (b["start"] < c["end"]) & (c["start"] < b["end"])))
-    return per_doc.select("r", "doc_id", "base", free.alias("candidates"))
+    return per_doc.select("r", "doc_id", "t", "base", free.alias("candidates"))
 
 
 def _fits(kind: str, x: Column) -> Column:
@@ -109,11 +109,12 @@ def patterns(spans: DataFrame, seeds: int = SEEDS, confidence: float = CONFIDENC
 
 
 def personal_data(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(r, doc_id, base, added), one row for each row of docs; spans are (k, start, end, kind), in code points, end exclusive.
+    """(r, doc_id, t, base, added), one row for each row of docs; spans are (k, start, end, kind), in code points, end exclusive.
 
     A null text is empty and has no spans.  Repeated rows, and rows that repeat an id,
     get a row each with their own spans; a string counts once for a pattern however
-    often it is repeated.  Added spans never touch accepted ones.  r numbers the rows.
+    often it is repeated.  Added spans never touch accepted ones.  r numbers the rows,
+    t is the xxhash64 of the text.
     Other columns are not read.
     """
     spans = common.settled(found(docs.select(docs[key].alias("doc_id"), docs[text].alias("text"))))
@@ -124,7 +125,7 @@ def personal_data(docs: DataFrame, key: str = "doc_id", text: str = "text") -> D
     added = added.groupBy("r").agg(F.array_sort(F.collect_list(F.struct("k", "start", "end", F.element_at(F.array(*map(F.lit, KINDS)), F.col("k")).alias("kind")))).alias("added"))
     slim = F.transform("base", lambda s: F.struct(s["k"].alias("k"), s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind")))
     none = F.array().cast("array<struct<k:int,start:bigint,end:bigint,kind:string>>")
-    return spans.select("r", "doc_id", slim.alias("base")).join(added, "r", "left").select("r", "doc_id", "base", F.coalesce("added", none).alias("added"))
+    return spans.select("r", "doc_id", "t", slim.alias("base")).join(added, "r", "left").select("r", "doc_id", "t", "base", F.coalesce("added", none).alias("added"))
 
 
 def redacted(docs: DataFrame) -> DataFrame:
@@ -135,8 +136,8 @@ def redacted(docs: DataFrame) -> DataFrame:
     """
     found_in = personal_data(docs.select("doc_id", "text"))
     every = F.array_sort(F.transform(F.concat("base", "added"), lambda s: F.struct(s["start"].alias("start"), (-s["end"]).alias("e"), s["end"].alias("end"), s["kind"].alias("kind"))))
-    spans = found_in.where("size(base) + size(added) > 0").select("r", every.alias("spans"))
-    rows = docs.withColumn("r", F.monotonically_increasing_id()).join(spans, "r", "left")
+    spans = found_in.where("size(base) + size(added) > 0").select(F.col("doc_id").alias("__d"), F.col("t").alias("__t"), every.alias("spans")).dropDuplicates(["__d", "__t"])
+    rows = docs.join(spans, F.col("doc_id").eqNullSafe(F.col("__d")) & (F.xxhash64("text") == F.col("__t")), "left")
     start = F.struct(F.lit("").alias("out"), F.lit(0).cast("long").alias("at"))
     fold = F.aggregate(
         "spans",
@@ -147,7 +148,7 @@ def redacted(docs: DataFrame) -> DataFrame:
         ),
     )
     text = F.when(F.col("spans").isNull(), F.col("text")).otherwise(F.concat(F.col("f.out"), F.expr("substring(text, cast(f.at + 1 as int))")))
-    out = rows.withColumn("f", F.when(F.col("spans").isNotNull(), fold)).withColumn("text", text).drop("r", "f", "spans")
+    out = rows.withColumn("f", F.when(F.col("spans").isNotNull(), fold)).withColumn("text", text).drop("__d", "__t", "f", "spans")
     return out.withColumn("n_chars", F.when(F.col("text").isNull(), F.col("n_chars")).otherwise(F.length("text").cast("long"))) if "n_chars" in docs.columns else out
 
 
