@@ -2,5 +2,10 @@
 
 from __future__ import annotations
 
+from loomstone.plans import corpus_queries, search_queries
+
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
+for module in (search_queries, corpus_queries):
+    QUERIES |= module.QUERIES
+    SQL |= module.SQL
