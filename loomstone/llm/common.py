@@ -165,6 +165,11 @@ def findable(spark: SparkSession) -> None:
         env["PYTHONPATH"] = os.pathsep.join(filter(None, (root, env.get("PYTHONPATH", ""))))
 
 
+def arrays(df: DataFrame) -> list[np.ndarray]:
+    """The columns of a table of bounded length, brought to the driver as Arrow batches."""
+    return [c.combine_chunks().to_numpy(zero_copy_only=False) if c.num_chunks else np.zeros(0) for c in df.toArrow().columns]
+
+
 def per_batch(df: DataFrame, make: Callable[[pa.RecordBatch], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
     """mapInArrow with a function of one batch."""
 
