@@ -108,10 +108,10 @@ def without_contaminated(docs: DataFrame, items: DataFrame, **kw) -> DataFrame:
 
 def without_spans(docs: DataFrame, items: DataFrame, **kw) -> DataFrame:
     """The rows of docs, each text as its normalised words without those that are hit (texts without hits are unchanged)."""
-    found = contamination(docs, items, **kw).where("n_hit > 0").select(F.col("doc_id").alias("__d"), F.col("t").alias("__t"), "spans").dropDuplicates(["__d", "__t"])
+    found = contamination(docs, items, **kw).where("n_hit > 0").select(F.col("doc_id").alias("__d"), F.col("t").alias("__t"), F.col("spans").alias("__spans")).dropDuplicates(["__d", "__t"])
     joined = docs.join(found, F.col("doc_id").eqNullSafe(F.col("__d")) & (F.xxhash64("text") == F.col("__t")), "left")
-    kept = F.filter(F.transform(words_of(F.col("text")), lambda x, i: F.struct(x.alias("x"), i.alias("i"))), lambda w: ~F.exists("spans", lambda s: (w["i"] >= s["start"]) & (w["i"] < s["end"])))
-    return joined.withColumn("text", F.when(F.col("spans").isNull(), F.col("text")).otherwise(F.array_join(F.transform(kept, lambda w: w["x"]), " "))).drop("__d", "__t", "spans")
+    kept = F.filter(F.transform(words_of(F.col("text")), lambda x, i: F.struct(x.alias("x"), i.alias("i"))), lambda w: ~F.exists("__spans", lambda s: (w["i"] >= s["start"]) & (w["i"] < s["end"])))
+    return joined.withColumn("text", F.when(F.col("__spans").isNull(), F.col("text")).otherwise(F.array_join(F.transform(kept, lambda w: w["x"]), " "))).drop("__d", "__t", "__spans")
 
 
 def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

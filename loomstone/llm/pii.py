@@ -136,19 +136,19 @@ def redacted(docs: DataFrame) -> DataFrame:
     """
     found_in = personal_data(docs.select("doc_id", "text"))
     every = F.array_sort(F.transform(F.concat("base", "added"), lambda s: F.struct(s["start"].alias("start"), (-s["end"]).alias("e"), s["end"].alias("end"), s["kind"].alias("kind"))))
-    spans = found_in.where("size(base) + size(added) > 0").select(F.col("doc_id").alias("__d"), F.col("t").alias("__t"), every.alias("spans")).dropDuplicates(["__d", "__t"])
+    spans = found_in.where("size(base) + size(added) > 0").select(F.col("doc_id").alias("__d"), F.col("t").alias("__t"), every.alias("__spans")).dropDuplicates(["__d", "__t"])
     rows = docs.join(spans, F.col("doc_id").eqNullSafe(F.col("__d")) & (F.xxhash64("text") == F.col("__t")), "left")
     start = F.struct(F.lit("").alias("out"), F.lit(0).cast("long").alias("at"))
     fold = F.aggregate(
-        "spans",
+        "__spans",
         start,
         lambda acc, s: F.struct(
             F.when(s["start"] >= acc["at"], F.concat(acc["out"], F.substring(F.col("text"), (acc["at"] + 1).cast("int"), (s["start"] - acc["at"]).cast("int")), F.lit("["), F.upper(s["kind"]), F.lit("]"))).otherwise(acc["out"]).alias("out"),
             F.greatest(acc["at"], s["end"]).alias("at"),
         ),
     )
-    text = F.when(F.col("spans").isNull(), F.col("text")).otherwise(F.concat(F.col("f.out"), F.expr("substring(text, cast(f.at + 1 as int))")))
-    out = rows.withColumn("f", F.when(F.col("spans").isNotNull(), fold)).withColumn("text", text).drop("__d", "__t", "f", "spans")
+    text = F.when(F.col("__spans").isNull(), F.col("text")).otherwise(F.concat(F.col("__f.out"), F.expr("substring(text, cast(__f.at + 1 as int))")))
+    out = rows.withColumn("__f", F.when(F.col("__spans").isNotNull(), fold)).withColumn("text", text).drop("__d", "__t", "__f", "__spans")
     return out.withColumn("n_chars", F.when(F.col("text").isNull(), F.col("n_chars")).otherwise(F.length("text").cast("long"))) if "n_chars" in docs.columns else out
 
 
