@@ -63,7 +63,7 @@ class Model:
         self.grams = np.sort(every[np.lexsort((every, -spread))[:GRAMS]])
         x = self._unit(self._rows(sets))
         of = {lang: k for k, lang in enumerate(self.langs)}
-        y = np.array([of[lang] for lang in langs])
+        y = np.array([of[lang] for lang in langs], np.int64)
         marks = np.concatenate([np.flatnonzero(y == k)[:LANDMARKS] for k in range(len(self.langs))]) if self.langs else np.zeros(0, np.int64)
         self.marks = x[marks]
         k_mm = (self.marks @ self.marks.T).astype(np.float64)
