@@ -100,10 +100,10 @@ def upload_outcome(spark: SparkSession, sf: str) -> DataFrame:
     return relations.upload_outcome(d.where("doc_id < 200"), d.where("doc_id >= 100").withColumnRenamed("doc_id", "seq"))
 
 
-@query(f"WITH {SRC}, {VEC} SELECT src.uid, source_path, len(content)::BIGINT AS content_length, substr(content, 1, 240) AS preview, e IS NOT NULL AS has_vector, len(e)::INT AS dim, round(sqrt(list_inner_product(e, e)), 6) AS magnitude FROM src LEFT JOIN vec ON src.uid = vec.uid WHERE source = 'src2'")
+@query(f"WITH {SRC}, {VEC} SELECT src.uid, source_path, len(content)::BIGINT AS content_length, substr(content, 1, 240) AS preview, e IS NOT NULL AS has_vector, coalesce(len(e), 0)::INT AS dim, round(coalesce(sqrt(list_inner_product(e, e)), 0), 6) AS magnitude FROM src LEFT JOIN vec ON src.uid = vec.uid WHERE source = 'src2'")
 def source_detail(spark: SparkSession, sf: str) -> DataFrame:
     d = relations.source_detail(relations.under(src(spark, sf), "raw/src2"), vec(spark, sf))
-    return d.drop("sample").withColumn("magnitude", F.round("magnitude", 6))
+    return d.drop("sample").withColumns({"magnitude": F.round(F.coalesce("magnitude", F.lit(0.0)), 6), "dim": F.coalesce("dim", F.lit(0))})
 
 
 # jobs
@@ -379,12 +379,12 @@ def trace_label(spark: SparkSession, sf: str) -> DataFrame:
 @query(
     """WITH p AS (SELECT conv_id AS call_id, turn AS seq, CASE role WHEN 'user' THEN 'reasoning-delta' WHEN 'assistant' THEN 'text-delta' ELSE 'finish' END AS type, substr(text, 1, 20) AS x FROM conversations),
 k AS (SELECT call_id, type, count(*) AS n, min(seq) AS f FROM p GROUP BY call_id, type)
-SELECT p.call_id, coalesce(string_agg(x, '' ORDER BY seq) FILTER (WHERE type = 'text-delta'), '') AS text, (SELECT string_agg(type || ':' || n, ',' ORDER BY f) FROM k WHERE k.call_id = p.call_id) AS types, CASE WHEN count(*) FILTER (WHERE type = 'finish') > 0 THEN 'ok' ELSE 'error' END AS outcome, min(seq * 10) FILTER (WHERE type = 'text-delta')::BIGINT AS first_delta_ms FROM p GROUP BY p.call_id"""
+SELECT p.call_id, coalesce(string_agg(x, '' ORDER BY seq) FILTER (WHERE type = 'text-delta'), '') AS text, (SELECT string_agg(type || ':' || n, ',' ORDER BY f) FROM k WHERE k.call_id = p.call_id) AS types, CASE WHEN count(*) FILTER (WHERE type = 'finish') > 0 THEN 'ok' ELSE 'error' END AS outcome, coalesce(min(seq * 10) FILTER (WHERE type = 'text-delta'), -1)::BIGINT AS first_delta_ms FROM p GROUP BY p.call_id"""
 )
 def stream_fold(spark: SparkSession, sf: str) -> DataFrame:
     kind = F.when(F.col("role") == "user", "reasoning-delta").when(F.col("role") == "assistant", "text-delta").otherwise("finish")
     parts = table(spark, sf, "conversations").select(F.col("conv_id").alias("call_id"), F.col("turn").alias("seq"), kind.alias("type"), F.substring("text", 1, 20).alias("text"), F.when(kind == "finish", "stop").alias("finish_kind"), (F.col("turn") * 10).alias("t_ms"))
-    return sessions.stream_fold(parts)
+    return sessions.stream_fold(parts).withColumn("first_delta_ms", F.coalesce("first_delta_ms", F.lit(-1).cast("long")))
 
 
 # streams
@@ -433,10 +433,10 @@ def ext_filter(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "pages").select(ext.alias("ext"), ext.isin(*readers.extensions([" PDF ", ""])).alias("known")).groupBy("ext").agg(F.count("*").alias("n"), F.bool_or("known").alias("known"))
 
 
-@query("SELECT * FROM (VALUES ('0.1.7-rc.1', '0.1.7', true), ('1.2', '1.2.0', NULL), ('1.10.0', '1.9.9', true), ('0.9.0', '1.0.0', false)) t(host, least, enough)")
+@query("SELECT * FROM (VALUES ('0.1.7-rc.1', '0.1.7', true), ('1.2', '1.2.0', false), ('1.10.0', '1.9.9', true), ('0.9.0', '1.0.0', false)) t(host, least, enough)")
 def semver_cmp(spark: SparkSession, sf: str) -> DataFrame:
     rows = [("0.1.7-rc.1", "0.1.7"), ("1.2", "1.2.0"), ("1.10.0", "1.9.9"), ("0.9.0", "1.0.0")]
-    return spark.createDataFrame(rows, "host string, least string").withColumn("enough", text.release(F.col("host")) >= text.release(F.col("least")))
+    return spark.createDataFrame(rows, "host string, least string").withColumn("enough", F.coalesce(text.release(F.col("host")) >= text.release(F.col("least")), F.lit(False)))
 
 
 @query("SELECT event_id, strftime(ts, '%Y-%m-%d') AS day, strftime(ts, '%Y-%m-%d %H:%M:%S') AS stamp, strftime(ts, '%H:%M') AS minute FROM events")
