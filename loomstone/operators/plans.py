@@ -64,7 +64,7 @@ def plan_ops(answers: DataFrame) -> DataFrame:
             yield pd.DataFrame(rows, columns=["window", "seq", "kind", "path", "content"])
 
     findable(answers.sparkSession)
-    return answers.select("window", "raw").mapInPandas(run, "window int, seq int, kind string, path string, content string").where(allowed(F.col("path")))
+    return answers.select("window", "raw").mapInPandas(run, "window int, seq int, kind string, path string, content string").where(allowed(F.col("path")) & ~F.col("path").startswith("sources/"))
 
 
 def allowed(path: Column) -> Column:

@@ -8,7 +8,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomstone.functions import text, vectors
+from loomstone.functions import schema, text, vectors
 from loomstone.operators import extraction, jobs, pages, plans, relations, sessions
 from loomstone.plans.views import JOBS, SRC, VEC, src, table, vec
 from loomstone.plans.views import jobs as job_view
@@ -392,9 +392,9 @@ def stream_fold(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("SELECT conv_id, max_by(text, turn) AS prompt, max(turn)::BIGINT AS last FROM conversations WHERE role = 'user' AND text <> '' GROUP BY conv_id")
 def stream_latest_prompt(spark: SparkSession, sf: str) -> DataFrame:
-    schema = table(spark, sf, "conversations").schema
+    kind = table(spark, sf, "conversations").schema
     path = f"{sf}/conversations.parquet"
-    events = streams.arriving(spark, path if _is_folder(spark, path) else f"{sf}/conv*.parquet", schema).where("role = 'user'")
+    events = streams.arriving(spark, path if _is_folder(spark, path) else f"{sf}/conv*.parquet", kind).where("role = 'user'")
     return streams.final_state(streams.latest_prompts(events, "conv_id", "turn"), spark)
 
 
@@ -405,7 +405,7 @@ def _is_folder(spark: SparkSession, path: str) -> bool:
 
 @query(r"SELECT doc_id, sha256(regexp_replace(regexp_replace(regexp_replace(text, '[ \t]+\n', chr(10), 'g'), '^[ \t\n\r]+', ''), '[ \t\n\r]+$', '')) AS file_hash, len(text) > 0 AS ok FROM documents")
 def stream_ingest(spark: SparkSession, sf: str) -> DataFrame:
-    schema = table(spark, sf, "documents").schema
+    kind = table(spark, sf, "documents").schema
     path = f"{sf}/documents.parquet"
     root = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="ingest-")
     out = f"{root}/ingest-{uuid.uuid4().hex}"
@@ -413,7 +413,7 @@ def stream_ingest(spark: SparkSession, sf: str) -> DataFrame:
     def each(batch: DataFrame, _: int) -> None:
         batch.select("doc_id", F.sha2(text.normalize(F.col("text")).cast("binary"), 256).alias("file_hash"), (F.length("text") > 0).alias("ok")).write.mode("append").parquet(out)
 
-    streams.drained(streams.arriving(spark, path if _is_folder(spark, path) else f"{sf}/doc*.parquet", schema), each)
+    streams.drained(streams.arriving(spark, path if _is_folder(spark, path) else f"{sf}/doc*.parquet", kind), each)
     return spark.read.parquet(out)
 
 
@@ -452,13 +452,12 @@ def route_coalesce(spark: SparkSession, sf: str) -> DataFrame:
     return spark.createDataFrame(rows, "id int, lp string, lm string, cp string, cm string").select("id", r["provider"].alias("provider"), r["model"].alias("model"))
 
 
-@query("SELECT * FROM (VALUES ('ask', true, 'entity,concept,source', 'kebab-case')) t(conflict, immutable, types, naming)")
+@query("SELECT * FROM (VALUES (1, 'reject', true, 'entity,custom-type', 'entities/<slug>.md'), (2, 'mark', false, 'entity,concept,source,summary,index', 'entities/<名称>.md')) t(id, conflict, read_only, page_types, naming)")
 def schema_form(spark: SparkSession, sf: str) -> DataFrame:
-    doc = "# Schema\n\n## Page types\n- entity, concept\n- source\n\n## Conflict behaviour\nask\n\n## Raw immutability\nyes\n\n## Naming\nkebab-case\n"
-    d = spark.createDataFrame([(doc,)], "doc string")
-    part = lambda name: F.trim(F.regexp_extract("doc", rf"(?s)## {name}\n(.*?)(?:\n\n|\n*$)", 1))
-    items = F.filter(F.transform(F.split(F.regexp_replace(part("Page types"), r"(^|\n)- ", ","), ","), lambda x: F.trim(x)), lambda x: x != "")
-    return d.select(part("Conflict behaviour").alias("conflict"), (F.lower(part("Raw immutability")) == "yes").alias("immutable"), F.array_join(items, ",").alias("types"), part("Naming").alias("naming"))
+    doc = schema.rendered(schema.Schema("reject", True, ("entity", "custom-type"), "entities/<slug>.md"))
+    d = spark.createDataFrame([(1, doc), (2, "prose only")], "id int, doc string")
+    c = schema.columns(F.col("doc"))
+    return d.select("id", *[(F.array_join(v, ",") if k == "page_types" else v).alias(k) for k, v in c.items()])
 
 
 @query(f"WITH {VEC} SELECT vec_id, round(list_inner_product(e, e), 6) AS squared FROM vec")
