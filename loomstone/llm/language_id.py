@@ -29,10 +29,15 @@ LANDMARKS, GRAMS, RIDGE = 24, 8192, 1e-2
 SHARP = 8.0
 #: Bytes of a text that are numbered at once.
 PIECE = 1 << 20
-_LETTER = re.compile(r"[^\W\d_]")
+_MAYBE = re.compile(r"[^\W\d_]")
 UNKNOWN = "und"
 
 
+def has_letter(text: str) -> bool:
+    """Letters are found by a pattern that also finds numbers such as fractions; those don't count."""
+    return any(m.group().isalpha() for m in _MAYBE.finditer(text))
+
+
 def folded(text: str) -> bytes:
     return text.lower().encode("utf-8", "replace")
 
@@ -89,7 +94,7 @@ class Model:
         return x / np.sqrt(np.maximum(x.sum(axis=1, keepdims=True), 1))
 
     def predict(self, texts: list[str | None], lookup: np.ndarray) -> tuple[list[str], np.ndarray]:
-        ok = [k for k, t in enumerate(texts) if t and self.langs and _LETTER.search(t)]
+        ok = [k for k, t in enumerate(texts) if t and self.langs and has_letter(t)]
         label, score = [UNKNOWN] * len(texts), np.zeros(len(texts))
         x = np.zeros((len(ok), len(self.grams) + 1), np.float32)
         for r, k in zip(x, ok, strict=True):
