@@ -83,6 +83,11 @@ class Corpus:
         found = search.hybrid(chunks, self.vectors.read(), search.query_terms(query), list(self.embed([query])[0]), top)
         return found.select("uid", "source_path", "content", F.round(F.coalesce("cosine", "score"), 4).alias("score"))
 
+    def answer(self, query: str) -> str:
+        """Five hits, each with its path and four hundred characters."""
+        rows = self.search(query, 5).select("source_path", text.excerpt(F.col("content"), 400).alias("short")).collect()  # five rows
+        return "\n\n".join(f"{r['source_path']}\n{r['short']}" for r in rows)
+
     def recall(self, query: str, budget: int = 4000) -> str:
         """What goes into a prompt for a query, at most ``budget`` characters; '' for fewer than two characters."""
         if len(query.strip()) < 2:
