@@ -170,6 +170,24 @@ def arrays(df: DataFrame) -> list[np.ndarray]:
     return [c.combine_chunks().to_numpy(zero_copy_only=False) if c.num_chunks else np.zeros(0) for c in df.toArrow().columns]
 
 
+def most_frequent(counts: DataFrame, most: int, count: str = "n") -> DataFrame:
+    """The rows with the highest counts, at most ``most``, by a threshold.
+
+    Counts are put into some 64 classes for each factor of e; the classes' sizes, a
+    table of a few thousand rows at most, give the lowest class that still fits.  A
+    top-k would send k rows of each task to one place.
+    """
+    level = F.floor(F.log(F.col(count)) * 64).cast("int")
+    sizes = sorted(((r["level"], r["rows"]) for r in counts.groupBy(level.alias("level")).agg(F.count("*").alias("rows")).collect()), reverse=True)
+    low, total = None, 0
+    for k, n in sizes:
+        total += n
+        if total > most:
+            break
+        low = k
+    return counts.where(level >= low) if low is not None else counts.limit(0)
+
+
 def per_batch(df: DataFrame, make: Callable[[pa.RecordBatch], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
     """mapInArrow with a function of one batch."""
 

@@ -232,7 +232,7 @@ def test_lm_scores(docs, empty, frequent):
     model = lm_scoring.lattice(public_tokenizers.path(lm_scoring.PIECES))
     kinds = list({w for ws in words for w in ws} - {0})
     log = dict(zip(kinds, model.score(kinds), strict=True)) | {0: lm_scoring.END_LATTICE}
-    a = lm_scoring.SMOOTHING
+    a = len(c)  # Witten and Bell
     base = lambda ws: sum(np.log10((c[w] + 1) / (total + len(c) + 1)) for w in ws)
     score = lambda ws: sum(np.logaddexp(np.log(c[w]) if c[w] else -np.inf, np.log(a) + log[w]) / np.log(10) - np.log10(total + a) for w in ws)
     want = sorted((str(i), x, len(ws), sum(c[w] > 0 for w in ws), total, round(base(ws), 3), round(score(ws), 3)) for (i, _), x, ws in zip(rows, held, words, strict=True))
