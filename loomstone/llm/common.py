@@ -42,8 +42,14 @@ def ready(spark: SparkSession) -> None:
 
 
 def settled(df: DataFrame) -> DataFrame:
-    """The same rows, read from the shared checkpoint folder; a lost executor costs no recomputation."""
+    """The same rows, read from the shared checkpoint folder; a lost executor costs no recomputation.
+
+    Spark drops shuffle and checkpoint files when the driver's collector finds that
+    nothing refers to them; it is asked to look before each step, as the files of the
+    steps before would else add up on the disks.
+    """
     ready(df.sparkSession)
+    df.sparkSession.sparkContext._jvm.System.gc()
     return df.checkpoint(eager=True)
 
 

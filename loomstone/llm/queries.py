@@ -20,4 +20,5 @@ SQL: dict[str, str] = {
     "op2_mixing": mixing.SQL,
     "op3_substring_dedup": substring_dedup.SQL,
     "op5_decontamination": decontamination.SQL,
+    "op10_ngram_jaccard_join": jaccard.SQL,
 }
