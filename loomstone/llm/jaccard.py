@@ -1,13 +1,12 @@
 """Self-join of documents on the Jaccard similarity of their word shingles.
 
-Grouped prefix join.  Shingles are put in one global order (those of many documents
+Prefix join of classes.  Shingles are put in one global order (those of many documents
 last, else by hash).  Two sets of similarity t share a shingle among the first
 n - ceil(t n) + 1 of either, so only these prefixes are compared:
 
-1. documents with the same size and prefix are one group, and inside it documents
-   with the same set one class; only a group's first class goes on to the lists, the
-   others are compared with it as members of its group;
-2. prefixes become postings; those of a shingle that one group alone has are dropped;
+1. documents with the same set are one class; every class goes on to the lists, as an
+   equal prefix alone proves no similarity;
+2. prefixes become postings; those of a shingle that one class alone has are dropped;
 3. each list (shingle, class of sizes) pairs its members with its first one, pairs
    are verified on whole sets, and components are formed;
 4. lists of three or more that still hold more than one component pair their members
@@ -135,24 +134,23 @@ def may_link(a: bytes, b: bytes, n: int, m: int, least: int) -> bool:
 
 
 def profiles(docs: DataFrame, frequent, width: int, least: int) -> DataFrame:
-    """(doc_id, n, psig, f1, f2, bits, prefix): the size of each document's set, hashes of its prefix and of the set, its bitmap and its prefix."""
+    """(doc_id, n, f1, f2, bits, prefix): the size of each document's set, a hash of the set, its bitmap and its prefix."""
 
     def make(batch: pa.RecordBatch):
         hot = frequent.value
         for at, end, data, offsets in common.chunks(batch.column(1)):
-            size, psig, f1, f2, bits, prefix = [], [], [], [], [], []
+            size, f1, f2, bits, prefix = [], [], [], [], []
             for x in sets(data, offsets, width, hot):
                 head = x[: prefix_length(len(x), least)] if len(x) else x
                 f = hashlib.blake2b(x.tobytes(), digest_size=16).digest()
                 size.append(len(x))
-                psig.append(int.from_bytes(hashlib.blake2b(head.tobytes(), digest_size=8).digest(), "little", signed=True))
                 f1.append(int.from_bytes(f[:8], "little", signed=True))
                 f2.append(int.from_bytes(f[8:], "little", signed=True))
                 bits.append(bitmap_of(x))
                 prefix.append(head)
-            yield pa.RecordBatch.from_arrays([batch.column(0)[at:end], *(pa.array(v, pa.int64()) for v in (size, psig, f1, f2)), pa.array(bits, pa.binary()), _longs(prefix)], ["doc_id", "n", "psig", "f1", "f2", "bits", "prefix"])
+            yield pa.RecordBatch.from_arrays([batch.column(0)[at:end], *(pa.array(v, pa.int64()) for v in (size, f1, f2)), pa.array(bits, pa.binary()), _longs(prefix)], ["doc_id", "n", "f1", "f2", "bits", "prefix"])
 
-    return common.per_batch(docs, make, "doc_id long, n long, psig long, f1 long, f2 long, bits binary, prefix array<long>")
+    return common.per_batch(docs, make, "doc_id long, n long, f1 long, f2 long, bits binary, prefix array<long>")
 
 
 def whole_sets(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
@@ -177,9 +175,9 @@ def whole_sets(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
     return rows.join(wanted.select("id").distinct(), "id", "left_semi").dropDuplicates(["id", "f"])
 
 
-def _postings(prof: DataFrame, groups: DataFrame) -> DataFrame:
-    """(h, g, n): the prefixes of the first documents of the groups, and of the few others that the bitmap of their ids lets through."""
-    bitmap = prof.sparkSession.sparkContext.broadcast(common.id_filter(groups, "g"))
+def _postings(prof: DataFrame, classes: DataFrame) -> DataFrame:
+    """(h, g, n): the prefixes of the first documents of the classes, and of the few others that the bitmap of their ids lets through."""
+    bitmap = prof.sparkSession.sparkContext.broadcast(common.id_filter(classes, "class_id"))
 
     def make(batch: pa.RecordBatch):
         batch = batch.filter(pa.array(common.passes(bitmap.value, batch.column(3).to_numpy(zero_copy_only=False))))
@@ -276,13 +274,10 @@ def jaccard_components(docs: DataFrame, width: int = SHINGLE, least: int = LEAST
     frequent = docs.sparkSession.sparkContext.broadcast(frequent_shingles(docs, width, FREQUENT))
     prof = common.settled(profiles(docs, frequent, width, least))
     bits = prof.where("n > 0 and doc_id is not null").select(F.col("doc_id").alias("id"), "n", "bits")
-    # classes and groups
-    classes = prof.where("n > 0 and doc_id is not null").groupBy("n", "psig", "f1", "f2").agg(F.min("doc_id").alias("class_id"))
+    classes = prof.where("n > 0 and doc_id is not null").groupBy("n", "f1", "f2").agg(F.min("doc_id").alias("class_id"))
     classes = common.settled(classes)
-    groups = classes.groupBy("n", "psig").agg(F.min("class_id").alias("g"), F.count("*").alias("classes"))
-    members = classes.join(groups.where("classes > 1"), ["n", "psig"]).where("class_id <> g").select(F.col("g").alias("a"), F.col("class_id").alias("b"))
-    # postings of groups, without the shingles of a single group
-    postings = _postings(prof, groups)
+    # postings of classes, without the shingles of a single class
+    postings = _postings(prof, classes)
     shared = common.settled(postings.groupBy("h").agg(F.count("*").alias("c")).where("c > 1").select("h"))
     listed = common.settled(postings.join(shared, "h"))
     size_class = size_class_column("n", least)
@@ -292,7 +287,7 @@ def jaccard_components(docs: DataFrame, width: int = SHINGLE, least: int = LEAST
     kept = common.settled(alike.groupBy("c", "k", "x", "s1", "s2").agg(F.min("h").alias("h")).select("h", "c", "k", F.col("x.g").alias("a"), F.col("x.n").alias("m")))
     near = (100 * F.least("n", "m") >= least * F.greatest("n", "m")) & (F.col("a") != F.col("b"))
     listed = common.settled(listed.join(kept, ["h", "c"]))
-    pairs = listed.withColumnRenamed("g", "b").where(near).select("a", "b").unionByName(members)
+    pairs = listed.withColumnRenamed("g", "b").where(near).select("a", "b")
     pairs = common.settled(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
     linked = common.settled(links(docs, pairs, bits, width, least))
     comps = common.joined_components(linked)

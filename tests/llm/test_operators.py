@@ -2,6 +2,7 @@
 
 import collections
 import hashlib
+import random
 import re
 import zlib
 
@@ -300,6 +301,20 @@ def test_jaccard(spark, docs, empty, monkeypatch, short, block):
     assert jaccard.jaccard_components(empty).count() == 0
 
 
+def test_jaccard_stars_with_a_late_centre(spark):
+    # one edit each: all link with the centre, none with each other, and some share the centre's whole prefix
+    rows, r = [], random.Random(11)
+    for star in range(8):
+        centre = [f"s{star}w{k}" for k in range(60)]
+        edited = r.sample(range(5, 55), 30)
+        rows += [(1000 * star + i, " ".join([*centre[:k], f"s{star}e{k}", *centre[k + 1 :]])) for i, k in enumerate(edited)]
+        rows.append((1000 * star + 999, " ".join(centre)))
+    _, find = brute_components(rows)
+    got = jaccard.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert [r for r in got if r["component_id"] != find(r["doc_id"])] == []
+    assert len({r["component_id"] for r in got}) == 8
+
+
 def test_components_of_long_chains(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(0, 60)] + [(100, 101), (101, 101)], "a long, b long")
     got = {r["node"]: r["component"] for r in common.joined_components(edges).collect()}
