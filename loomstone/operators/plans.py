@@ -18,6 +18,8 @@ from loomstone.session import findable
 DROPPED = "\\s_\\-—–·.,，。:：;；!！?？()（）\\[\\]【】{}\"'“”‘’`/\\\\|"
 WRITABLE = ("entities/", "concepts/")
 PROMPT_PAGES = 40
+#: Keys are looked for by their first characters, at most this many.
+PROBE = 8
 
 
 def _fold(s: pd.Series) -> pd.Series:
@@ -127,17 +129,35 @@ def dedup_plan(ops: DataFrame, index: DataFrame, ascii_only: bool = False) -> Da
     return rows.withColumn("to", to).withColumn("moved", moved).select("window", "seq", F.when(F.col("moved"), "update").otherwise(F.col("kind")).alias("kind"), F.when(F.col("moved"), F.col("to")).otherwise(F.col("path")).alias("path"), "content")
 
 
+def _pieces(seen: DataFrame, sizes: list[int]) -> DataFrame:
+    """(window, probe): the distinct pieces of the given sizes of each text (window, hay)."""
+
+    def run(frames):
+        for pdf in frames:
+            for w, hay in zip(pdf["window"], pdf["hay"], strict=True):
+                found = {hay[i : i + n] for n in sizes for i in range(len(hay) - n + 1)} if hay else None
+                if found:
+                    yield pd.DataFrame({"window": w, "probe": list(found)})
+
+    findable(seen.sparkSession)
+    return seen.mapInPandas(run, f"window {seen.schema['window'].dataType.simpleString()}, probe string")
+
+
 def prompt_pages(pages: DataFrame, windows: DataFrame, hits: DataFrame, most: int = PROMPT_PAGES, ascii_only: bool = False) -> DataFrame:
     """(window, path, score) of the pages most relevant to each window (window, content).
 
     A hit of the search (window, path) is worth 1000; a title in the window's text ten
-    for each character, a file name one.  Windows' texts are the broadcast side of the
-    containment test only as far as Spark finds them small.
+    for each character, a file name one.  The first characters of the keys are an
+    equi-join with the pieces of the windows' texts; containment is tested on its pairs.
     """
     w = pages.where(F.col("path").startswith(WRITABLE[0]) | F.col("path").startswith(WRITABLE[1]))
     keys = w.select("path", F.explode(F.array(F.struct(dedup_key(F.col("title"), ascii_only).alias("key"), F.lit(10).alias("each")), F.struct(dedup_key(F.regexp_replace(text.basename(F.col("path")), r"\.md$", ""), ascii_only).alias("key"), F.lit(1).alias("each")))).alias("k")).select("path", "k.key", "k.each").where("length(key) >= 2")
     seen = windows.select("window", dedup_key(F.col("content"), ascii_only).alias("hay"))
-    literal = seen.join(keys, F.contains(F.col("hay"), F.col("key"))).select("window", "path", (F.length("key") * F.col("each")).alias("s"))
+    probes = keys.select("key", F.substring("key", 1, PROBE).alias("probe")).distinct()
+    sizes = [r[0] for r in probes.select(F.length("probe")).distinct().collect()]
+    pairs = _pieces(seen, sizes).join(probes, "probe").select("window", "key").distinct()
+    found = pairs.join(seen, "window").where(F.contains(F.col("hay"), F.col("key"))).select("window", "key")
+    literal = found.join(keys, "key").select("window", "path", (F.length("key") * F.col("each")).alias("s"))
     known = hits.join(w.select("path"), "path", "left_semi").select("window", "path", F.lit(1000).alias("s"))
     score = literal.unionByName(known).groupBy("window", "path").agg(F.sum("s").cast("long").alias("score"))
     rank = F.row_number().over(Window.partitionBy("window").orderBy(F.desc("score"), "path"))

@@ -100,6 +100,19 @@ def upload_outcome(spark: SparkSession, sf: str) -> DataFrame:
     return relations.upload_outcome(d.where("doc_id < 200"), d.where("doc_id >= 100").withColumnRenamed("doc_id", "seq"))
 
 
+@query(
+    """WITH d AS (SELECT doc_id, md5(text) AS h, 'raw/' || CASE WHEN doc_id // 6 % 2 = 0 THEN (doc_id // 6)::VARCHAR ELSE 'new/' || doc_id END || '.txt' AS rel FROM documents), e AS (SELECT rel, list(DISTINCT h) AS had FROM d WHERE doc_id % 12 < 3 GROUP BY rel),
+u AS (SELECT doc_id AS seq, d.rel, CASE WHEN had IS NULL THEN 'created' WHEN list_contains(had, h) THEN 'duplicate' ELSE 'renamed' END AS status FROM d LEFT JOIN e ON d.rel = e.rel WHERE doc_id % 6 >= 2)
+SELECT seq, rel, status, CASE WHEN status = 'renamed' THEN replace(rel, '.txt', ' (' || row_number() OVER (PARTITION BY rel, status ORDER BY seq) || ').txt') ELSE rel END AS stored FROM u"""
+)
+def upload_outcome_whole(spark: SparkSession, sf: str) -> DataFrame:
+    """Of twelve documents, the first six share a name: three are stored, the third is sent again, three are sent anew; of the others four have new names."""
+    block = F.floor(F.col("doc_id") / 6)
+    rel = F.concat(F.lit("raw/"), F.when(block % 2 == 0, block.cast("string")).otherwise(F.concat(F.lit("new/"), F.col("doc_id").cast("string"))), F.lit(".txt"))
+    d = table(spark, sf, "documents").select("doc_id", F.md5("text").alias("hash"), rel.alias("rel"))
+    return relations.upload_outcome(d.where("doc_id % 12 < 3"), d.where("doc_id % 6 >= 2").withColumnRenamed("doc_id", "seq"))
+
+
 @query(f"WITH {SRC}, {VEC} SELECT src.uid, source_path, len(content)::BIGINT AS content_length, substr(content, 1, 240) AS preview, e IS NOT NULL AS has_vector, coalesce(len(e), 0)::INT AS dim, round(coalesce(sqrt(list_inner_product(e, e)), 0), 6) AS magnitude FROM src LEFT JOIN vec ON src.uid = vec.uid WHERE source = 'src2'")
 def source_detail(spark: SparkSession, sf: str) -> DataFrame:
     d = relations.source_detail(relations.under(src(spark, sf), "raw/src2"), vec(spark, sf))
@@ -328,6 +341,21 @@ def prompt_pages(spark: SparkSession, sf: str) -> DataFrame:
     return plans.prompt_pages(inv, windows, hits, ascii_only=True).select(F.col("window").alias("win"), "path", "score")
 
 
+def _named_by_texts(d: DataFrame) -> DataFrame:
+    """(path, title, doc_id): a page for each document, named by its first words."""
+    first, second = F.split_part("text", F.lit(" "), F.lit(1)), F.split_part("text", F.lit(" "), F.lit(2))
+    return d.select(F.concat(F.lit("entities/"), second, F.lit("-"), F.col("doc_id").cast("string"), F.lit(".md")).alias("path"), F.concat(first, F.lit(" "), second).alias("title"), "doc_id")
+
+
+@query()
+def prompt_pages_whole(spark: SparkSession, sf: str) -> DataFrame:
+    """Every document is a page and a window."""
+    d = table(spark, sf, "documents")
+    inv = _named_by_texts(d)
+    windows = d.select(F.col("doc_id").alias("window"), F.col("text").alias("content"))
+    return plans.prompt_pages(inv, windows, inv.select(F.col("doc_id").alias("window"), "path"), ascii_only=True).select(F.col("window").alias("win"), "path", "score")
+
+
 @query("SELECT * FROM (VALUES ('entities/x.md', 'created', false), ('entities/gb-1.md', 'skipped', false), ('concepts/x_y.md', 'updated', true)) t(path, outcome, marked)")
 def apply_ops(spark: SparkSession, sf: str) -> DataFrame:
     ops = [("create", "entities/x.md", "a"), ("create", "entities/gb-1.md", extraction.MARKER), ("update", "concepts/x_y.md", extraction.MARKER)]
