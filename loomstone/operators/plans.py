@@ -99,9 +99,10 @@ def dedup_index(pages: DataFrame, ascii_only: bool = False) -> DataFrame:
     """(key, path) of the keys that name one page: their only one, or the only one with an ASCII name."""
     name = F.regexp_replace(text.basename(F.col("path")), r"\.md$", "")
     rows = pages.where(F.col("path").startswith(WRITABLE[0]) | F.col("path").startswith(WRITABLE[1])).select("path", F.explode(F.array(name, "title")).alias("raw"))
-    keys = rows.select("path", dedup_key(F.col("raw"), ascii_only).alias("key")).where("length(key) >= 2").groupBy("key").agg(F.collect_set("path").alias("paths"))
-    plain = F.filter("paths", lambda p: F.regexp_replace(F.element_at(F.split(p, "/"), -1), r"\.md$", "").rlike(r"^[\x20-\x7E]+$"))
-    return keys.select("key", F.when(F.size("paths") == 1, F.element_at("paths", 1)).when(F.size(plain) == 1, F.element_at(plain, 1)).alias("path")).where("path is not null")
+    plain = F.when(F.regexp_replace(text.basename(F.col("path")), r"\.md$", "").rlike(r"^[\x20-\x7E]+$"), F.col("path"))
+    keys = rows.select("path", dedup_key(F.col("raw"), ascii_only).alias("key")).where("length(key) >= 2").distinct().withColumn("plain", plain)
+    n = keys.groupBy("key").agg(F.count("path").alias("n"), F.min("path").alias("only"), F.count("plain").alias("m"), F.min("plain").alias("plain"))
+    return n.select("key", F.when(F.col("n") == 1, F.col("only")).when(F.col("m") == 1, F.col("plain")).alias("path")).where("path is not null")
 
 
 def _with_keys(rows: DataFrame, *columns: str) -> DataFrame:

@@ -230,6 +230,20 @@ def broken_links(spark: SparkSession, sf: str) -> DataFrame:
     return pages.broken_links(spark.createDataFrame(rows, "path string, title string, content string"))
 
 
+@query(
+    f"""WITH p AS (SELECT path, title FROM {_LINKS} UNION ALL SELECT url, regexp_extract(html, '<title>([^<]*)', 1) FROM pages),
+l AS (SELECT path, trim(unnest(regexp_extract_all(content, '\\[\\[([^\\]]+)\\]\\]', 1))) AS target FROM {_LINKS} UNION ALL SELECT url, trim(unnest(regexp_extract_all(html, 'href="([^"\\]]+)"', 1))) FROM pages),
+t AS (SELECT DISTINCT target FROM l), b AS (SELECT target FROM t WHERE target NOT IN (SELECT title FROM p) AND NOT EXISTS (SELECT 1 FROM p WHERE contains(p.path, t.target)))
+SELECT path, target FROM l WHERE target IN (SELECT target FROM b)"""
+)
+def broken_links_whole(spark: SparkSession, sf: str) -> DataFrame:
+    """The literal rows, and every web page: its url, its title and its hrefs."""
+    rows = [("entities/beta.md", "B", "see [[A]] and [[beta]] [[zzz]]"), ("entities/a.md", "A", "[[ B ]] [[be]] [[none]] [[zzz]]"), ("concepts/c.md", "C", "no links")]
+    hrefs = F.transform(F.regexp_extract_all("html", F.lit(r'href="([^"\]]+)"'), F.lit(1)), lambda x: F.concat(F.lit("[["), x, F.lit("]]")))
+    web = table(spark, sf, "pages").select(F.col("url").alias("path"), F.regexp_extract("html", "<title>([^<]*)", 1).alias("title"), F.array_join(hrefs, " ").alias("content"))
+    return pages.broken_links(spark.createDataFrame(rows, "path string, title string, content string").unionByName(web))
+
+
 # extraction and conflicts
 
 _LINES = [
@@ -347,6 +361,24 @@ def _named_by_texts(d: DataFrame) -> DataFrame:
     return d.select(F.concat(F.lit("entities/"), second, F.lit("-"), F.col("doc_id").cast("string"), F.lit(".md")).alias("path"), F.concat(first, F.lit(" "), second).alias("title"), "doc_id")
 
 
+def _all_named(spark: SparkSession, sf: str) -> DataFrame:
+    return spark.createDataFrame(_NAMED, "path string, title string").unionByName(_named_by_texts(table(spark, sf, "documents")).drop("doc_id"))
+
+
+@query()
+def dedup_index_whole(spark: SparkSession, sf: str) -> DataFrame:
+    """The literal pages and one for each document."""
+    return plans.dedup_index(_all_named(spark, sf))
+
+
+@query()
+def plan_dedup_whole(spark: SparkSession, sf: str) -> DataFrame:
+    """The literal operations, and one for each document that creates a page of its title."""
+    made = _named_by_texts(table(spark, sf, "documents")).select((F.col("doc_id") + 100).cast("long").alias("window"), F.lit(0).alias("seq"), F.lit("create").alias("kind"), F.concat(F.lit("concepts/"), F.col("doc_id").cast("string"), F.lit("_.md")).alias("path"), F.concat(F.lit("---\ntitle: "), F.regexp_replace("title", r"\s+", " "), F.lit("\n---\nD")).alias("content"))
+    ops = _ops(spark).withColumn("window", F.col("window").cast("long")).unionByName(made)
+    return plans.dedup_plan(ops, plans.dedup_index(_all_named(spark, sf))).select(F.col("window").alias("win"), "seq", "kind", "path")
+
+
 @query()
 def prompt_pages_whole(spark: SparkSession, sf: str) -> DataFrame:
     """Every document is a page and a window."""

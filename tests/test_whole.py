@@ -1,6 +1,7 @@
 """Queries over whole tables against brute force."""
 
 import re
+import unicodedata
 
 import pytest
 
@@ -40,3 +41,33 @@ def test_uploads_of_the_whole_table(spark, data, documents):
     assert {r["seq"] for r in got} == {i for i, _ in documents if i % 6 >= 2}
     last = {r["status"] for r in got if r["seq"] >= len(documents) - 12}
     assert last == {"created", "duplicate", "renamed"}
+
+
+def test_dedup_over_all_titles(spark, data, documents):
+    key = lambda s: re.sub(f"[{plans.DROPPED}]+", "", unicodedata.normalize("NFKC", s).lower())
+    pages = [("entities/gb-1.md", "GB 1"), ("entities/GB标1.md", "GB1"), ("concepts/x_y.md", "x y")] + [x[1:] for x in named(documents)]
+    paths = {}
+    for path, title in pages:
+        for k in (path.split("/")[-1][:-3], title):
+            paths.setdefault(key(k), set()).add(path)
+    index = {}
+    for k, found in paths.items():
+        plain = {p for p in found if re.fullmatch(r"[\x20-\x7E]+", p.split("/")[-1])}
+        if len(k) >= 2 and (len(found) == 1 or len(plain) == 1):
+            index[k] = min(found if len(found) == 1 else plain)
+    got = catalogue.QUERIES["dedup_index_whole"](spark, data).collect()
+    assert {r["key"]: r["path"] for r in got} == index and len(got) == len(index)
+    rows = {r["win"]: (r["kind"], r["path"]) for r in catalogue.QUERIES["plan_dedup_whole"](spark, data).collect() if r["win"] >= 100}
+    assert set(rows) == {i + 100 for i, _ in documents}
+    for i, _, title in named(documents):
+        to = index.get(key(f"{i}_")) or index.get(key(title.strip()))
+        assert rows[i + 100] == (("update", to) if to else ("create", f"concepts/{i}_.md")), title
+
+
+def test_links_of_all_pages(spark, data):
+    pages = spark.read.parquet(f"{data}/pages.parquet").collect()
+    title = {re.search("<title>([^<]*)", r["html"])[1] for r in pages} | {"A", "B", "C"}
+    paths = [r["url"] for r in pages] + ["entities/beta.md", "entities/a.md", "concepts/c.md"]
+    want = sorted((r["url"], x) for r in pages for x in re.findall('href="([^"]+)"', r["html"]) if x not in title and not any(x in path for path in paths))
+    got = sorted((r["path"], r["target"]) for r in catalogue.QUERIES["broken_links_whole"](spark, data).collect() if "/" in r["target"])
+    assert want and got == want
