@@ -432,7 +432,7 @@ def trace_label(spark: SparkSession, sf: str) -> DataFrame:
     from pyspark.sql import Window
 
     n = F.row_number().over(Window.partitionBy("user_id").orderBy("event_id"))
-    e = table(spark, sf, "events").withColumn("n", n).where("n < 1000")
+    e = table(spark, sf, "events").withColumn("n", n)
     return e.select("event_id", sessions.trace_label(F.col("n"), F.col("ts"), F.concat(F.lit("u"), F.col("user_id").cast("string"), F.lit("/x"))).alias("label"))
 
 

@@ -71,3 +71,9 @@ def test_links_of_all_pages(spark, data):
     want = sorted((r["url"], x) for r in pages for x in re.findall('href="([^"]+)"', r["html"]) if x not in title and not any(x in path for path in paths))
     got = sorted((r["path"], r["target"]) for r in catalogue.QUERIES["broken_links_whole"](spark, data).collect() if "/" in r["target"])
     assert want and got == want
+
+
+def test_labels_go_on_after_999(spark, tmp_path):
+    spark.range(1, 1203).selectExpr("id AS event_id", "7L AS user_id", "timestamp '2024-01-02 03:04:05' AS ts").write.parquet(f"{tmp_path}/events.parquet")
+    got = {r["event_id"]: r["label"].split("-")[0] for r in catalogue.QUERIES["trace_label"](spark, str(tmp_path)).collect()}
+    assert got == {i: f"{i:03d}" for i in range(1, 1203)}
