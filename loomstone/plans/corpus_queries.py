@@ -442,11 +442,24 @@ k AS (SELECT call_id, type, count(*) AS n, min(seq) AS f FROM p GROUP BY call_id
 SELECT p.call_id, coalesce(string_agg(x, '' ORDER BY seq) FILTER (WHERE type = 'text-delta'), '') AS text, (SELECT string_agg(type || ':' || n, ',' ORDER BY f) FROM k WHERE k.call_id = p.call_id) AS types, CASE WHEN count(*) FILTER (WHERE type = 'finish') > 0 THEN 'ok' ELSE 'error' END AS outcome, coalesce(min(seq * 10) FILTER (WHERE type = 'text-delta'), -1)::BIGINT AS first_delta_ms FROM p GROUP BY p.call_id"""
 )
 def stream_fold(spark: SparkSession, sf: str) -> DataFrame:
+    return _folded(spark, sf, F.substring("text", 1, 20))
+
+
+def _folded(spark: SparkSession, sf: str, said) -> DataFrame:
     kind = F.when(F.col("role") == "user", "reasoning-delta").when(F.col("role") == "assistant", "text-delta").otherwise("finish")
-    parts = table(spark, sf, "conversations").select(F.col("conv_id").alias("call_id"), F.col("turn").alias("seq"), kind.alias("type"), F.substring("text", 1, 20).alias("text"), F.when(kind == "finish", "stop").alias("finish_kind"), (F.col("turn") * 10).alias("t_ms"))
+    parts = table(spark, sf, "conversations").select(F.col("conv_id").alias("call_id"), F.col("turn").alias("seq"), kind.alias("type"), said.alias("text"), F.when(kind == "finish", "stop").alias("finish_kind"), (F.col("turn") * 10).alias("t_ms"))
     return sessions.stream_fold(parts).withColumn("first_delta_ms", F.coalesce("first_delta_ms", F.lit(-1).cast("long")))
 
 
+@query(
+    """WITH p AS (SELECT conv_id AS call_id, turn AS seq, CASE role WHEN 'user' THEN 'reasoning-delta' WHEN 'assistant' THEN 'text-delta' ELSE 'finish' END AS type, text AS x FROM conversations),
+k AS (SELECT call_id, type, count(*) AS n, min(seq) AS f FROM p GROUP BY call_id, type)
+SELECT p.call_id, coalesce(string_agg(x, '' ORDER BY seq) FILTER (WHERE type = 'text-delta'), '') AS text, (SELECT string_agg(type || ':' || n, ',' ORDER BY f) FROM k WHERE k.call_id = p.call_id) AS types, CASE WHEN count(*) FILTER (WHERE type = 'finish') > 0 THEN 'ok' ELSE 'error' END AS outcome, coalesce(min(seq * 10) FILTER (WHERE type = 'text-delta'), -1)::BIGINT AS first_delta_ms FROM p GROUP BY p.call_id"""
+)
+def stream_fold_whole(spark: SparkSession, sf: str) -> DataFrame:
+    return _folded(spark, sf, F.col("text"))
+
+
 # streams
 
 

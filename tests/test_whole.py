@@ -77,3 +77,12 @@ def test_labels_go_on_after_999(spark, tmp_path):
     spark.range(1, 1203).selectExpr("id AS event_id", "7L AS user_id", "timestamp '2024-01-02 03:04:05' AS ts").write.parquet(f"{tmp_path}/events.parquet")
     got = {r["event_id"]: r["label"].split("-")[0] for r in catalogue.QUERIES["trace_label"](spark, str(tmp_path)).collect()}
     assert got == {i: f"{i:03d}" for i in range(1, 1203)}
+
+
+def test_folds_hold_the_whole_texts(spark, data):
+    rows = spark.read.parquet(f"{data}/conversations.parquet").where("role = 'assistant'").collect()
+    said = {}
+    for r in sorted(rows, key=lambda r: r["turn"]):
+        said[r["conv_id"]] = said.get(r["conv_id"], "") + r["text"]
+    got = {r["call_id"]: r["text"] for r in catalogue.QUERIES["stream_fold_whole"](spark, data).collect()}
+    assert {k: v for k, v in got.items() if v} == {k: v for k, v in said.items() if v}
