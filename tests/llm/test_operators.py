@@ -33,6 +33,24 @@ def test_quality_keeps_trusted_and_rejects_junk(docs, labels, empty):
     assert quality.quality(empty, labels).count() == 0
 
 
+def test_quality_of_a_language_with_one_trusted_document(spark):
+    r = random.Random(3)
+    words = [a + b for a in ("al", "be", "co", "du") for b in ("ra", "li", "mo", "nu")]
+
+    def say(lang, share=None):
+        share = r.uniform(0.1, 0.5) if share is None else share
+        return " ".join(f"rare{r.random()}" if r.random() < share + 0.2 * (lang == "x") else r.choice(words) for _ in range(r.randint(60, 120)))
+
+    odd = spark.range(2000, 2100).where("pmod(xxhash64(id), 2) = 1").first()[0]  # stays out of the sample
+    rows = [(i, say("x" if i >= 1000 else "", 0.3 if i == odd else None), "xx" if i >= 1000 else "en") for i in (*range(300), *range(1000, 1060), odd)]
+    good = spark.createDataFrame([(i, 1, 0) for i in (*range(300), odd)], "doc_id long, quality int, toxic int")
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = [x for x in quality.quality(docs, good, train_docs=100).collect() if x["lang"] == "xx"]
+    assert len(got) == 61 and sum(not x["keep"] for x in got) <= 2
+    alone = quality.quality(docs.where("lang = 'xx'"), good, train_docs=100).collect()
+    assert len(alone) == 61 and all(x["keep"] for x in alone)
+
+
 def test_kneser_ney_sums_to_one(spark):
     text = "a b a c a b d a b a e"
     model = quality.train(spark.createDataFrame([(text,), ("b a c",), ("a",)], "text string"))
