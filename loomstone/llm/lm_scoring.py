@@ -16,6 +16,8 @@ joined with the table of counts.
 
 from __future__ import annotations
 
+import collections
+import math
 import zlib
 
 import numpy as np
@@ -31,7 +33,7 @@ FREQUENT = 1 << 19
 FOLDS, HELD_OUT = 7, 2
 #: Words whose spelling a worker remembers, at most; then it starts anew.
 MEMORY = 1 << 20
-#: Longer words are spelled in pieces of this many characters.
+#: Longer words are spelled one at a time, with the last few sums alone in memory.
 WORD_CHARS = 64
 #: The end of a text counts as a token; this is its hash.
 END = np.uint64(0x5D1E0F7EA3C9B241)
@@ -88,12 +90,23 @@ class Lattice:
             chars = np.frombuffer("".join(words[k] for k in at).encode("utf-32-le", "surrogatepass"), np.uint32).reshape(len(at), n)
             out[at] = self._forward(np.concatenate((np.full((len(at), 1), 0x2581, np.uint32), chars), axis=1))
         for k in long:
-            w = words[k]
-            parts = [w[i : i + WORD_CHARS] for i in range(0, len(w), WORD_CHARS)]
-            tails = np.frombuffer("".join(p.ljust(WORD_CHARS, "\0") for p in parts[:-1]).encode("utf-32-le", "surrogatepass"), np.uint32).reshape(len(parts) - 1, WORD_CHARS)
-            out[k] = self._forward(tails).sum() + self.score([parts[-1]])[0]
+            out[k] = self._rolling("\u2581" + words[k])
         return out
 
+    def _rolling(self, word: str) -> float:
+        """_forward of one word of any length: a sum needs only the last ``longest`` ones before it."""
+        alpha = collections.deque([0.0], self.longest)
+        for j in range(1, len(word) + 1):
+            c = ord(word[j - 1])
+            logs = [alpha[-1] + (1 if c < 0x80 else 2 if c < 0x800 else 3 if c < 0x10000 else 4) * self.byte]
+            for n in range(1, len(alpha) + 1):
+                log = self.pieces.get(word[j - n : j])
+                if log is not None:
+                    logs.append(alpha[-n] + log)
+            top = max(logs)
+            alpha.append(top + math.log(sum(math.exp(x - top) for x in logs)))
+        return alpha[-1]
+
     def _forward(self, chars: np.ndarray) -> np.ndarray:
         rows, n = chars.shape
         alpha = np.full((n + 1, rows), -np.inf)
@@ -162,8 +175,8 @@ def lm_scores(docs: DataFrame, pieces: str | None = None, smoothing: float | Non
 
     Scores are log10.  A null or wordless text is its end alone.  Repeated rows get a
     row each and count as often in training.  A null id is training text.  Without
-    training texts all counts are 0, the base score is 0 and the score the lattice's.  A text is read whole, a word of more than 64
-    characters is spelled in parts of 64.  Other columns are not read.
+    training texts all counts are 0, the base score is 0 and the score the lattice's.  A text and each of its words
+    are read whole.  Other columns are not read.
     """
     if pieces is None:
         import public_tokenizers

@@ -51,6 +51,14 @@ def test_quality_of_a_language_with_one_trusted_document(spark):
     assert len(alone) == 61 and all(x["keep"] for x in alone)
 
 
+def test_long_words_are_weighed_whole():
+    model = lm_scoring.lattice(public_tokenizers.path(lm_scoring.PIECES))
+    for word in ("internationalisation" * 9, "https://example.org/" + "aé中😀the" * 40, "x" * 65):
+        chars = np.array([[0x2581, *map(ord, word)]], np.uint32)
+        assert abs(model.score([word])[0] - model._forward(chars)[0]) < 1e-6
+    assert np.isfinite(model.score(["the" * 50_000])[0])
+
+
 def test_kneser_ney_sums_to_one(spark):
     text = "a b a c a b d a b a e"
     model = quality.train(spark.createDataFrame([(text,), ("b a c",), ("a",)], "text string"))
