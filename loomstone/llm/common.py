@@ -17,6 +17,7 @@ from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
+from pyspark.core.broadcast import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -35,29 +36,37 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def ready(spark: SparkSession) -> None:
-    """Sees to a checkpoint folder: the session's own, or a temporary one where none is set (tests)."""
+    """Sees to a checkpoint folder: the session's own, or a temporary one where none is set and all runs in one process (tests)."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoint-"))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if folder is None and not sc.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
+        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="checkpoint-"))
 
 
-def settled(df: DataFrame) -> DataFrame:
+def settled(df: DataFrame, *spent: Broadcast) -> DataFrame:
     """The same rows, read from the shared checkpoint folder; a lost executor costs no recomputation.
 
-    Spark drops shuffle and checkpoint files when the driver's collector finds that
-    nothing refers to them; it is asked to look before each step, as the files of the
-    steps before would else add up on the disks.
+    ``spent`` are broadcast values that nothing needs once the rows are written; they are
+    dropped everywhere.  Spark drops shuffle and checkpoint files (these where
+    spark.cleaner.referenceTracking.cleanCheckpoints is set) when the driver's collector
+    finds that nothing refers to them; it is asked to look before each step, as the files
+    of the steps before would else add up on the disks.
     """
     ready(df.sparkSession)
     df.sparkSession.sparkContext._jvm.System.gc()
-    return df.checkpoint(eager=True)
+    out = df.checkpoint(eager=True)
+    for b in spent:
+        b.destroy()
+    return out
 
 
-def stored(df: DataFrame) -> DataFrame:
-    """The same rows, written as Parquet below the shared checkpoint folder and read again."""
+def stored(df: DataFrame, path: str | None = None) -> DataFrame:
+    """The same rows, written as Parquet below the shared checkpoint folder, over what was there, and read again."""
     ready(df.sparkSession)
-    path = f"{df.sparkSession.sparkContext.getCheckpointDir()}/{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    path = f"{df.sparkSession.sparkContext.getCheckpointDir()}/{path or uuid.uuid4().hex}"
+    df.write.mode("overwrite").parquet(path)
     return df.sparkSession.read.parquet(path)
 
 
@@ -206,27 +215,44 @@ def per_batch(df: DataFrame, make: Callable[[pa.RecordBatch], Iterator[pa.Record
     return df.mapInArrow(run, schema)
 
 
-#: Ids that a filter of fixed size lets through: 2**26 bits, 8 MB, whatever the number of ids.
-FILTER_BITS = 26
+#: A bitmap has some this many bits for each entry, within these bounds (128 KB and 64 MB).
+BITS_EACH, LEAST_BITS, MOST_BITS = 12, 20, 29
 
 
-def id_filter(ids: DataFrame, column: str) -> np.ndarray:
-    """A bitmap of fixed size that covers the given ids (a superset passes; a join afterwards is exact).
+def map_bits(n: int) -> int:
+    """The size, as a power of two, of a bitmap for n entries; beyond the bound more rows pass it and the joins behind do the work."""
+    return min(MOST_BITS, max(LEAST_BITS, (BITS_EACH * max(n, 1) - 1).bit_length()))
 
-    Built with Spark's bitmap aggregates: the driver gets at most 2048 pieces of 4 KB.
-    """
-    slot = F.pmod(F.xxhash64(F.col(column).cast("long")), F.lit(1 << FILTER_BITS))
-    pieces = ids.select((slot / 32768).cast("int").alias("piece"), F.pmod(slot, F.lit(32768)).alias("bit")).groupBy("piece").agg(F.bitmap_construct_agg("bit").alias("bits")).collect()
-    out = np.zeros((1 << FILTER_BITS) // 8, np.uint8)
-    for r in pieces:
-        bits = np.frombuffer(bytes(r["bits"]), np.uint8)
-        out[r["piece"] * 4096 : r["piece"] * 4096 + len(bits)] = bits
+
+def _bitmap(slots: DataFrame, bits: int) -> np.ndarray:
+    """From a column ``slot``; built with Spark's bitmap aggregates, so the driver gets pieces of 4 KB, as many as the size says."""
+    pieces = slots.select((F.col("slot") / 32768).cast("int").alias("piece"), F.pmod("slot", F.lit(32768)).alias("bit")).groupBy("piece").agg(F.bitmap_construct_agg("bit").alias("bits"))
+    out = np.zeros((1 << bits) // 8, np.uint8)
+    for batch in pieces.toArrow().to_batches():
+        for piece, raw in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+            found = np.frombuffer(raw.as_buffer(), np.uint8)
+            out[piece * 4096 : piece * 4096 + len(found)] = found
     return out
 
 
-def slot_column(column: str):
+def hash_map(hashes: DataFrame, column: str, bits: int) -> np.ndarray:
+    """A bitmap of the top bits of 64-bit hashes."""
+    return _bitmap(hashes.select(F.shiftrightunsigned(column, 64 - bits).alias("slot")), bits)
+
+
+def in_map(bitmap: np.ndarray, h: np.ndarray, bits: int) -> np.ndarray:
+    return passes(bitmap, (h >> np.uint64(64 - bits)).astype(np.int64))
+
+
+def id_filter(ids: DataFrame, column: str) -> tuple[np.ndarray, int]:
+    """A bitmap that covers the given ids, and its size (a superset passes; a join afterwards is exact)."""
+    bits = map_bits(ids.count())
+    return _bitmap(ids.select(slot_column(column, bits).alias("slot")), bits), bits
+
+
+def slot_column(column: str, bits: int):
     """Where id_filter() looks an id up."""
-    return F.pmod(F.xxhash64(F.col(column).cast("long")), F.lit(1 << FILTER_BITS)).cast("int")
+    return F.shiftrightunsigned(F.xxhash64(F.col(column).cast("long")), 64 - bits).cast("int")
 
 
 def passes(bitmap: np.ndarray, slots: np.ndarray) -> np.ndarray:

@@ -25,6 +25,7 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
+from pyspark.core.broadcast import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -158,7 +159,8 @@ def whole_sets(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
 
     A bitmap of fixed size spares the other documents the work; the join is exact.
     """
-    bitmap = docs.sparkSession.sparkContext.broadcast(common.id_filter(wanted, "id"))
+    found, size = common.id_filter(wanted, "id")
+    bitmap = docs.sparkSession.sparkContext.broadcast(found)
     empty = pa.RecordBatch.from_arrays([pa.array([], pa.int64()), pa.array([], pa.int64()), _longs([])], ["id", "f", "s"])
 
     def make(batch: pa.RecordBatch):
@@ -171,20 +173,21 @@ def whole_sets(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
             f = [int.from_bytes(hashlib.blake2b(x.tobytes(), digest_size=16).digest()[:8], "little", signed=True) for x in found]
             yield pa.RecordBatch.from_arrays([batch.column(0)[at:end], pa.array(f, pa.int64()), _longs(found)], ["id", "f", "s"])
 
-    rows = common.per_batch(docs.where("doc_id is not null").select("doc_id", "text", common.slot_column("doc_id").alias("slot")), make, "id long, f long, s array<long>")
-    return rows.join(wanted.select("id").distinct(), "id", "left_semi").dropDuplicates(["id", "f"])
+    rows = common.per_batch(docs.where("doc_id is not null").select("doc_id", "text", common.slot_column("doc_id", size).alias("slot")), make, "id long, f long, s array<long>")
+    return common.settled(rows.join(wanted.select("id").distinct(), "id", "left_semi").dropDuplicates(["id", "f"]), bitmap)
 
 
-def _postings(prof: DataFrame, classes: DataFrame) -> DataFrame:
+def _postings(prof: DataFrame, classes: DataFrame) -> tuple[DataFrame, Broadcast]:
     """(h, g, n): the prefixes of the first documents of the classes, and of the few others that the bitmap of their ids lets through."""
-    bitmap = prof.sparkSession.sparkContext.broadcast(common.id_filter(classes, "class_id"))
+    found, size = common.id_filter(classes, "class_id")
+    bitmap = prof.sparkSession.sparkContext.broadcast(found)
 
     def make(batch: pa.RecordBatch):
         batch = batch.filter(pa.array(common.passes(bitmap.value, batch.column(3).to_numpy(zero_copy_only=False))))
         of = pa.array(np.repeat(np.arange(batch.num_rows), batch.column(2).value_lengths().to_numpy(zero_copy_only=False)))
         yield pa.RecordBatch.from_arrays([batch.column(2).flatten(), batch.column(0).take(of), batch.column(1).take(of)], ["h", "g", "n"])
 
-    return common.per_batch(prof.where("n > 0 and doc_id is not null").select("doc_id", "n", "prefix", common.slot_column("doc_id").alias("slot")), make, "h long, g long, n long")
+    return common.per_batch(prof.where("n > 0 and doc_id is not null").select("doc_id", "n", "prefix", common.slot_column("doc_id", size).alias("slot")), make, "h long, g long, n long"), bitmap
 
 
 def links(docs: DataFrame, pairs: DataFrame, bits: DataFrame, width: int, least: int) -> DataFrame:
@@ -198,7 +201,7 @@ def links(docs: DataFrame, pairs: DataFrame, bits: DataFrame, width: int, least:
     pairs = common.per_batch(pairs.join(y, "b").join(x, "a").select("a", "b", "bitsa", "bitsb", "na", "nb"), make, "a long, b long")
     pairs = common.settled(pairs.distinct())
     wanted = pairs.select(F.explode(F.array(F.struct(F.col("a").alias("id")), F.struct(F.col("b").alias("id")))).alias("x")).select("x.id").distinct()
-    found = common.settled(whole_sets(docs, wanted, width))
+    found = whole_sets(docs, wanted, width)
     a, b = found.select(F.col("id").alias("a"), F.col("s").alias("sa")), found.select(F.col("id").alias("b"), F.col("s").alias("sb"))
     both = F.size(F.array_intersect("sa", "sb"))
     return pairs.join(b, "b").join(a, "a").where(100 * both >= least * (F.size("sa") + F.size("sb") - both)).select("a", "b").distinct()
@@ -272,14 +275,14 @@ def jaccard_components(docs: DataFrame, width: int = SHINGLE, least: int = LEAST
     """
     docs = docs.select(docs[key].cast("long").alias("doc_id"), docs[text].alias("text"))
     frequent = docs.sparkSession.sparkContext.broadcast(frequent_shingles(docs, width, FREQUENT))
-    prof = common.settled(profiles(docs, frequent, width, least))
+    prof = common.settled(profiles(docs, frequent, width, least), frequent)
     bits = prof.where("n > 0 and doc_id is not null").select(F.col("doc_id").alias("id"), "n", "bits")
     classes = prof.where("n > 0 and doc_id is not null").groupBy("n", "f1", "f2").agg(F.min("doc_id").alias("class_id"))
     classes = common.settled(classes)
     # postings of classes, without the shingles of a single class
-    postings = _postings(prof, classes)
+    postings, spent = _postings(prof, classes)
     shared = common.settled(postings.groupBy("h").agg(F.count("*").alias("c")).where("c > 1").select("h"))
-    listed = common.settled(postings.join(shared, "h"))
+    listed = common.settled(postings.join(shared, "h"), spent)
     size_class = size_class_column("n", least)
     listed = listed.select("h", "g", "n", F.explode(F.array(size_class, size_class + 1)).alias("c"))
     # lists with the same members are one

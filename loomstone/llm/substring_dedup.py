@@ -1,18 +1,24 @@
 """Removal of long word sequences that an earlier document has, by compacting a de Bruijn graph.
 
-Nodes are sequences of ``K`` words.  Of the nodes of each window of ``SPAN`` words the
-one with the least hash is its anchor, so equal windows have equal anchors, and
-consecutive windows with one anchor form an edge: the words they cover together.
-
-* The edges of an anchor that all say the same are a nonbranching path: it is
-  compacted to its earliest document, and the edges of later documents are repeats.
-* Where an anchor branches, the same holds for each of its distinct edges; what is
-  left, the edges of each one's earliest document, is compared window by window,
-  read again at its coordinates in the source texts.
-
-Only anchors are shuffled (about one word in twelve); windows are only at
-branches.  Anchors and documents without repeats are kept out of the joins by
-bitmaps of fixed size, behind which the joins are exact.
+The graph is that of order ``SPAN``: each window of 50 words is a token k-mer, an edge
+from its first to its last 49 words, and a text is a path of such edges.
+
+* Edges are dealt out by their minimizer, the one of their sequences of ``K`` words with
+  the least hash: equal edges have equal minimizers, and consecutive edges with one
+  minimizer are a piece of path.  Only these pieces (one for some thirteen words) are
+  shuffled, not the k-mers.
+* A minimizer whose pieces all say the same has no branch: joined with the earliest
+  place of that piece, each later one is a repeat.  Where it branches, the same holds for
+  each of its distinct pieces, and the earliest of these are taken apart into their edges,
+  which are grouped by themselves.
+* Pieces of a text that follow each other and repeat a source at one shift are compacted
+  to one long span (document, words, source, words of the source).
+* Every span is verified at its coordinates in both source texts, by a digest of the words
+  themselves.  The edges of spans that fail, which takes a collision of 64-bit hashes, are
+  grouped again by such digests.
+
+Pieces and documents without repeats are kept out of the joins by bitmaps whose size
+follows a count, behind which the joins are exact.
 """
 
 from __future__ import annotations
@@ -21,7 +27,8 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.core.broadcast import Broadcast
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from loomstone.llm import common
@@ -32,6 +39,11 @@ _BASE = 0x9E6C63D0876A9A47
 _INVERSE = pow(_BASE, -1, 1 << 64)
 
 
+def _hashes(data: np.ndarray, first: np.ndarray, length: np.ndarray, bits: int) -> np.ndarray:
+    h = common.word_hashes(data, first, length)
+    return h if bits == 64 else h >> np.uint64(64 - bits)
+
+
 def edges(h: np.ndarray, row: np.ndarray, span: int, k: int) -> tuple[np.ndarray, ...]:
     """(anchor, content, row, first window, last window) of the edges of a chunk; windows by their first word in the chunk."""
     none = np.zeros(0, np.int64)
@@ -90,22 +102,22 @@ def kept_text(data: np.ndarray, offsets: np.ndarray, first: np.ndarray, length:
 
 
 def _tag(data: np.ndarray, offsets: np.ndarray) -> pa.Array:
-    """32 bits of each text, which tell rows with one doc_id apart."""
+    """64 bits of each text, which tell rows with one doc_id apart."""
     raw = data.tobytes()
-    return pa.array([int.from_bytes(hashlib.blake2b(raw[a:b], digest_size=4).digest(), "little", signed=True) for a, b in zip(offsets[:-1], offsets[1:], strict=True)], pa.int32())
+    return pa.array([int.from_bytes(hashlib.blake2b(raw[a:b], digest_size=8).digest(), "little", signed=True) for a, b in zip(offsets[:-1], offsets[1:], strict=True)], pa.int64())
 
 
 def _lists(values: np.ndarray, row: np.ndarray, rows: int, kind) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(np.searchsorted(row, np.arange(rows + 1)), pa.int32()), pa.array(values, kind))
 
 
-def profiles(docs: DataFrame, span: int, k: int) -> DataFrame:
+def profiles(docs: DataFrame, span: int, k: int, bits: int = 64) -> DataFrame:
     """Each document's words, the digest of all of them, and its edges (numbered by its own words)."""
 
     def make(batch: pa.RecordBatch):
         for at, end, data, offsets in common.chunks(batch.column(1)):
             first, length, row = common.words(data, offsets)
-            h = common.word_hashes(data, first, length)
+            h = _hashes(data, first, length, bits)
             sizes = np.bincount(row, minlength=end - at)
             a, c, of, s0, s1 = edges(h, row, span, k)
             start = (np.cumsum(sizes) - sizes)[of]
@@ -113,110 +125,166 @@ def profiles(docs: DataFrame, span: int, k: int) -> DataFrame:
             lists = [_lists(common.signed(a), of, end - at, pa.int64()), _lists(common.signed(c), of, end - at, pa.int64()), _lists((s0 - start).astype(np.int32), of, end - at, pa.int32()), _lists((s1 - start).astype(np.int32), of, end - at, pa.int32())]
             yield pa.RecordBatch.from_arrays([batch.column(0)[at:end], _tag(data, offsets), pa.array(sizes.astype(np.int64)), pa.array(whole), *lists], ["doc_id", "t", "n_words", "sha", "a", "c", "s0", "s1"])
 
-    return common.per_batch(docs, make, "doc_id long, t int, n_words long, sha string, a array<long>, c array<long>, s0 array<int>, s1 array<int>")
+    return common.per_batch(docs, make, "doc_id long, t long, n_words long, sha string, a array<long>, c array<long>, s0 array<int>, s1 array<int>")
 
 
-def _only(profiles: DataFrame, anchors: DataFrame) -> DataFrame:
-    """(a, c, doc_id, t, s0, s1): the edges whose anchor a bitmap of the given anchors lets through."""
-    bitmap = anchors.sparkSession.sparkContext.broadcast(common.id_filter(anchors, "a"))
-    slots = profiles.where("doc_id is not null and size(a) > 0").select("doc_id", "t", "a", "c", "s0", "s1", F.transform("a", lambda x: F.pmod(F.xxhash64(x), F.lit(1 << common.FILTER_BITS)).cast("int")).alias("slot"))
+def _only(profiles: DataFrame, anchors: DataFrame) -> tuple[DataFrame, Broadcast]:
+    """(a, c, doc_id, t, s0, s1): the pieces whose anchor a bitmap of the given anchors lets through."""
+    bits = common.map_bits(anchors.count())
+    bitmap = anchors.sparkSession.sparkContext.broadcast(common.hash_map(anchors, "a", bits))
 
     def make(batch: pa.RecordBatch):
         rows = np.repeat(np.arange(batch.num_rows), batch.column(2).value_lengths().to_numpy(zero_copy_only=False))
-        a, c, s0, s1, slot = (batch.column(i).flatten() for i in range(2, 7))
-        ok = common.passes(bitmap.value, slot.to_numpy(zero_copy_only=False))
+        a, c, s0, s1 = (batch.column(i).flatten() for i in range(2, 6))
+        ok = common.in_map(bitmap.value, a.to_numpy(zero_copy_only=False).view(np.uint64), bits)
         of = pa.array(rows[ok])
-        yield pa.RecordBatch.from_arrays([a.filter(pa.array(ok)), c.filter(pa.array(ok)), batch.column(0).take(of), batch.column(1).take(of), s0.filter(pa.array(ok)), s1.filter(pa.array(ok))], ["a", "c", "doc_id", "t", "s0", "s1"])
+        ok = pa.array(ok)
+        yield pa.RecordBatch.from_arrays([a.filter(ok), c.filter(ok), batch.column(0).take(of), batch.column(1).take(of), s0.filter(ok), s1.filter(ok)], ["a", "c", "doc_id", "t", "s0", "s1"])
 
-    return common.per_batch(slots, make, "a long, c long, doc_id long, t int, s0 int, s1 int")
+    return common.per_batch(profiles.where("doc_id is not null and size(a) > 0").select("doc_id", "t", "a", "c", "s0", "s1"), make, "a long, c long, doc_id long, t long, s0 int, s1 int"), bitmap
 
 
 def _at(docs: DataFrame, places: DataFrame, make, schema: str) -> DataFrame:
-    """Runs make(batch of doc_id, text, t, lo, hi) on the documents that have places (doc_id, t, s0, s1)."""
-    per_doc = common.settled(places.groupBy("doc_id", "t").agg(F.collect_list(F.struct("s0", "s1")).alias("x")).select("doc_id", "t", F.col("x.s0").alias("lo"), F.col("x.s1").alias("hi")))
-    bitmap = docs.sparkSession.sparkContext.broadcast(common.id_filter(per_doc, "doc_id"))
+    """Runs make(batch of doc_id, text, t, lo, hi, gone) on the documents that have places (doc_id, t, s0, s1, gone)."""
+    per_doc = common.settled(places.groupBy("doc_id", "t").agg(F.collect_list(F.struct("s0", "s1", "gone")).alias("x")).select("doc_id", "t", F.col("x.s0").alias("lo"), F.col("x.s1").alias("hi"), F.col("x.gone").alias("gone")))
+    found, size = common.id_filter(per_doc, "doc_id")
+    bitmap = docs.sparkSession.sparkContext.broadcast(found)
 
     def tagged(batch: pa.RecordBatch):
         batch = batch.filter(pa.array(common.passes(bitmap.value, batch.column(2).to_numpy(zero_copy_only=False))))
         for at, end, data, offsets in common.chunks(batch.column(1)):
             yield pa.RecordBatch.from_arrays([batch.column(0)[at:end], batch.column(1)[at:end], _tag(data, offsets)], ["doc_id", "text", "t"])
         if not batch.num_rows:
-            yield pa.RecordBatch.from_arrays([pa.array([], pa.int64()), pa.array([], pa.string()), pa.array([], pa.int32())], ["doc_id", "text", "t"])
+            yield pa.RecordBatch.from_arrays([pa.array([], pa.int64()), pa.array([], pa.string()), pa.array([], pa.int64())], ["doc_id", "text", "t"])
+
+    rows = common.per_batch(docs.where("doc_id is not null").select("doc_id", "text", common.slot_column("doc_id", size).alias("slot")), tagged, "doc_id long, text string, t long")
+    return common.settled(common.per_batch(rows.dropDuplicates(["doc_id", "t"]).join(per_doc, ["doc_id", "t"]).select("doc_id", "text", "t", "lo", "hi", "gone"), make, schema), bitmap)
 
-    rows = common.per_batch(docs.where("doc_id is not null").select("doc_id", "text", common.slot_column("doc_id").alias("slot")), tagged, "doc_id long, text string, t int")
-    return common.per_batch(rows.dropDuplicates(["doc_id", "t"]).join(per_doc, ["doc_id", "t"]).select("doc_id", "text", "t", "lo", "hi"), make, schema)
 
+def _placed(batch: pa.RecordBatch):
+    """For each chunk of texts: its rows, words and places, these as numbers of words in the chunk."""
+    for at, end, data, offsets in common.chunks(batch.column(1)):
+        first, length, row = common.words(data, offsets)
+        part = batch.slice(at, end - at)
+        of = np.repeat(np.arange(end - at), part.column(3).value_lengths().to_numpy(zero_copy_only=False))
+        sizes = np.bincount(row, minlength=end - at)
+        start = np.cumsum(sizes) - sizes
+        lo, hi = (part.column(i).flatten().to_numpy() + start[of] for i in (3, 4))
+        yield part, data, offsets, first, length, row, start, of, lo, hi
+
+
+def _edges_at(span: int, exact: bool, bits: int = 64):
+    """The windows at the places, by a hash of 64 bits or by a digest of their words."""
 
-def _branch_windows(span: int):
     def make(batch: pa.RecordBatch):
-        for at, end, data, offsets in common.chunks(batch.column(1)):
-            first, length, row = common.words(data, offsets)
-            h = common.word_hashes(data, first, length)
-            part = batch.slice(at, end - at)
-            n = part.column(3).value_lengths().to_numpy(zero_copy_only=False)
-            of = np.repeat(np.arange(end - at), n)
-            sizes = np.bincount(row, minlength=end - at)
-            start = np.cumsum(sizes) - sizes
-            lo, hi = part.column(3).flatten().to_numpy() + start[of], part.column(4).flatten().to_numpy() + start[of]
-            s, w = windows_of(h, lo, hi, span)
+        for part, data, offsets, first, length, row, start, _, lo, hi in _placed(batch):
+            s, w = windows_of(_hashes(data, first, length, bits), lo, hi, span)
             each = pa.array(row[s])
-            yield pa.RecordBatch.from_arrays([pa.array(common.signed(w)), part.column(0).take(each), part.column(2).take(each), pa.array((s - start[row[s]]).astype(np.int32))], ["w", "doc_id", "t", "s"])
+            if exact:
+                texts = kept_text(data, offsets, first, length, row, np.ones(len(first), bool))
+                ends = np.cumsum(length + 1)
+                begin = (ends - length - 1) - (ends - length - 1)[np.minimum(start[row], len(first) - 1)] if len(first) else ends
+                key = pa.array([hashlib.blake2b(texts[row[i]][begin[i] : begin[i + span - 1] + length[i + span - 1]], digest_size=16).digest() for i in s], pa.binary())
+            else:
+                key = pa.array(common.signed(w))
+            yield pa.RecordBatch.from_arrays([key, part.column(0).take(each), part.column(2).take(each), pa.array((s - start[row[s]]).astype(np.int32))], ["w", "doc_id", "t", "s"])
+
+    return make, f"w {'binary' if exact else 'long'}, doc_id long, t long, s int"
 
-    return make
 
+def _read(span: int, with_text: bool):
+    """At the places: a digest of the words of each, and the text without those that go."""
 
-def _removed(span: int):
     def make(batch: pa.RecordBatch):
-        for at, end, data, offsets in common.chunks(batch.column(1)):
-            first, length, row = common.words(data, offsets)
-            part = batch.slice(at, end - at)
-            n = part.column(3).value_lengths().to_numpy(zero_copy_only=False)
-            of = np.repeat(np.arange(end - at), n)
-            sizes = np.bincount(row, minlength=end - at)
-            start = np.cumsum(sizes) - sizes
+        for part, data, offsets, first, length, row, start, of, lo, hi in _placed(batch):
+            gone = part.column(5).flatten().to_numpy(zero_copy_only=False)
+            texts = kept_text(data, offsets, first, length, row, np.ones(len(first), bool))
+            ends = np.cumsum(length + 1)
+            begin = (ends - length - 1) - (ends - length - 1)[start[row]]
+            digests = [hashlib.blake2b(texts[r][begin[a] : begin[b + span - 1] + length[b + span - 1]], digest_size=16).digest() for r, a, b in zip(of, lo, hi, strict=True)]
             step = np.zeros(len(first) + 1, np.int64)
-            np.add.at(step, part.column(3).flatten().to_numpy() + start[of], 1)
-            np.add.at(step, part.column(4).flatten().to_numpy() + start[of] + span, -1)
-            gone = np.cumsum(step[:-1]) > 0
-            texts = kept_text(data, offsets, first, length, row, ~gone)
-            counts = np.bincount(row[gone], minlength=end - at).astype(np.int64)
-            yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), pa.array(counts), pa.array([x.decode() for x in texts]), pa.array(list(map(common.sha256, texts)))], ["doc_id", "t", "n_removed", "kept", "kept_sha"])
-
-    return make
-
-
-def repeated_windows(docs: DataFrame, prof: DataFrame, span: int) -> DataFrame:
-    """(doc_id, t, s0, s1): ranges of windows of which a document with a smaller id has each."""
-    a = prof.where("doc_id is not null").select("doc_id", F.explode(F.arrays_zip("a", "c")).alias("x")).select("doc_id", "x.a", "x.c")
-    nodes = a.groupBy("a").agg(F.min("doc_id").alias("d0"), F.max("doc_id").alias("d1"), F.min("c").alias("c0"), F.max("c").alias("c1")).where("d0 < d1")
-    nodes = common.settled(nodes.select("a", "d0", (F.col("c0") < F.col("c1")).alias("branches")))
-    of = common.settled(_only(prof, nodes).join(nodes, "a"))
-    paths = of.where("not branches and doc_id > d0").select("doc_id", "t", "s0", "s1")
-    branches = of.where("branches")
-    least = common.settled(branches.groupBy("a", "c").agg(F.min("doc_id").alias("m")))
-    known = common.settled(branches.join(least, ["a", "c"]).select("doc_id", "t", "s0", "s1", (F.col("doc_id") > F.col("m")).alias("later")))
-    windows = common.settled(_at(docs, known.where("not later"), _branch_windows(span), "w long, doc_id long, t int, s int"))
-    first = common.settled(windows.groupBy("w").agg(F.min("doc_id").alias("m"), F.max("doc_id").alias("d")).where("m < d").select("w", "m"))
-    single = windows.join(first, "w").where("doc_id > m").select("doc_id", "t", F.col("s").alias("s0"), F.col("s").alias("s1"))
-    return paths.unionByName(known.where("later").select("doc_id", "t", "s0", "s1")).unionByName(single)
-
-
-def substring_dedup(docs: DataFrame, span: int = SPAN, k: int = K, key: str = "doc_id", text: str = "text", with_text: bool = True) -> DataFrame:
+            np.add.at(step, lo[gone], 1)
+            np.add.at(step, hi[gone] + span, -1)
+            out = np.cumsum(step[:-1]) > 0
+            kept = kept_text(data, offsets, first, length, row, ~out)
+            counts = np.bincount(row[out], minlength=part.num_rows).astype(np.int64)
+            lists = pa.ListArray.from_arrays(pa.array(np.searchsorted(of, np.arange(part.num_rows + 1)), pa.int32()), pa.array(digests, pa.binary()))
+            text = [pa.array([x.decode() for x in kept])] if with_text else []
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), part.column(3), part.column(4), lists, pa.array(counts), pa.array(list(map(common.sha256, kept))), *text], ["doc_id", "t", "lo", "hi", "digest", "n_removed", "kept_sha"] + ["kept"] * with_text)
+
+    return make, "doc_id long, t long, lo array<int>, hi array<int>, digest array<binary>, n_removed long, kept_sha string" + ", kept string" * with_text
+
+
+def _source(*place: str):
+    """The earliest of places."""
+    return F.min(F.struct(*[F.col(x).alias(y) for x, y in zip(place, ("m", "mt", "ms"), strict=True)])).alias("src")
+
+
+def repeats(docs: DataFrame, prof: DataFrame, span: int, bits: int = 64) -> DataFrame:
+    """(doc_id, t, s0, s1, m, mt, ms): windows s0 to s1 of a text that are, by their hashes, those from ms on of an earlier document m."""
+    a = prof.where("doc_id is not null").select("doc_id", "t", F.explode(F.arrays_zip("a", "c", "s0")).alias("x")).select("doc_id", "t", "x.a", "x.c", "x.s0")
+    nodes = a.groupBy("a").agg(_source("doc_id", "t", "s0"), F.max("doc_id").alias("last"), F.min("c").alias("c0"), F.max("c").alias("c1")).where("src.m < last")
+    nodes = common.settled(nodes.select("a", "src", (F.col("c0") < F.col("c1")).alias("branches")))
+    only, spent = _only(prof, nodes)
+    of = common.settled(only.join(nodes, "a"), spent)
+    later = F.col("doc_id") > F.col("src.m")
+    columns = ("doc_id", "t", "s0", "s1", "src.*")
+    paths = of.where(~F.col("branches") & later).select(*columns)
+    branches = of.where("branches").drop("src")
+    known = common.settled(branches.join(branches.groupBy("a", "c").agg(_source("doc_id", "t", "s0")), ["a", "c"]).select("doc_id", "t", "s0", "s1", "src", later.alias("later")))
+    edges = _at(docs, known.where("not later").withColumn("gone", F.lit(False)), *_edges_at(span, False, bits))
+    first = edges.groupBy("w").agg(_source("doc_id", "t", "s"), F.max("doc_id").alias("last")).where("src.m < last").select("w", "src")
+    single = edges.join(common.settled(first), "w").where(later).select("doc_id", "t", F.col("s").alias("s0"), F.col("s").alias("s1"), "src.*")
+    return paths.unionByName(known.where("later").select(*columns)).unionByName(single)
+
+
+def compacted(repeated: DataFrame) -> DataFrame:
+    """Repeats that follow each other in both texts as one, the longest possible."""
+    w = Window.partitionBy("doc_id", "t").orderBy("s0")
+    goes_on = (F.lag("s1").over(w) + 1 == F.col("s0")) & (F.lag("m").over(w) == F.col("m")) & (F.lag("mt").over(w) == F.col("mt")) & (F.lag(F.col("ms") - F.col("s0")).over(w) == F.col("ms") - F.col("s0"))
+    number = F.sum(F.when(goes_on, 0).otherwise(1)).over(w)
+    return repeated.withColumn("path", number).groupBy("doc_id", "t", "m", "mt", "path").agg(F.min("s0").alias("s0"), F.max("s1").alias("s1"), F.min("ms").alias("ms")).drop("path")
+
+
+def _exact(docs: DataFrame, prof: DataFrame, failed: DataFrame, span: int) -> DataFrame:
+    """(doc_id, t, s0, s1): the repeated windows among those that share a minimizer with a window of the failed spans, by digests."""
+    pieces = prof.where("doc_id is not null").select("doc_id", "t", F.explode(F.arrays_zip("a", "s0", "s1")).alias("x")).select("doc_id", "t", "x.*")
+    anchors = pieces.alias("p").join(failed.alias("f"), F.expr("p.doc_id = f.doc_id and p.t = f.t and p.s0 <= f.s1 and p.s1 >= f.s0")).select("p.a").distinct()
+    edges = _at(docs, pieces.join(common.settled(anchors), "a").select("doc_id", "t", "s0", "s1", F.lit(False).alias("gone")), *_edges_at(span, True))
+    first = edges.groupBy("w").agg(F.min("doc_id").alias("m"), F.max("doc_id").alias("last")).where("m < last").select("w", "m")
+    return edges.join(first, "w").where("doc_id > m").select("doc_id", "t", F.col("s").alias("s0"), F.col("s").alias("s1"))
+
+
+def substring_dedup(docs: DataFrame, span: int = SPAN, k: int = K, key: str = "doc_id", text: str = "text", with_text: bool = True, hash_bits: int = 64) -> DataFrame:
     """(doc_id, n_words, n_removed, kept_sha256, kept), one row for each row of docs.
 
     Removed are the words of every window of ``span`` words that also starts in a
     document with a smaller id, judged on the texts given.  A null text has no words;
     texts shorter than a window lose none.  Rows that repeat an id are one document
     for this: none of them is smaller than the other.  A null id neither removes nor
-    loses words.  ``kept`` is the text left where words were removed, else null.
+    loses words.  ``kept`` is the text left where words were removed, else null.  Repeats
+    are judged by their words: hashes (of ``hash_bits`` for a word, fewer only to try what
+    collisions do) only find them.
     Other columns are not read.
     """
     docs = docs.select(docs[key].cast("long").alias("doc_id"), docs[text].alias("text"))
-    prof = common.settled(profiles(docs, span, k))
-    places = common.settled(repeated_windows(docs, prof, span))
-    cut = _at(docs, places, _removed(span), "doc_id long, t int, n_removed long, kept string, kept_sha string")
-    if not with_text:
-        cut = cut.drop("kept")
+    prof = common.settled(profiles(docs, span, k, hash_bits))
+    spans = common.settled(compacted(repeats(docs, prof, span, hash_bits)))
+    here = spans.select("doc_id", "t", "s0", "s1", F.lit(True).alias("gone"))
+    there = spans.select(F.col("m").alias("doc_id"), F.col("mt").alias("t"), F.col("ms").alias("s0"), F.expr("ms + s1 - s0").cast("int").alias("s1"), F.lit(False).alias("gone"))
+    places = here.unionByName(there).groupBy("doc_id", "t", "s0", "s1").agg(F.max("gone").alias("gone"))
+    cut = _at(docs, places, *_read(span, with_text))
+    said = cut.select("doc_id", "t", F.explode(F.arrays_zip("lo", "hi", "digest")).alias("x")).select("doc_id", "t", F.col("x.lo").alias("s0"), F.col("x.hi").alias("s1"), "x.digest")
+    pair = spans.withColumn("me", F.expr("ms + s1 - s0").cast("int")).join(said, ["doc_id", "t", "s0", "s1"], "left")
+    source = said.select(F.col("doc_id").alias("m"), F.col("t").alias("mt"), F.col("s0").alias("ms"), F.col("s1").alias("me"), F.col("digest").alias("own"))
+    failed = common.settled(pair.join(source, ["m", "mt", "ms", "me"], "left").where(~F.col("digest").eqNullSafe(F.col("own"))).select("doc_id", "t", "s0", "s1"))
+    if not failed.isEmpty():
+        sure = spans.join(failed, ["doc_id", "t", "s0", "s1"], "left_anti").select("doc_id", "t", "s0", "s1")
+        exact = _exact(docs, prof, failed, span)
+        again = sure.unionByName(exact).join(exact.unionByName(failed).select("doc_id", "t").distinct(), ["doc_id", "t"]).withColumn("gone", F.lit(True))
+        others = cut.join(exact.unionByName(failed).select("doc_id", "t").distinct(), ["doc_id", "t"], "left_anti")
+        cut = others.unionByName(_at(docs, again, *_read(span, with_text)))
+    cut = cut.where("n_removed > 0").select("doc_id", "t", "n_removed", "kept_sha", *(["kept"] if with_text else []))
     out = prof.select("doc_id", "t", "n_words", "sha").join(cut, ["doc_id", "t"], "left")
     return out.select("doc_id", "n_words", F.coalesce("n_removed", F.lit(0).cast("long")).alias("n_removed"), F.coalesce("kept_sha", "sha").alias("kept_sha256"), *(["kept"] if with_text else []))
 

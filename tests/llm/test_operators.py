@@ -59,28 +59,86 @@ def test_long_words_are_weighed_whole():
     assert np.isfinite(model.score(["the" * 50_000])[0])
 
 
-def test_kneser_ney_sums_to_one(spark):
-    text = "a b a c a b d a b a e"
-    model = quality.train(spark.createDataFrame([(text,), ("b a c",), ("a",)], "text string"))
-    vocab = sorted(set(text.split())) + [None]
-
-    def p(u, v, w):
-        h = {}
-        for x in "abcde":
-            d = np.frombuffer(x.encode(), np.uint8)
-            h[x] = common.word_hashes(d, np.array([0]), np.array([1]))[0]
-        s = np.array([h[u], h[v], h[w] if w else quality.EOS], np.uint64)
-        return 10 ** model.log10(s, np.array([2]))[0]
-
-    for u, v in (("a", "b"), ("b", "a"), ("d", "e")):
-        unseen = model.unseen  # the mass of all other words
-        assert abs(sum(p(u, v, w) for w in vocab) + unseen * _left(model, u, v) - 1) < 1e-5
-
-
-def _left(model, u, v):
-    d = lambda x: common.word_hashes(np.frombuffer(x.encode(), np.uint8), np.array([0]), np.array([1]))
-    two = common.gram_hashes(np.concatenate((d(u), d(v))), 2)
-    return model.get("g3", two, 1.0)[0] * model.get("g2", d(v), 1.0)[0]
+class Brute:
+    """Interpolated modified Kneser-Ney trigrams of words, from its definition."""
+
+    def __init__(self, texts):
+        three = collections.Counter(x for t in texts for x in self.tokens(t))
+        two = collections.Counter()
+        for (u, v, w), n in three.items():
+            two[v, w] += n if v == "<s>" else 1
+        one = collections.Counter(w for _, w in two)
+        self.counts = [one, two, three]
+        self.cut, self.total, self.left = [], [], []
+        for order, c in enumerate(self.counts):
+            n = [sum(x == k for x in c.values()) for k in (1, 2, 3, 4)]
+            y = n[0] / (n[0] + 2 * n[1]) if n[0] + n[1] else 0.0
+            d = [min(max(k - (k + 1) * y * b / a, 0.1 * k), 0.95 * k) if a else 0.5 for k, a, b in zip((1, 2, 3), n, n[1:], strict=False)]
+            self.cut.append(lambda x, d=d: d[min(x, 3) - 1])
+            total, left = collections.Counter(), collections.Counter()
+            for g, x in c.items():
+                ctx = g[:-1] if order else ()
+                total[ctx] += x
+                left[ctx] += self.cut[order](x)
+            self.total.append(total)
+            self.left.append(left)
+
+    @staticmethod
+    def tokens(text):
+        w = ["<s>", "<s>", *WORD.findall(text or ""), "</s>"]
+        return list(zip(w, w[1:], w[2:], strict=False))
+
+    def p(self, u, v, w):
+        one, total = self.counts[0], self.total[0][()]
+        new = self.left[0][()] / total / (len(one) + 1)
+        out = ((one[w] - self.cut[0](one[w])) / total if w in one else 0) + new
+        for order, g in ((1, (v, w)), (2, (u, v, w))):
+            ctx = g[:-1]
+            if self.total[order][ctx]:
+                c = self.counts[order][g]
+                out = ((c - self.cut[order](c)) if c else 0) / self.total[order][ctx] + self.left[order][ctx] / self.total[order][ctx] * out
+        return out
+
+    def log10(self, text):
+        return sum(np.log10(self.p(*x)) for x in self.tokens(text))
+
+
+@pytest.mark.parametrize("frequent", [quality.FREQUENT, 3])
+def test_quality_scores_equal_kneser_ney(spark, docs, frequent):
+    train = ["a b a c a b d a b a e", "b a c", "a", "", *[t for _, t in rows_of(docs) if t][:12]]
+    weights, unseen = quality.train(spark.createDataFrame([(t,) for t in train], "text string"))
+    brute = Brute(train)
+    vocab = [*brute.counts[0], "never seen"]
+    for u, v in (("a", "b"), ("<s>", "a"), ("d", "e"), ("q", "r")):
+        assert abs(sum(brute.p(u, v, w) for w in vocab) - 1) < 1e-9
+    asked = docs.select("doc_id", "text", "lang", F.xxhash64("text").alias("t")).unionByName(spark.createDataFrame([(900 + i, t, "x", i) for i, t in enumerate(train)], "doc_id long, text string, lang string, t long"))
+    got = collections.Counter((r["doc_id"], r["n_tokens"], round(r["log10_prob"], 6)) for r in quality.log_probabilities(asked, weights, unseen, frequent).collect())
+    assert got == collections.Counter((i, len(brute.tokens(t)), round(brute.log10(t), 6)) for i, t in rows_of(asked))
+
+
+def test_quality_decides_as_its_definition(spark, docs, labels):
+    """Thresholds and decisions from the scores, worked out anew; percentiles of few rows are their minimum."""
+    got = quality.quality(docs, labels, train_docs=20, quantile=0.0).collect()
+    good = {i for i in range(55) if i % 9 != 8 and i != 2}
+    ids = [(i,) for i in sorted(good)]
+    h = {r["i"]: r["h"] for r in spark.createDataFrame(ids, "i long").select("i", F.xxhash64("i").alias("h")).collect()}
+    texts = dict(rows_of(docs))
+    fits = {i for i in sorted((i for i in good if h[i] % 2 == 0), key=lambda i: (h[i], i))[:20] if texts.get(i) is not None and len(texts[i].encode()) <= quality.TRAIN_BYTES}
+    held = [r for r in got if r["doc_id"] in good - fits]
+    mean = lambda rs: sum(r["log10_prob"] for r in rs) / sum(r["n_tokens"] for r in rs)
+    drawn = lambda r, m: (r["log10_prob"] + quality.PRIOR * m) / (r["n_tokens"] + quality.PRIOR)
+    by = collections.defaultdict(list)
+    for r in held:
+        by[r["lang"]].append(r)
+    far = {k: min(drawn(r, mean(rs)) - mean(rs) for r in rs) for k, rs in by.items()}
+    usual = -min(far.values())
+    for r in got:
+        rs = by[r["lang"]]
+        own = (-len(rs) * far[r["lang"]] + quality.ENOUGH * usual) / (len(rs) + quality.ENOUGH)
+        wide = (1 + 1 / len(rs) + quality.PRIOR / sum(x["n_tokens"] for x in rs)) ** 0.5
+        limit = mean(rs) - (1 + quality.MARGIN) * wide * own
+        assert abs(r["threshold"] - limit) < 1e-9 and abs(r["score"] - drawn(r, mean(rs))) < 1e-9
+        assert r["keep"] == (r["score"] >= r["threshold"])
 
 
 def test_mixing(docs, empty):
@@ -139,6 +197,15 @@ def test_substring_dedup(docs, empty, span, k):
     assert substring_dedup.substring_dedup(empty).count() == 0
 
 
+def test_substring_dedup_when_hashes_collide(spark):
+    r, words = random.Random(2), "abcdefghijklmnopqrstuvwx"
+    base = [[r.choice(words) for _ in range(60)] for _ in range(6)]
+    texts = [" ".join(b) for b in base] + [" ".join(base[0][:30] + base[1][20:]), " ".join(base[2][5:] + base[3]), " ".join("zz" if k == 40 else x for k, x in enumerate(base[4]))]
+    docs = spark.createDataFrame([*enumerate(texts)], "doc_id long, text string")
+    got = [(x["doc_id"], x["n_words"], x["n_removed"], x["kept_sha256"]) for x in substring_dedup.substring_dedup(docs, 8, 3, hash_bits=1).collect()]
+    assert sorted(got) == sorted(brute_dedup(rows_of(docs), 8)) and any(x[2] for x in got)
+
+
 PATTERNS = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
 
 
