@@ -8,6 +8,8 @@ mix of sources follow.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 
 from loomstone.llm import common, decontamination, jaccard, mixing, pii, quality
@@ -44,10 +46,14 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The stages applied to documents; each one's rows are written as Parquet and read again."""
-    docs = common.table(spark, sf_dir, "documents")
+    """The stages applied to documents; each one's rows are written as Parquet and read again.
+
+    They are written in turns to two places below the shared checkpoint folder, over what
+    nothing reads any more.
+    """
+    docs, place = common.table(spark, sf_dir, "documents"), f"pipeline-{uuid.uuid4().hex}"
     for k, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if k < len(STAGES) - 1:
-            docs = common.stored(docs)
+            docs = common.stored(docs, f"{place}/{k % 2}")
     return docs
