@@ -70,6 +70,42 @@ def stored(df: DataFrame, path: str | None = None) -> DataFrame:
     return df.sparkSession.read.parquet(path)
 
 
+class Scratch:
+    """Tables below the shared checkpoint folder that are needed for a while: Parquet takes a third of what checkpoint() writes."""
+
+    def __init__(self, spark: SparkSession):
+        ready(spark)
+        self.spark, self.folder, self.schemas = spark, f"{spark.sparkContext.getCheckpointDir()}/{uuid.uuid4().hex}", []
+
+    def table(self, df: DataFrame) -> DataFrame:
+        path = f"{self.folder}/{len(self.schemas)}"
+        self.schemas.append(df.schema)
+        df.write.parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def clear(self) -> None:
+        """Empties all tables; nothing may read them afterwards."""
+        for k, schema in enumerate(self.schemas):
+            self.spark.createDataFrame([], schema).coalesce(1).write.mode("overwrite").parquet(f"{self.folder}/{k}")
+        self.schemas = []
+
+
+_P1, _P2, _P3, _P4, _P5 = (np.uint64(x) for x in (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5))
+
+
+def _rotated(x: np.ndarray, n: int) -> np.ndarray:
+    return x << np.uint64(n) | x >> np.uint64(64 - n)
+
+
+def xxhash64(x: np.ndarray) -> np.ndarray:
+    """Spark's function of one column of longs (xxHash by Yann Collet, public domain; seed 42)."""
+    h = _rotated(x.astype(np.int64, copy=False).view(np.uint64) * _P2, 31) * _P1 ^ np.uint64(42 + 8 + int(_P5))
+    h = _rotated(h, 27) * _P1 + _P4
+    h = (h ^ h >> np.uint64(33)) * _P2
+    h = (h ^ h >> np.uint64(29)) * _P3
+    return h ^ h >> np.uint64(32)
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """The finalizer of splitmix64: every bit of the result depends on every bit given."""
     x = x.astype(np.uint64, copy=True)
@@ -235,7 +271,7 @@ def _bitmap(slots: DataFrame, bits: int) -> np.ndarray:
     return out
 
 
-def hash_map(hashes: DataFrame, column: str, bits: int) -> np.ndarray:
+def hash_map(hashes: DataFrame, column, bits: int) -> np.ndarray:
     """A bitmap of the top bits of 64-bit hashes."""
     return _bitmap(hashes.select(F.shiftrightunsigned(column, 64 - bits).alias("slot")), bits)
 

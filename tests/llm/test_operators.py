@@ -106,13 +106,13 @@ class Brute:
 @pytest.mark.parametrize("frequent", [quality.FREQUENT, 3])
 def test_quality_scores_equal_kneser_ney(spark, docs, frequent):
     train = ["a b a c a b d a b a e", "b a c", "a", "", *[t for _, t in rows_of(docs) if t][:12]]
-    weights, unseen = quality.train(spark.createDataFrame([(t,) for t in train], "text string"))
+    model = quality.train(spark.createDataFrame([(t,) for t in train], "text string"), common.Scratch(spark))
     brute = Brute(train)
     vocab = [*brute.counts[0], "never seen"]
     for u, v in (("a", "b"), ("<s>", "a"), ("d", "e"), ("q", "r")):
         assert abs(sum(brute.p(u, v, w) for w in vocab) - 1) < 1e-9
     asked = docs.select("doc_id", "text", "lang", F.xxhash64("text").alias("t")).unionByName(spark.createDataFrame([(900 + i, t, "x", i) for i, t in enumerate(train)], "doc_id long, text string, lang string, t long"))
-    got = collections.Counter((r["doc_id"], r["n_tokens"], round(r["log10_prob"], 6)) for r in quality.log_probabilities(asked, weights, unseen, frequent).collect())
+    got = collections.Counter((r["doc_id"], r["n_tokens"], round(r["log10_prob"], 6)) for r in quality.log_probabilities(asked, model, frequent).collect())
     assert got == collections.Counter((i, len(brute.tokens(t)), round(brute.log10(t), 6)) for i, t in rows_of(asked))
 
 
@@ -408,6 +408,12 @@ def test_jaccard_stars_with_a_late_centre(spark):
     assert len({r["component_id"] for r in got}) == 8
 
 
+def test_hashes_equal_those_of_spark(spark):
+    x = np.array([0, 1, -1, 2**62, -(2**63), 123456789012345], np.int64)
+    want = {r["id"]: r["h"] for r in spark.createDataFrame([(int(i),) for i in x], "id long").select("id", F.xxhash64("id").alias("h")).collect()}
+    assert [want[i] for i in x] == common.signed(common.xxhash64(x)).tolist()
+
+
 def test_components_of_long_chains(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(0, 60)] + [(100, 101), (101, 101)], "a long, b long")
     got = {r["node"]: r["component"] for r in common.joined_components(edges).collect()}
