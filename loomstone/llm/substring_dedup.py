@@ -45,16 +45,19 @@ def _hashes(data: np.ndarray, first: np.ndarray, length: np.ndarray, bits: int)
 
 
 def edges(h: np.ndarray, row: np.ndarray, span: int, k: int) -> tuple[np.ndarray, ...]:
-    """(anchor, content, row, first window, last window) of the edges of a chunk; windows by their first word in the chunk."""
+    """(anchor, content, row, first window, last window, windows) of the pieces of a chunk; windows by their first word in the chunk.
+
+    Equal pieces in a row are one, which has the windows of each of them.
+    """
     none = np.zeros(0, np.int64)
     if len(h) < span:
-        return none, none, none, none, none
+        return none, none, none, none, none, none
     nodes = common.gram_hashes(h, k)
     view = np.lib.stride_tricks.sliding_window_view(nodes, span - k + 1)
     at = view.argmin(axis=1) + np.arange(len(view))
     windows = np.flatnonzero(row[: len(view)] == row[span - 1 :])
     if not len(windows):
-        return none, none, none, none, none
+        return none, none, none, none, none, none
     at = at[windows]
     new = np.concatenate(([True], (at[1:] != at[:-1]) | (windows[1:] != windows[:-1] + 1)))
     s0 = windows[new]
@@ -69,10 +72,10 @@ def edges(h: np.ndarray, row: np.ndarray, span: int, k: int) -> tuple[np.ndarray
     anchor = at[new]
     content = common.mix(content + (anchor - s0).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + (s1 - s0).astype(np.uint64))
     a = nodes[anchor]
-    # equal edges in a row, as a repeated word makes them, are one
+    # equal pieces in a row, as a repeated word makes them, are one
     new = np.concatenate(([True], (a[1:] != a[:-1]) | (content[1:] != content[:-1]) | (s0[1:] != s1[:-1] + 1)))
     last = np.concatenate((np.flatnonzero(new)[1:] - 1, [len(a) - 1]))
-    return a[new], content[new], row[s0[new]], s0[new], s1[last]
+    return a[new], content[new], row[s0[new]], s0[new], s1[last], (s1 - s0 + 1)[new]
 
 
 def windows_of(h: np.ndarray, s0: np.ndarray, s1: np.ndarray, span: int) -> tuple[np.ndarray, np.ndarray]:
@@ -119,29 +122,29 @@ def profiles(docs: DataFrame, span: int, k: int, bits: int = 64) -> DataFrame:
             first, length, row = common.words(data, offsets)
             h = _hashes(data, first, length, bits)
             sizes = np.bincount(row, minlength=end - at)
-            a, c, of, s0, s1 = edges(h, row, span, k)
+            a, c, of, s0, s1, n = edges(h, row, span, k)
             start = (np.cumsum(sizes) - sizes)[of]
             whole = [common.sha256(x) for x in kept_text(data, offsets, first, length, row, np.ones(len(first), bool))]
-            lists = [_lists(common.signed(a), of, end - at, pa.int64()), _lists(common.signed(c), of, end - at, pa.int64()), _lists((s0 - start).astype(np.int32), of, end - at, pa.int32()), _lists((s1 - start).astype(np.int32), of, end - at, pa.int32())]
-            yield pa.RecordBatch.from_arrays([batch.column(0)[at:end], _tag(data, offsets), pa.array(sizes.astype(np.int64)), pa.array(whole), *lists], ["doc_id", "t", "n_words", "sha", "a", "c", "s0", "s1"])
+            lists = [_lists(common.signed(a), of, end - at, pa.int64()), _lists(common.signed(c), of, end - at, pa.int64()), _lists((s0 - start).astype(np.int32), of, end - at, pa.int32()), _lists((s1 - start).astype(np.int32), of, end - at, pa.int32()), _lists(n.astype(np.int32), of, end - at, pa.int32())]
+            yield pa.RecordBatch.from_arrays([batch.column(0)[at:end], _tag(data, offsets), pa.array(sizes.astype(np.int64)), pa.array(whole), *lists], ["doc_id", "t", "n_words", "sha", "a", "c", "s0", "s1", "n"])
 
-    return common.per_batch(docs, make, "doc_id long, t long, n_words long, sha string, a array<long>, c array<long>, s0 array<int>, s1 array<int>")
+    return common.per_batch(docs, make, "doc_id long, t long, n_words long, sha string, a array<long>, c array<long>, s0 array<int>, s1 array<int>, n array<int>")
 
 
 def _only(profiles: DataFrame, anchors: DataFrame) -> tuple[DataFrame, Broadcast]:
-    """(a, c, doc_id, t, s0, s1): the pieces whose anchor a bitmap of the given anchors lets through."""
+    """(a, c, doc_id, t, s0, s1, n): the pieces whose anchor a bitmap of the given anchors lets through."""
     bits = common.map_bits(anchors.count())
     bitmap = anchors.sparkSession.sparkContext.broadcast(common.hash_map(anchors, "a", bits))
 
     def make(batch: pa.RecordBatch):
         rows = np.repeat(np.arange(batch.num_rows), batch.column(2).value_lengths().to_numpy(zero_copy_only=False))
-        a, c, s0, s1 = (batch.column(i).flatten() for i in range(2, 6))
+        a, c, s0, s1, n = (batch.column(i).flatten() for i in range(2, 7))
         ok = common.in_map(bitmap.value, a.to_numpy(zero_copy_only=False).view(np.uint64), bits)
         of = pa.array(rows[ok])
         ok = pa.array(ok)
-        yield pa.RecordBatch.from_arrays([a.filter(ok), c.filter(ok), batch.column(0).take(of), batch.column(1).take(of), s0.filter(ok), s1.filter(ok)], ["a", "c", "doc_id", "t", "s0", "s1"])
+        yield pa.RecordBatch.from_arrays([a.filter(ok), c.filter(ok), batch.column(0).take(of), batch.column(1).take(of), s0.filter(ok), s1.filter(ok), n.filter(ok)], ["a", "c", "doc_id", "t", "s0", "s1", "n"])
 
-    return common.per_batch(profiles.where("doc_id is not null and size(a) > 0").select("doc_id", "t", "a", "c", "s0", "s1"), make, "a long, c long, doc_id long, t long, s0 int, s1 int"), bitmap
+    return common.per_batch(profiles.where("doc_id is not null and size(a) > 0").select("doc_id", "t", "a", "c", "s0", "s1", "n"), make, "a long, c long, doc_id long, t long, s0 int, s1 int, n int"), bitmap
 
 
 def _at(docs: DataFrame, places: DataFrame, make, schema: str) -> DataFrame:
@@ -228,14 +231,14 @@ def repeats(docs: DataFrame, prof: DataFrame, span: int, bits: int = 64) -> Data
     only, spent = _only(prof, nodes)
     of = common.settled(only.join(nodes, "a"), spent)
     later = F.col("doc_id") > F.col("src.m")
-    columns = ("doc_id", "t", "s0", "s1", "src.*")
-    paths = of.where(~F.col("branches") & later).select(*columns)
+    each = lambda df: df.select("doc_id", "t", "n", "src", F.explode(F.sequence("s0", "s1", "n")).alias("s0")).select("doc_id", "t", "s0", (F.col("s0") + F.col("n") - 1).alias("s1"), "src.*")
+    paths = each(of.where(~F.col("branches") & later))
     branches = of.where("branches").drop("src")
-    known = common.settled(branches.join(branches.groupBy("a", "c").agg(_source("doc_id", "t", "s0")), ["a", "c"]).select("doc_id", "t", "s0", "s1", "src", later.alias("later")))
+    known = common.settled(branches.join(branches.groupBy("a", "c").agg(_source("doc_id", "t", "s0")), ["a", "c"]).select("doc_id", "t", "s0", "s1", "n", "src", later.alias("later")))
     edges = _at(docs, known.where("not later").withColumn("gone", F.lit(False)), *_edges_at(span, False, bits))
     first = edges.groupBy("w").agg(_source("doc_id", "t", "s"), F.max("doc_id").alias("last")).where("src.m < last").select("w", "src")
     single = edges.join(common.settled(first), "w").where(later).select("doc_id", "t", F.col("s").alias("s0"), F.col("s").alias("s1"), "src.*")
-    return paths.unionByName(known.where("later").select(*columns)).unionByName(single)
+    return paths.unionByName(each(known.where("later"))).unionByName(single)
 
 
 def compacted(repeated: DataFrame) -> DataFrame:

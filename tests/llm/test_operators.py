@@ -200,10 +200,11 @@ def test_substring_dedup(docs, empty, span, k):
 def test_substring_dedup_when_hashes_collide(spark):
     r, words = random.Random(2), "abcdefghijklmnopqrstuvwx"
     base = [[r.choice(words) for _ in range(60)] for _ in range(6)]
-    texts = [" ".join(b) for b in base] + [" ".join(base[0][:30] + base[1][20:]), " ".join(base[2][5:] + base[3]), " ".join("zz" if k == 40 else x for k, x in enumerate(base[4]))]
+    texts = [" ".join(b) for b in base] + [" ".join(base[0][:30] + base[1][20:]), " ".join(base[2][5:] + base[3]), " ".join("zz" if k == 40 else x for k, x in enumerate(base[4])), "b " * 9, "b " * 40, "a " + "b " * 20, "c d " * 6, "c d " * 30]
     docs = spark.createDataFrame([*enumerate(texts)], "doc_id long, text string")
-    got = [(x["doc_id"], x["n_words"], x["n_removed"], x["kept_sha256"]) for x in substring_dedup.substring_dedup(docs, 8, 3, hash_bits=1).collect()]
-    assert sorted(got) == sorted(brute_dedup(rows_of(docs), 8)) and any(x[2] for x in got)
+    for bits in (1, 64):
+        got = [(x["doc_id"], x["n_words"], x["n_removed"], x["kept_sha256"]) for x in substring_dedup.substring_dedup(docs, 8, 3, hash_bits=bits).collect()]
+        assert sorted(got) == sorted(brute_dedup(rows_of(docs), 8)) and any(x[2] for x in got)
 
 
 PATTERNS = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
