@@ -318,12 +318,14 @@ def one_of_each(docs: DataFrame, **kw) -> DataFrame:
     """The rows of docs (doc_id, text and any others) without those that link to a document with a smaller id.
 
     One row of each component stays: that of its smallest id, and the least one if
-    rows repeat that id.  Rows with a null id all stay.
+    rows repeat that id, by the columns that have an order (maps have none).  Rows with a
+    null id all stay, as do null and empty texts of an id of their own; an empty table gives no rows.
     """
     first = jaccard_components(docs, **kw).where("doc_id = component_id").select(F.col("doc_id").alias("__d")).distinct()
     kept = docs.join(first, docs["doc_id"].cast("long") == F.col("__d"), "left_semi")
     rest = [c for c in docs.columns if c != "doc_id"]
-    one = kept.groupBy("doc_id").agg(F.min(F.struct(*rest)).alias("__x")).select("doc_id", *[F.col("__x")[c].alias(c) for c in rest])
+    ordered = [c for c, kind in docs.dtypes if c != "doc_id" and "map<" not in kind and "variant" not in kind]
+    one = kept.groupBy("doc_id").agg(F.min_by(F.struct(*[F.col(f"`{c}`") for c in rest]), F.struct(*[F.col(f"`{c}`") for c in ordered])).alias("__x")).select("doc_id", *[F.col("__x")[c].alias(c) for c in rest])
     return one.select(docs.columns).unionByName(docs.where("doc_id is null"))
 
 

@@ -8,7 +8,8 @@ short and long documents alike and the words taken stay near the target.
 
 No group is ordered by one task: documents are ranked inside cells (source, class of
 size, salt), and the counts of the cells, a table of bounded length per source, are
-summed up to give each cell its first rank.
+summed up to give each cell its first rank.  Rows that agree in id, source and size are
+counted first and are one row of a cell.
 """
 
 from __future__ import annotations
@@ -39,7 +40,8 @@ def targets(sizes: DataFrame, weights: Sequence[int] = WEIGHTS, most: int = MOST
     sum of all sizes by weight; those above most times their source stop there, and
     what they leave is shared again by weight.  The sources that stop are the first ones by most * size /
     weight, so running sums in that order give the level of the others at once, from
-    whole numbers and one division.  A source without words has target 0.
+    whole numbers and one division.  A source without words has target 0.  The table
+    has a row for each source, which one task sorts; documents are never sorted here.
     """
     order = Window.orderBy(F.col("source").isNull(), F.encode("source", "UTF-8"))
     ranked = sizes.withColumn("w", F.element_at(F.array(*[F.lit(w).cast("long") for w in weights]), (F.pmod(F.row_number().over(order) - 1, F.lit(len(weights))) + 1).cast("int")))
@@ -70,27 +72,25 @@ def mix(docs: DataFrame, weights: Sequence[int] = WEIGHTS, most: int = MOST, see
     """
     h = F.md5(F.coalesce(F.col("id").cast("string"), F.lit("")))
     size = F.coalesce(F.regexp_count("text", F.lit(common.WORD)), F.lit(0)).cast("long")
-    sized = common.settled(
-        docs.select(docs[key].alias("id"), docs[source].alias("source"), docs[text].alias("text"))
-        .select("id", "source", size.alias("size"))
-        .withColumn("class", F.floor(F.sqrt(F.sqrt("size")) * 4).cast("int"))
-        .withColumn("salt", F.pmod(F.conv(F.substring(h, 1, 4), 16, 10).cast("int"), F.lit(SALTS)))
-    )
-    cells = sized.groupBy("source", "class", "salt").agg(F.count("*").alias("n"), F.sum("size").alias("s"))
+    # alike rows follow each other in the order, so a key that repeats is one row until the end
+    alike = docs.select(docs[key].alias("id"), docs[source].alias("source"), docs[text].alias("text")).select("id", "source", size.alias("size")).groupBy("id", "source", "size").agg(F.count("*").alias("rows"))
+    sized = common.settled(alike.withColumn("class", F.floor(F.sqrt(F.sqrt("size")) * 4).cast("int")).withColumn("salt", F.pmod(F.conv(F.substring(h, 1, 4), 16, 10).cast("int"), F.lit(SALTS))))
+    cells = sized.groupBy("source", "class", "salt").agg(F.sum("rows").alias("n"), F.sum(F.col("size") * F.col("rows")).alias("s"))
     share = targets(cells.groupBy("source").agg(F.sum("s").alias("source_size")), weights, most)
     first = cells.withColumn("first", F.sum("n").over(Window.partitionBy("source").orderBy("class", "salt").rowsBetween(Window.unboundedPreceding, -1)))
     first = first.alias("a").join(share.alias("b"), F.expr("a.source <=> b.source")).select(F.col("a.source").alias("source"), "class", "salt", F.coalesce("first", F.lit(0)).alias("first"), "source_size", "target")
     cell = Window.partitionBy("source", "class", "salt").orderBy("size", h, "id")
-    ranked = sized.withColumn("place", F.row_number().over(cell))
+    ranked = sized.withColumn("before", F.sum("rows").over(cell.rowsBetween(Window.unboundedPreceding, -1)))
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
     offset = unit(F.concat(F.lit(seed + ":"), F.coalesce("a.source", F.lit(""))))
-    place = F.col("first") + F.col("place")
+    place = F.col("first") + F.coalesce("before", F.lit(0)) + F.col("row")
     copies = (F.floor(place * F.col("rate") + F.col("offset")) - F.floor((place - 1) * F.col("rate") + F.col("offset"))).cast("long")
     return (
         ranked.alias("a")
         .join(first.alias("b"), F.expr("a.source <=> b.source and a.class = b.class and a.salt = b.salt"))
         .withColumn("rate", rate)
         .withColumn("offset", offset)
+        .withColumn("row", F.explode(F.sequence(F.lit(1).cast("long"), F.col("rows"))))
         .select(F.col("a.id").alias(key), F.col("a.source").alias(source), "size", "source_size", "target", copies.alias("copies"))
         .withColumn("taken", F.col("copies") * F.col("size"))
     )
@@ -99,18 +99,24 @@ def mix(docs: DataFrame, weights: Sequence[int] = WEIGHTS, most: int = MOST, see
 def emit(docs: DataFrame, mixed: DataFrame, key: str = "doc_id", source: str = "source") -> DataFrame:
     """The rows of docs, each as often as it was taken, with its number ``copy`` from 1.
 
-    mixed has a row for each row of docs.  Where a key repeats, its rows take their
-    copies in the order of their size.
+    mixed has a row for each row of docs.  Rows that agree in key, source and size share
+    their copies evenly, in the order of their texts.  A null key or source is a value
+    like others, a null text has size 0 and is taken where its size is; an empty table
+    gives no rows.  Where docs has a column ``copy`` the number's name has underscores after it.
     """
+    number = "copy"
+    while number in docs.columns:
+        number += "_"
     text_size = F.coalesce(F.regexp_count(F.col("text"), F.lit(common.WORD)), F.lit(0)).cast("long")
     same = mixed.groupBy(key, source, "size").agg(F.sum("copies").alias("copies"), F.count("*").alias("rows")).where("copies > 0")
     left, right = docs.withColumn("__size", text_size).alias("a"), same.alias("b")
     on = F.col(f"a.{key}").eqNullSafe(F.col(f"b.{key}")) & F.col(f"a.{source}").eqNullSafe(F.col(f"b.{source}")) & (F.col("a.__size") == F.col("b.size"))
-    joined = left.join(right, on).select(*[F.col(f"a.`{c}`") for c in docs.columns], F.col("b.copies").alias("__copies"), F.col("b.rows").alias("__rows"))
+    joined = left.join(right, on).select(*[F.col(f"a.`{c}`") for c in docs.columns], F.col("a.__size"), F.col("b.copies").alias("__copies"), F.col("b.rows").alias("__rows"))
     once = joined.where("__rows = 1").withColumn("__n", F.col("__copies"))
-    w = Window.partitionBy(key, source).orderBy("text")
-    more = joined.where("__rows > 1").withColumn("__n", F.floor(F.row_number().over(w) * F.col("__copies") / F.col("__rows")) - F.floor((F.row_number().over(w) - 1) * F.col("__copies") / F.col("__rows")))
-    return once.unionByName(more).where("__n > 0").withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("__n").cast("int")))).drop("__copies", "__rows", "__n")
+    at = F.row_number().over(Window.partitionBy(key, source, "__size").orderBy("text"))
+    share = lambda n: F.floor(n * F.col("__copies") / F.col("__rows"))
+    more = joined.where("__rows > 1").withColumn("__n", share(at) - share(at - 1))
+    return once.unionByName(more).where("__n > 0").withColumn(number, F.explode(F.sequence(F.lit(1), F.col("__n").cast("int")))).drop("__size", "__copies", "__rows", "__n")
 
 
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

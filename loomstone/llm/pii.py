@@ -1,12 +1,13 @@
 """Personal data: fixed patterns, and contextual extraction bootstrapped from what they find.
 
 Addresses, numbers and phones that the fixed patterns accept are seeds.  The words to
-the left of a seed are a lexical pattern (the last two words, or the last one if it is
+the left of a string are a lexical pattern (the last two words, or the last one if it is
 a label such as ``mail:``).  Patterns and the strings that they introduce form a
-bipartite graph; a pattern's confidence is the share of its distinct strings that are
-believed, a string's belief the chance that one of its patterns is right, and both are
-computed in turns by Spark joins and sums.  What a pattern of high confidence
-introduces elsewhere is personal data too.  DataFrame functions only.
+bipartite graph.  In each round, patterns with enough believed strings are induced from it; a
+pattern's confidence is the share of its distinct strings that are believed; a string's
+belief is the chance that one of its patterns is right.  Strings that are believed in one
+round induce patterns of their own in the next.  All this is Spark joins and sums; what a pattern of high
+confidence introduces is personal data too.  DataFrame functions only.
 
 Positions come from splitting a text at the matches of a pattern: the pieces between
 and the matches themselves, summed up in order.
@@ -92,19 +93,25 @@ def _fits(kind: str, x: Column) -> Column:
 
 
 def patterns(spans: DataFrame, seeds: int = SEEDS, confidence: float = CONFIDENCE, rounds: int = ROUNDS) -> DataFrame:
-    """(kind, ctx): the lexical patterns of high confidence, from found()."""
+    """(kind, ctx): the lexical patterns of high confidence, from found().
+
+    A pattern needs ``seeds`` distinct strings that are believed by ``confidence``; those
+    of fewer strings of any kind are left out at once, as they can never have them.
+    """
     known = spans.select(F.explode("base").alias("s")).select("s.kind", "s.ctx", "s.x").where("ctx is not null").distinct()
-    support = common.settled(known.groupBy("kind", "ctx").agg(F.count("*").alias("seeds")).where(F.col("seeds") >= seeds).select("kind", "ctx"))
     kinds = F.filter(F.array(*[F.when(_fits(k, F.col("c.x")), F.lit(k)) for k in KINDS]), lambda k: k.isNotNull())
     may = spans.select(F.explode("candidates").alias("c")).where("c.ctx is not null").select(F.explode(kinds).alias("kind"), F.col("c.ctx").alias("ctx"), F.col("c.x").alias("x")).distinct()
-    edges = known.withColumn("seed", F.lit(True)).unionByName(may.withColumn("seed", F.lit(False))).join(support, ["kind", "ctx"], "left_semi")
-    edges = common.settled(edges.groupBy("kind", "ctx", "x").agg(F.max("seed").alias("seed")))
-    belief = edges.groupBy("kind", "x").agg(F.max("seed").cast("double").alias("s"))
+    edges = known.withColumn("seed", F.lit(1.0)).unionByName(may.withColumn("seed", F.lit(0.0)))
+    edges = edges.groupBy("kind", "ctx", "x").agg(F.max("seed").alias("seed"))
+    large = edges.groupBy("kind", "ctx").agg(F.count("*").alias("n")).where(F.col("n") >= seeds).select("kind", "ctx")
+    edges = common.settled(edges.join(large, ["kind", "ctx"]))
+    belief = edges.groupBy("kind", "x").agg(F.max("seed").alias("s"))
     for _ in range(rounds):
-        score = edges.join(belief, ["kind", "x"]).groupBy("kind", "ctx").agg((F.sum("s") / (F.count("*") + 1)).alias("p"))
-        score = common.settled(score)
-        doubt = F.sum(F.log(1 - F.least(F.col("p"), F.lit(0.999))))
-        belief = common.settled(edges.join(score, ["kind", "ctx"]).groupBy("kind", "x").agg(F.greatest(F.max("seed").cast("double"), 1 - F.exp(doubt)).alias("s")))
+        induced = F.count(F.when(F.col("s") >= confidence, 1))
+        score = edges.join(belief, ["kind", "x"]).groupBy("kind", "ctx").agg((F.sum("s") / (F.count("*") + 1)).alias("p"), induced.alias("n")).where(F.col("n") >= seeds)
+        score = common.settled(score.select("kind", "ctx", "p"))
+        doubt = F.sum(F.log(1 - F.least(F.coalesce("p", F.lit(0.0)), F.lit(0.999))))
+        belief = common.settled(edges.join(score, ["kind", "ctx"], "left").groupBy("kind", "x").agg(F.greatest(F.max("seed"), 1 - F.exp(doubt)).alias("s")))
     return score.where(F.col("p") >= confidence).select("kind", "ctx")
 
 
@@ -133,22 +140,22 @@ def redacted(docs: DataFrame) -> DataFrame:
 
     Of spans that overlap, the one that starts first stands, the longer one if they
     start together, and it is drawn out to the end of the others.  Columns other than text stay; ``n_chars`` follows the text.
+    Null, empty and spanless texts stay as they are; rows that repeat an id keep their own texts.
     """
-    found_in = personal_data(docs.select("doc_id", "text"))
-    every = F.array_sort(F.transform(F.concat("base", "added"), lambda s: F.struct(s["start"].alias("start"), (-s["end"]).alias("e"), s["end"].alias("end"), s["kind"].alias("kind"))))
-    spans = found_in.where("size(base) + size(added) > 0").select(F.col("doc_id").alias("__d"), F.col("t").alias("__t"), every.alias("__spans")).dropDuplicates(["__d", "__t"])
+    found_in = personal_data(docs.select("doc_id", "text")).where("size(base) + size(added) > 0").dropDuplicates(["doc_id", "t"])
+    each = found_in.select("doc_id", "t", F.explode(F.concat("base", "added")).alias("s")).select("doc_id", "t", "s.start", "s.end", "s.kind")
+    # runs of spans that overlap, the first one's kind for each
+    w = Window.partitionBy("doc_id", "t").orderBy("start", F.desc("end"), "kind")
+    before = F.max("end").over(w.rowsBetween(Window.unboundedPreceding, -1))
+    each = each.withColumn("new", F.when(F.col("start") >= F.coalesce(before, F.lit(0)), 1).otherwise(0)).withColumn("run", F.sum("new").over(w))
+    runs = each.groupBy("doc_id", "t", "run").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.min_by("kind", F.struct("start", -F.col("end"), "kind")).alias("kind"))
+    spans = runs.groupBy(F.col("doc_id").alias("__d"), F.col("t").alias("__t")).agg(F.array_sort(F.collect_list(F.struct("start", "end", "kind"))).alias("__spans"))
     rows = docs.join(spans, F.col("doc_id").eqNullSafe(F.col("__d")) & (F.xxhash64("text") == F.col("__t")), "left")
-    start = F.struct(F.lit("").alias("out"), F.lit(0).cast("long").alias("at"))
-    fold = F.aggregate(
-        "__spans",
-        start,
-        lambda acc, s: F.struct(
-            F.when(s["start"] >= acc["at"], F.concat(acc["out"], F.substring(F.col("text"), (acc["at"] + 1).cast("int"), (s["start"] - acc["at"]).cast("int")), F.lit("["), F.upper(s["kind"]), F.lit("]"))).otherwise(acc["out"]).alias("out"),
-            F.greatest(acc["at"], s["end"]).alias("at"),
-        ),
-    )
-    text = F.when(F.col("__spans").isNull(), F.col("text")).otherwise(F.concat(F.col("__f.out"), F.expr("substring(text, cast(__f.at + 1 as int))")))
-    out = rows.withColumn("__f", F.when(F.col("__spans").isNotNull(), fold)).withColumn("text", text).drop("__d", "__t", "__f", "__spans")
+    # what stands before each span, and its kind; then the rest
+    end_before = lambda i: F.coalesce(F.get("__spans", i - 1)["end"], F.lit(0))
+    pieces = F.transform("__spans", lambda s, i: F.concat(F.substring("text", (end_before(i) + 1).cast("int"), (s["start"] - end_before(i)).cast("int")), F.lit("["), F.upper(s["kind"]), F.lit("]")))
+    whole = F.concat(F.array_join(pieces, ""), F.expr("substring(text, cast(element_at(__spans, -1).end + 1 as int))"))
+    out = rows.withColumn("text", F.when(F.col("__spans").isNull(), F.col("text")).otherwise(whole)).drop("__d", "__t", "__spans")
     return out.withColumn("n_chars", F.when(F.col("text").isNull(), F.col("n_chars")).otherwise(F.length("text").cast("long"))) if "n_chars" in docs.columns else out
 
 

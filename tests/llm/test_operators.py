@@ -166,7 +166,21 @@ def test_mixing(docs, empty):
     emitted = mixing.emit(docs, mixing.mix(docs))
     assert emitted.columns == [*docs.columns, "copy"] or set(emitted.columns) == {*docs.columns, "copy"}
     assert emitted.count() == sum(r["copies"] for r in got)
-    assert mixing.mix(empty).count() == 0
+    assert mixing.mix(empty).count() == 0 and mixing.emit(empty, mixing.mix(empty)).count() == 0
+
+
+def test_emit_keeps_sizes_apart(spark):
+    rows = [(1, "s", "w " * n + x, 0) for n, x in ((10, "a"), (20, "b"), (10, "c"), (20, "d"))] + [(None, None, None, 0), (None, "s", "w", 0)]
+    docs = spark.createDataFrame(rows, "doc_id long, source string, text string, copy int")
+    mixed = spark.createDataFrame([(1, "s", 11, 1), (1, "s", 21, 0), (1, "s", 11, 0), (1, "s", 21, 1), (None, None, 0, 2), (None, "s", 1, 0)], "doc_id long, source string, size long, copies long")
+    got = collections.Counter((r["doc_id"], r["source"], len((r["text"] or "").split()), r["copy_"]) for r in mixing.emit(docs, mixed).collect())
+    assert got == {(1, "s", 11, 1): 1, (1, "s", 21, 1): 1, (None, None, 0, 1): 1, (None, None, 0, 2): 1}
+
+
+def test_mixing_of_one_key_in_many_rows(spark):
+    docs = spark.range(30_000).selectExpr("if(id % 3 = 0, null, id) doc_id", "'s' source", "repeat('w ', int(id % 2) + 3) text")
+    got = mixing.mix(docs).agg(F.count("*"), F.sum("copies"), F.max("target"), F.sum("taken")).first()
+    assert got[0] == 30_000 and abs(got[3] - got[2]) <= 12
 
 
 def brute_dedup(rows, span):
@@ -236,6 +250,50 @@ def test_personal_data(spark, docs, empty):
     assert pii.redacted(docs).columns == docs.columns and pii.personal_data(empty).count() == 0
 
 
+def brute_patterns(spans):
+    """From (base, candidates) of texts, each (kind, ctx, x) or (ctx, x): the graph's rounds one by one."""
+    fits = lambda kind, x: bool(re.search(r"@|[\[(]at[\])]", x)) if kind == "email" else len(re.sub("[^0-9]", "", x)) >= 6
+    seed = {}
+    for base, candidates in spans:
+        for k, ctx, x in base:
+            if ctx is not None:
+                seed[k, ctx, x] = 1.0
+        for ctx, x in candidates:
+            for k in PATTERNS:
+                if ctx is not None and fits(k, x):
+                    seed.setdefault((k, ctx, x), 0.0)
+    strings, contexts = collections.defaultdict(set), collections.defaultdict(set)
+    for k, ctx, x in seed:
+        strings[k, ctx].add(x)
+    for (k, ctx), xs in strings.items():
+        if len(xs) >= pii.SEEDS:
+            for x in xs:
+                contexts[k, x].add(ctx)
+    first = {(k, x): max(seed[k, c, x] for c in cs) for (k, x), cs in contexts.items()}
+    belief, p = dict(first), {}
+    for _ in range(pii.ROUNDS):
+        p = {}
+        for (k, c), xs in strings.items():
+            if len(xs) >= pii.SEEDS and sum(belief[k, x] >= pii.CONFIDENCE for x in xs) >= pii.SEEDS:
+                p[k, c] = sum(belief[k, x] for x in xs) / (len(xs) + 1)
+        belief = {(k, x): max(first[k, x], 1 - np.prod([1 - min(p.get((k, c), 0.0), 0.999) for c in cs])) for (k, x), cs in contexts.items()}
+    return {kc for kc, v in p.items() if v >= pii.CONFIDENCE}
+
+
+def test_patterns_are_bootstrapped(spark, docs):
+    names = [f"{a}{b}@intra{a}" for a in ("kim", "lee", "noor", "sol") for b in (17, 28, 39)]
+    texts = [f"reply to user{i}@corp{i}.example.org" for i in range(40)] + [f"reply to {n}" for n in names]  # a seed pattern reveals names ...
+    texts += [f"account owner {n}" for n in names] + ["account owner hidden77@deep"]  # ... which induce another one, which reveals this
+    texts += [f"weather at station{i}@hill" for i in range(9)] + [f"order number 12345{i}" for i in range(9)]
+    rows = spark.createDataFrame([*enumerate(texts)], "doc_id long, text string").unionByName(docs.select("doc_id", "text"))
+    found = pii.found(rows).collect()
+    want = brute_patterns([([(s["kind"], s["ctx"], s["x"]) for s in r["base"]], [(s["ctx"], s["x"]) for s in r["candidates"]]) for r in found])
+    got = {(r["kind"], r["ctx"]) for r in pii.patterns(pii.found(rows)).collect()}
+    assert got == want and {("email", "reply to"), ("email", "account owner")} <= got
+    added = {texts[r["doc_id"]][s["start"] : s["end"]] for r in pii.personal_data(rows).where("size(added) > 0").collect() for s in r["added"]}
+    assert added == {*names, "hidden77@deep"}
+
+
 def brute_contamination(text, windows):
     w = re.findall(r"[a-z0-9\x80-\U0010ffff]+", (text or "").translate(FOLD))
     hit, items = set(), set()
