@@ -4,6 +4,10 @@ Stages take (spark, docs, sf_dir); all but the last return the columns of docume
 A trusted text's quality decides first, so that junk costs nothing later; one document
 of each group of near copies stays, then benchmark passages, personal data and the
 mix of sources follow.
+
+Every stage takes tables with nulls in any column, empty and very long texts, repeated
+rows and ids, no rows at all, and columns of other names, which it passes on; what each
+does with them is said where it is defined in loomstone.llm.
 """
 
 from __future__ import annotations
@@ -16,32 +20,32 @@ from loomstone.llm import common, decontamination, jaccard, mixing, pii, quality
 
 
 def _quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality classifier rejects go."""
+    """Documents that the quality classifier rejects go; without trusted labels none does, and a tie with the threshold stays."""
     return quality.without_rejected(docs, common.table(spark, sf_dir, "labels"))
 
 
 def _one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies stays."""
+    """One document of each group of near copies stays, that of the smallest id; null ids and wordless texts have no copies."""
     return jaccard.one_of_each(docs)
 
 
 def _decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents of which a twentieth or more is benchmark text go."""
+    """Documents of which a twentieth or more is benchmark text go; wordless ones and all of an empty benchmark's stay."""
     return decontamination.without_contaminated(docs, common.table(spark, sf_dir, "benchmark"))
 
 
 def _redacted(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Personal data in the texts gives way to its kind."""
+    """Personal data in the texts gives way to its kind; every row stays, and n_chars follows the text."""
     return pii.redacted(docs)
 
 
 def _mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mix takes it, numbered by ``copy``."""
+    """Each document as often as the mix takes it, numbered by ``copy``; null sources are one source, wordless texts have size 0."""
     return mixing.emit(docs, mixing.mix(docs))
 
 
 STAGES = [("quality", _quality), ("near_copies", _one_of_each), ("decontamination", _decontaminated), ("personal_data", _redacted), ("mixing", _mixed)]
-#: The classifier's model can't be written in SQL; the tests hold run() against a brute-force version.
+#: The classifier's model can't be written in SQL; the tests hold every stage and run() against brute-force versions.
 ORACLE_SQL = None
 
 
