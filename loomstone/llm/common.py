@@ -45,17 +45,24 @@ def ready(spark: SparkSession) -> None:
         sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="checkpoint-"))
 
 
+def collected(spark: SparkSession) -> None:
+    """Asks the driver's collector to look before a step.
+
+    Spark drops shuffle and checkpoint files (these where
+    spark.cleaner.referenceTracking.cleanCheckpoints is set) when the collector finds that
+    nothing refers to them; those of the steps before would else add up on the disks.
+    """
+    spark.sparkContext._jvm.System.gc()
+
+
 def settled(df: DataFrame, *spent: Broadcast) -> DataFrame:
     """The same rows, read from the shared checkpoint folder; a lost executor costs no recomputation.
 
     ``spent`` are broadcast values that nothing needs once the rows are written; they are
-    dropped everywhere.  Spark drops shuffle and checkpoint files (these where
-    spark.cleaner.referenceTracking.cleanCheckpoints is set) when the driver's collector
-    finds that nothing refers to them; it is asked to look before each step, as the files
-    of the steps before would else add up on the disks.
+    dropped everywhere.
     """
     ready(df.sparkSession)
-    df.sparkSession.sparkContext._jvm.System.gc()
+    collected(df.sparkSession)
     out = df.checkpoint(eager=True)
     for b in spent:
         b.destroy()
@@ -65,6 +72,7 @@ def settled(df: DataFrame, *spent: Broadcast) -> DataFrame:
 def stored(df: DataFrame, path: str | None = None) -> DataFrame:
     """The same rows, written as Parquet below the shared checkpoint folder, over what was there, and read again."""
     ready(df.sparkSession)
+    collected(df.sparkSession)
     path = f"{df.sparkSession.sparkContext.getCheckpointDir()}/{path or uuid.uuid4().hex}"
     df.write.mode("overwrite").parquet(path)
     return df.sparkSession.read.parquet(path)
@@ -78,6 +86,7 @@ class Scratch:
         self.spark, self.folder, self.schemas = spark, f"{spark.sparkContext.getCheckpointDir()}/{uuid.uuid4().hex}", []
 
     def table(self, df: DataFrame) -> DataFrame:
+        collected(self.spark)
         path = f"{self.folder}/{len(self.schemas)}"
         self.schemas.append(df.schema)
         df.write.parquet(path)
@@ -295,11 +304,12 @@ def passes(bitmap: np.ndarray, slots: np.ndarray) -> np.ndarray:
     return (bitmap[slots >> 3] >> (slots & 7).astype(np.uint8)) & 1 > 0
 
 
-def joined_components(edges: DataFrame, a: str = "a", b: str = "b", rounds: int = 60) -> DataFrame:
+def joined_components(edges: DataFrame, a: str = "a", b: str = "b", rounds: int = 60, whole: bool = True) -> DataFrame:
     """(node, component): the smallest node that each node of the edges reaches.
 
     Rounds of large-star and small-star (Kiveris and others, 2014) on a table of
-    edges that is checkpointed each round; nothing is collected but a sum.
+    edges that is checkpointed each round; nothing is collected but a sum.  If not
+    ``whole``, it ends after the rounds given, and a component may still be in several parts.
     """
     links = settled(edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u <> v").distinct())
     last = None
@@ -310,11 +320,14 @@ def joined_components(edges: DataFrame, a: str = "a", b: str = "b", rounds: int
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.u", "e.v").where("u <> v").distinct()
         links = settled(small)
+        if not whole:
+            continue
         state = tuple(links.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
         if state == last:
             break
         last = state
     else:
-        raise RuntimeError("components did not settle")
+        if whole:
+            raise RuntimeError("components did not settle")
     nodes = links.groupBy("u").agg(F.min("v").alias("component")).withColumnRenamed("u", "node")
     return nodes.unionByName(nodes.select(F.col("component").alias("node"), "component").distinct())

@@ -44,6 +44,8 @@ SEEN_IN_CHUNK = 2
 SHORT_LIST = 64
 #: ... of about this many.
 BLOCK = 2048
+#: Rounds that form the components which spare step 4 its pairs.
+FIRST_ROUNDS = 2
 _TOP = np.uint64(1 << 63)
 _LOW = np.uint64((1 << 63) - 1)
 
@@ -293,7 +295,8 @@ def jaccard_components(docs: DataFrame, width: int = SHINGLE, least: int = LEAST
     pairs = listed.withColumnRenamed("g", "b").where(near).select("a", "b")
     pairs = common.settled(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
     linked = common.settled(links(docs, pairs, bits, width, least))
-    comps = common.joined_components(linked)
+    # a few rounds join nearly all; what they leave apart only costs pairs
+    comps = common.joined_components(linked, rounds=FIRST_ROUNDS, whole=False)
     # what may still link across components; a list of two has had its only pair
     of = listed.where("k > 2").select("h", "c", "g", "n", "k").join(comps.withColumnRenamed("node", "g"), "g", "left").withColumn("component", F.coalesce("component", "g"))
     open_lists = of.groupBy("h", "c").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("h", "c")

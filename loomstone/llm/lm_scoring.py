@@ -1,13 +1,16 @@
-"""Language-model scores of whole texts: word counts over a lattice of subwords.
-
-A word's probability is (c + V * lattice(word)) / (N + V): its count in the training
-texts, smoothed by the probability that a unigram model of subwords spells it, which
-weighs as much as there are distinct words (Witten and Bell's estimate of new ones).  That
-model sums over all segmentations of the word into pieces of an existing vocabulary,
-by the forward recursion in log space (every piece that ends at a character adds the
-probability of the characters before it).  The vocabulary's scores order its pieces
-by rank, and a piece of rank r weighs 1 / (r + 2.7), Mandelbrot's form of Zipf's law;
-a character without a piece is spelled in its bytes.
+"""Language-model scores of whole texts: the marginal probability of a lattice of subwords.
+
+A text is spelled by pieces of an existing vocabulary, a word's first one beginning with
+its boundary mark, and by whole words of the training texts, which are arcs of the
+lattice like any other.  All segmentations count: the forward recursion in log space adds, at every
+character, the probabilities of all arcs that end there times those of what comes before
+them.  The vocabulary's scores order its pieces by rank, and a piece of rank r weighs
+1 / (r + 2.7), Mandelbrot's form of Zipf's law; a character without a piece is spelled in
+its bytes.  All pieces together have the share V / (N + V) and a word's arc c / (N + V): c
+its count in the training texts, N that of all tokens and V of distinct ones (Witten and
+Bell's estimate of what is new).  The end of a text is a token with an arc too, beside a
+share END_SHARE of the pieces'.  As a word ends where a boundary mark follows, pieces spell words
+with a total probability of 1, and so all tokens together have 1.
 
 Counts are exact and cover all training texts.  The most frequent words, a bounded
 number, are looked up where the texts are; the other words of each document are
@@ -37,7 +40,8 @@ MEMORY = 1 << 20
 WORD_CHARS = 64
 #: The end of a text counts as a token; this is its hash.
 END = np.uint64(0x5D1E0F7EA3C9B241)
-END_LATTICE = np.log(1e-3)
+END_SHARE = 1e-3
+END_LATTICE, WORD_LATTICE = np.log(END_SHARE), np.log1p(-END_SHARE)
 LOG10 = float(np.log(10.0))
 
 
@@ -210,7 +214,7 @@ def lm_scores(docs: DataFrame, pieces: str | None = None, smoothing: float | Non
             kind[order] = np.cumsum(new) - 1
             one = order[new]
             raw = common.LOWER[data].tobytes()
-            log = model.remembered(h[one], lambda new, raw=raw, one=one, first=first, length=length: [raw[first[k] : first[k] + length[k]].decode("utf-8", "replace") for k in one[new]])
+            log = WORD_LATTICE + model.remembered(h[one], lambda new, raw=raw, one=one, first=first, length=length: [raw[first[k] : first[k] + length[k]].decode("utf-8", "replace") for k in one[new]])
             place = np.minimum(np.searchsorted(keys, h[one]), max(len(keys) - 1, 0)) if len(keys) else np.zeros(len(one), np.int64)
             found = keys[place] == h[one] if len(keys) else np.zeros(len(one), bool)
             count = np.where(found, cs[place], 0) if len(keys) else np.zeros(len(one), np.int64)

@@ -377,6 +377,40 @@ def test_language_id(spark, data, docs, empty):
     assert {(r["doc_id"], r["lang_pred"]) for r in language_id.language_id(mixed).collect()} == {(r["doc_id"], r["lang_pred"]) for r in got}
 
 
+def test_language_scores_equal_kernel_ridge_regression(monkeypatch):
+    r = random.Random(9)
+    texts = [" ".join("".join(r.choice(a) for _ in range(r.randint(2, 7))) for _ in range(r.randint(3, 40))) for a in ("abcde", "cdefg", "éñfgh") for _ in range(12)]
+    langs = [x for x in ("aa", "bb", "cc") for _ in range(12)]
+    monkeypatch.setattr(language_id, "LANDMARKS", 5)
+    monkeypatch.setattr(language_id, "PIECE", 16)
+    asked = texts + ["zzz completely other", "a", "é" * 90]
+    got = language_id.Predictor(language_id.Model(texts, langs)).scores(asked)
+
+    def spectrum(t):
+        b = t.lower().encode()
+        return {b[i : i + n] for n in (1, 2, 3) for i in range(len(b) - n + 1)}
+
+    sets = [spectrum(t) for t in texts]
+    kernel = lambda a, b: len(a & b) / (len(a) * len(b)) ** 0.5
+    marks = [sets[12 * k + i] for k in range(3) for i in range(5)]
+    values, vectors = np.linalg.eigh(np.array([[kernel(a, b) for b in marks] for a in marks]))
+    white = vectors / np.sqrt(values)
+    z = lambda s: np.append(np.array([kernel(s, m) for m in marks]) @ white, 1.0)
+    x = np.array([z(s) for s in sets])
+    y = np.array([[1.0 if a == b else -1.0 for b in ("aa", "bb", "cc")] for a in langs])
+    beta = np.linalg.solve(x.T @ x + (language_id.RIDGE * len(x) / x.shape[1] + 1e-9) * np.eye(x.shape[1]), x.T @ y)
+    assert np.allclose(got, [z(spectrum(t)) @ beta for t in asked], atol=1e-4)
+
+
+def test_language_of_many_and_of_hot_rows(spark):
+    rows = [(i, f"{chr(0x3B1 + i % 90)}{chr(0x400 + i % 90)} " * (3 + i // 90), f"l{i % 90}") for i in range(900)] + [(None, "same text again and again", "hot")] * 5000 + [(10_000 + i, f"only long ones {i} " * 2000, "long") for i in range(8)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = language_id.language_id(docs).join(docs.select("doc_id", "lang").distinct(), "doc_id").collect()
+    assert {r["lang_pred"] for r in got} >= {f"l{i}" for i in range(90)} | {"long"}
+    assert sum(r["lang_pred"] == r["lang"] for r in got) > 0.95 * len(got)
+    assert language_id.language_id(docs.where("doc_id is null")).where("lang_pred = 'hot'").count() == 5000
+
+
 @pytest.mark.parametrize("frequent", [1 << 19, 7])
 def test_lm_scores(docs, empty, frequent):
     rows = rows_of(docs)
@@ -386,7 +420,7 @@ def test_lm_scores(docs, empty, frequent):
     total = sum(c.values())
     model = lm_scoring.lattice(public_tokenizers.path(lm_scoring.PIECES))
     kinds = list({w for ws in words for w in ws} - {0})
-    log = dict(zip(kinds, model.score(kinds), strict=True)) | {0: lm_scoring.END_LATTICE}
+    log = dict(zip(kinds, model.score(kinds) + lm_scoring.WORD_LATTICE, strict=True)) | {0: lm_scoring.END_LATTICE}
     a = len(c)  # Witten and Bell
     base = lambda ws: sum(np.log10((c[w] + 1) / (total + len(c) + 1)) for w in ws)
     score = lambda ws: sum(np.logaddexp(np.log(c[w]) if c[w] else -np.inf, np.log(a) + log[w]) / np.log(10) - np.log10(total + a) for w in ws)
@@ -407,6 +441,7 @@ def test_lattice_sums_all_segmentations():
         own = np.exp(len(s[0].encode()) * model.byte) * spell(s[1:])
         return own + sum(np.exp(model.pieces[s[:n]]) * spell(s[n:]) for n in range(1, len(s) + 1) if s[:n] in model.pieces)
 
+    assert abs(sum(map(np.exp, model.pieces.values())) + 256 * np.exp(model.byte) - 1) < 1e-9
     for w in ("the", "thanes", "éñ中", "x"):
         assert abs(model.score([w])[0] - np.log(spell("▁" + w))) < 1e-9
 
