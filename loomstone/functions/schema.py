@@ -9,7 +9,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 #: What a document says, and what holds where it says nothing.
-PAGE_TYPES = ("entity", "concept", "source", "summary", "index")
+PAGE_TYPES = ("source", "entity", "concept")
 NAMING = "entities/<名称>.md"
 CONFLICT = r"冲突行为[：:]\s*(\w+)"
 READ_ONLY = r"raw/\s*目录只读[：:]\s*是"
@@ -37,7 +37,7 @@ def _sections(s: Schema) -> list[tuple[str, list[str]]]:
 
 
 def rendered(s: Schema) -> str:
-    return "# LLM Wiki Schema\n" + "".join(f"\n## {title}\n" + "".join(f"- {x}\n" for x in lines) for title, lines in _sections(s))
+    return "# Corpus policy\n" + "".join(f"\n## {title}\n" + "".join(f"- {x}\n" for x in lines) for title, lines in _sections(s))
 
 
 def merged(document: str, s: Schema) -> str:

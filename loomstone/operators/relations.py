@@ -2,9 +2,15 @@
 
 from __future__ import annotations
 
+import re
+from itertools import count
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from loomstone.session import findable
+
 
 def upsert(old: DataFrame, new: DataFrame, key: str = "source_path") -> DataFrame:
     """K1: every row of a key that new has gives way to new's rows."""
@@ -40,19 +46,50 @@ def changed(files: DataFrame, manifest: DataFrame, force: bool = False) -> DataF
     return (rows if force else rows.where("state <> 'same'")).select("source_path", "state")
 
 
+_STEM, _EXT = r"\.[^./]*$", r"(\.[^./]*)$"
+_NUMBER = r"( \(\d+\))+$"
+
+
 def upload_outcome(existing: DataFrame, uploads: DataFrame) -> DataFrame:
-    """K8: (seq, rel, status, stored) of uploads (seq, rel, hash) against existing (rel, hash).
+    """K8: (seq, rel, status, stored) of uploads (seq, rel, hash), in the order of seq, onto existing files (rel, hash).
 
-    Equal content under the same name is a duplicate; a taken name with other content
-    gets the first free number, counted per name in order of arrival.
+    A free name is created, and taken from then on; what is stored under it decides about
+    later ones: equal content is a duplicate, other content gets the first free number.
+    Names are independent of each other as long as none of a family carries a number
+    itself, and windows over a name give all numbers; the other families, those with a
+    name such as ``x (1).txt`` among files or uploads, are gone through one by one.
     """
-    named = uploads.join(existing.select("rel", F.col("hash").alias("had")).groupBy("rel").agg(F.collect_set("had").alias("had")), "rel", "left")
-    status = F.when(F.col("had").isNull(), "created").when(F.array_contains("had", F.col("hash")), "duplicate").otherwise("renamed")
-    rows = named.withColumn("status", status)
+    family = lambda c: F.concat(F.regexp_replace(F.regexp_replace(c, _STEM, ""), _NUMBER, ""), F.regexp_extract(c, _EXT, 1))
+    # names of their own, as both may come from one table
+    existing, uploads = existing.select(*[F.col(c).alias(c) for c in ("rel", "hash")]), uploads.select(*[F.col(c).alias(c) for c in ("seq", "rel", "hash")])
+    both = existing.select("rel").unionByName(uploads.select("rel"))
+    numbered = both.where(F.regexp_replace("rel", _STEM, "").rlike(_NUMBER)).select(family(F.col("rel")).alias("family")).distinct()
+    ups, files = uploads.withColumn("family", family(F.col("rel"))), existing.groupBy("rel").agg(F.min("hash").alias("had")).withColumn("family", family(F.col("rel")))
+    plain = ups.join(numbered, "family", "left_anti").join(files.drop("family"), "rel", "left")
+    first = F.row_number().over(Window.partitionBy("rel").orderBy("seq")) == 1
+    held = F.coalesce("had", F.first("hash").over(Window.partitionBy("rel").orderBy("seq")))
+    status = F.when(F.col("had").isNull() & F.col("first"), "created").when(F.col("held") == F.col("hash"), "duplicate").otherwise("renamed")
+    plain = plain.withColumns({"first": first, "held": held}).withColumn("status", status)
     n = F.row_number().over(Window.partitionBy("rel", "status").orderBy("seq"))
-    stem, ext = F.regexp_replace("rel", r"\.[^./]*$", ""), F.regexp_extract("rel", r"(\.[^./]*)$", 1)
-    stored = F.when(F.col("status") == "renamed", F.concat(stem, F.lit(" ("), n.cast("string"), F.lit(")"), ext)).otherwise(F.col("rel"))
-    return rows.withColumn("stored", stored).select("seq", "rel", "status", "stored")
+    named = F.concat(F.regexp_replace("rel", _STEM, ""), F.lit(" ("), n.cast("string"), F.lit(")"), F.regexp_extract("rel", _EXT, 1))
+    plain = plain.withColumn("stored", F.when(F.col("status") == "renamed", named).otherwise(F.col("rel"))).select("seq", "rel", "status", "stored")
+
+    def in_turn(had: pd.DataFrame, new: pd.DataFrame) -> pd.DataFrame:
+        at, out = dict(zip(had["rel"], had["had"], strict=True)), []
+        for seq, rel, content in new.sort_values("seq")[["seq", "rel", "hash"]].itertuples(index=False):
+            status, to = "duplicate" if at.get(rel) == content else "renamed" if rel in at else "created", rel
+            if status == "renamed":
+                ext = (re.search(_EXT, rel) or [""])[0]
+                to = next(x for k in count(1) if (x := f"{rel[: len(rel) - len(ext)]} ({k}){ext}") not in at)
+            if status != "duplicate":
+                at[to] = content
+            out.append((seq, rel, status, to))
+        return pd.DataFrame(out, columns=["seq", "rel", "status", "stored"])
+
+    findable(uploads.sparkSession)
+    only = lambda df: df.join(numbered, "family", "left_semi").groupBy("family")
+    kind = uploads.schema["seq"].dataType.simpleString()
+    return plain.unionByName(only(files).cogroup(only(ups)).applyInPandas(in_turn, f"seq {kind}, rel string, status string, stored string"))
 
 
 def ancestors(path: Column) -> Column:

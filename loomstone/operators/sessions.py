@@ -42,7 +42,7 @@ def trace_label(seq: Column, stamp: Column, session: Column) -> Column:
     """the file name of a request; stamp is a timestamp in UTC."""
     iso = F.date_format(stamp, "yyyy-MM-dd'T'HH-mm-ss-SSS'Z'")
     name = F.concat(F.lpad(seq.cast("string"), F.greatest(F.lit(3), F.length(seq.cast("string"))), F.lit("0")), F.lit("-"), iso, F.lit("-"), F.coalesce(session, F.lit("no-session")))
-    return F.regexp_replace(name, r"[^A-Za-z0-9._-]", "_")
+    return F.regexp_replace(name, r"[^A-Za-z0-9_-]", "_")
 
 
 def stream_fold(parts: DataFrame) -> DataFrame:

@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -12,6 +9,7 @@ from loomstone.functions import schema, text, vectors
 from loomstone.operators import extraction, jobs, pages, plans, relations, sessions
 from loomstone.plans.views import JOBS, SRC, VEC, src, table, vec
 from loomstone.plans.views import jobs as job_view
+from loomstone.session import place
 from loomstone.sources import readers
 from loomstone.streaming import streams
 
@@ -91,26 +89,18 @@ def delete_cascade(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query(
-    """WITH d AS (SELECT doc_id, md5(text) AS h, 'raw/' || (doc_id % 400) || '.txt' AS rel FROM documents), e AS (SELECT rel, list(DISTINCT h) AS had FROM d WHERE doc_id < 200 GROUP BY rel),
-u AS (SELECT doc_id AS seq, d.rel, CASE WHEN had IS NULL THEN 'created' WHEN list_contains(had, h) THEN 'duplicate' ELSE 'renamed' END AS status FROM d LEFT JOIN e ON d.rel = e.rel WHERE doc_id >= 100)
-SELECT seq, rel, status, CASE WHEN status = 'renamed' THEN replace(rel, '.txt', ' (' || row_number() OVER (PARTITION BY rel, status ORDER BY seq) || ').txt') ELSE rel END AS stored FROM u"""
+    """WITH d AS (SELECT doc_id, md5(text) AS h, 'raw/' || CASE WHEN doc_id // 6 % 2 = 0 THEN (doc_id // 6)::VARCHAR ELSE 'new/' || doc_id // 2 END || '.txt' AS rel FROM documents),
+e AS (SELECT rel, min(h) AS had FROM d WHERE doc_id % 12 < 1 GROUP BY rel),
+u AS (SELECT doc_id AS seq, d.rel, h, had, row_number() OVER (PARTITION BY d.rel ORDER BY doc_id) AS k, coalesce(had, first_value(h) OVER (PARTITION BY d.rel ORDER BY doc_id)) AS held FROM d LEFT JOIN e ON d.rel = e.rel),
+v AS (SELECT *, CASE WHEN had IS NULL AND k = 1 THEN 'created' WHEN h = held THEN 'duplicate' ELSE 'renamed' END AS status FROM u)
+SELECT seq, rel, status, CASE WHEN status = 'renamed' THEN replace(rel, '.txt', ' (' || row_number() OVER (PARTITION BY rel, status ORDER BY seq) || ').txt') ELSE rel END AS stored FROM v"""
 )
 def upload_outcome(spark: SparkSession, sf: str) -> DataFrame:
-    d = table(spark, sf, "documents").select("doc_id", F.md5("text").alias("hash"), F.concat(F.lit("raw/"), (F.col("doc_id") % 400).cast("string"), F.lit(".txt")).alias("rel"))
-    return relations.upload_outcome(d.where("doc_id < 200"), d.where("doc_id >= 100").withColumnRenamed("doc_id", "seq"))
-
-
-@query(
-    """WITH d AS (SELECT doc_id, md5(text) AS h, 'raw/' || CASE WHEN doc_id // 6 % 2 = 0 THEN (doc_id // 6)::VARCHAR ELSE 'new/' || doc_id END || '.txt' AS rel FROM documents), e AS (SELECT rel, list(DISTINCT h) AS had FROM d WHERE doc_id % 12 < 3 GROUP BY rel),
-u AS (SELECT doc_id AS seq, d.rel, CASE WHEN had IS NULL THEN 'created' WHEN list_contains(had, h) THEN 'duplicate' ELSE 'renamed' END AS status FROM d LEFT JOIN e ON d.rel = e.rel WHERE doc_id % 6 >= 2)
-SELECT seq, rel, status, CASE WHEN status = 'renamed' THEN replace(rel, '.txt', ' (' || row_number() OVER (PARTITION BY rel, status ORDER BY seq) || ').txt') ELSE rel END AS stored FROM u"""
-)
-def upload_outcome_whole(spark: SparkSession, sf: str) -> DataFrame:
-    """Of twelve documents, the first six share a name: three are stored, the third is sent again, three are sent anew; of the others four have new names."""
+    """All documents arrive: of twelve, six under one name, of which the first is stored already, and six under new names, two for each."""
     block = F.floor(F.col("doc_id") / 6)
-    rel = F.concat(F.lit("raw/"), F.when(block % 2 == 0, block.cast("string")).otherwise(F.concat(F.lit("new/"), F.col("doc_id").cast("string"))), F.lit(".txt"))
+    rel = F.concat(F.lit("raw/"), F.when(block % 2 == 0, block.cast("string")).otherwise(F.concat(F.lit("new/"), F.floor(F.col("doc_id") / 2).cast("string"))), F.lit(".txt"))
     d = table(spark, sf, "documents").select("doc_id", F.md5("text").alias("hash"), rel.alias("rel"))
-    return relations.upload_outcome(d.where("doc_id % 12 < 3"), d.where("doc_id % 6 >= 2").withColumnRenamed("doc_id", "seq"))
+    return relations.upload_outcome(d.where("doc_id % 12 < 1"), d.withColumnRenamed("doc_id", "seq"))
 
 
 @query(f"WITH {SRC}, {VEC} SELECT src.uid, source_path, len(content)::BIGINT AS content_length, substr(content, 1, 240) AS preview, e IS NOT NULL AS has_vector, coalesce(len(e), 0)::INT AS dim, round(coalesce(sqrt(list_inner_product(e, e)), 0), 6) AS magnitude FROM src LEFT JOIN vec ON src.uid = vec.uid WHERE source = 'src2'")
@@ -224,19 +214,13 @@ def tree_nodes(spark: SparkSession, sf: str) -> DataFrame:
 _LINKS = "(VALUES ('entities/beta.md', 'B', 'see [[A]] and [[beta]] [[zzz]]'), ('entities/a.md', 'A', '[[ B ]] [[be]] [[none]] [[zzz]]'), ('concepts/c.md', 'C', 'no links')) t(path, title, content)"
 
 
-@query(f"WITH p AS (SELECT * FROM {_LINKS}), l AS (SELECT path, trim(unnest(regexp_extract_all(content, '\\[\\[([^\\]]+)\\]\\]', 1))) AS target FROM p) SELECT path, target FROM l WHERE target NOT IN (SELECT title FROM p) AND NOT EXISTS (SELECT 1 FROM p WHERE contains(p.path, l.target))")
-def broken_links(spark: SparkSession, sf: str) -> DataFrame:
-    rows = [("entities/beta.md", "B", "see [[A]] and [[beta]] [[zzz]]"), ("entities/a.md", "A", "[[ B ]] [[be]] [[none]] [[zzz]]"), ("concepts/c.md", "C", "no links")]
-    return pages.broken_links(spark.createDataFrame(rows, "path string, title string, content string"))
-
-
 @query(
     f"""WITH p AS (SELECT path, title FROM {_LINKS} UNION ALL SELECT url, regexp_extract(html, '<title>([^<]*)', 1) FROM pages),
 l AS (SELECT path, trim(unnest(regexp_extract_all(content, '\\[\\[([^\\]]+)\\]\\]', 1))) AS target FROM {_LINKS} UNION ALL SELECT url, trim(unnest(regexp_extract_all(html, 'href="([^"\\]]+)"', 1))) FROM pages),
 t AS (SELECT DISTINCT target FROM l), b AS (SELECT target FROM t WHERE target NOT IN (SELECT title FROM p) AND NOT EXISTS (SELECT 1 FROM p WHERE contains(p.path, t.target)))
 SELECT path, target FROM l WHERE target IN (SELECT target FROM b)"""
 )
-def broken_links_whole(spark: SparkSession, sf: str) -> DataFrame:
+def broken_links(spark: SparkSession, sf: str) -> DataFrame:
     """The literal rows, and every web page: its url, its title and its hrefs."""
     rows = [("entities/beta.md", "B", "see [[A]] and [[beta]] [[zzz]]"), ("entities/a.md", "A", "[[ B ]] [[be]] [[none]] [[zzz]]"), ("concepts/c.md", "C", "no links")]
     hrefs = F.transform(F.regexp_extract_all("html", F.lit(r'href="([^"\]]+)"'), F.lit(1)), lambda x: F.concat(F.lit("[["), x, F.lit("]]")))
@@ -246,35 +230,25 @@ def broken_links_whole(spark: SparkSession, sf: str) -> DataFrame:
 
 # extraction and conflicts
 
-_LINES = [
-    ("raw/a.md", "5.1.1 室内甲醛浓度不大于0.10 mg/m³，氡浓度应不大于 150 Bq/m³。\n6.2 疏散时间 不低于 30 min", "GB1"),
-    ("raw/b.md", "7 宜采用照度不低于300lx\n8.1 净宽不应低于1.2米；净高不高于 3m\n温度≤25℃温度≤25℃", "GB2"),
-    ("raw/c.md", "9.1 室内甲醛浓度不大于0.08 mg/m³\n依据 GB/T 18883-2022 执行", "GB3"),
-    ("raw/d.md", "plain text", ""),
-]
-_FOUND = [
-    ("raw/a.md", "5.1.1", "室内甲醛浓度", 0.1, "mg/m³", "upper", "强制"),
-    ("raw/a.md", "5.1.1", "氡浓度", 150.0, "Bq/m³", "upper", "强制"),
-    ("raw/b.md", "7", "宜采用照度", 300.0, "lx", "lower", "推荐"),
-    ("raw/b.md", "8.1", "净宽", 1.2, "", "lower", "强制"),
-    ("raw/b.md", "", "温度", 25.0, "℃25", "upper", "强制"),
-    ("raw/c.md", "9.1", "室内甲醛浓度", 0.08, "mg/m³", "upper", "强制"),
-]
-_VALUES = ", ".join("(" + ", ".join(f"'{x}'" if isinstance(x, str) else f"{x}::DOUBLE" for x in r) + ")" for r in _FOUND)
-
-
-def _standards(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(_LINES, "source_path string, content string, standard_no string")
-
-
-@query(f"SELECT * FROM (VALUES {_VALUES}) t(source_path, clause_no, indicator_name, value, unit, direction, level)")
+@query(
+    """SELECT 'raw/' || p_partkey || '.md' AS source_path, CASE p_partkey % 3 WHEN 0 THEN '5.' || p_partkey % 7 || '.1' WHEN 1 THEN '7' ELSE '' END AS clause_no, CASE p_partkey % 3 WHEN 0 THEN '室内甲醛浓度' WHEN 1 THEN '宜采用照度' ELSE '温度' END AS indicator_name,
+p_size::DOUBLE AS value, CASE p_partkey % 3 WHEN 0 THEN 'mg/m³' WHEN 1 THEN 'lx' ELSE '℃' END AS unit, CASE p_partkey % 3 WHEN 1 THEN 'lower' ELSE 'upper' END AS direction, CASE p_partkey % 3 WHEN 1 THEN '推荐' ELSE '强制' END AS level FROM part"""
+)
 def extract_indicators(spark: SparkSession, sf: str) -> DataFrame:
-    return extraction.indicators(_standards(spark)).select("source_path", "clause_no", "indicator_name", "value", "unit", "direction", "level")
+    """A source for each part, whose size is the bound that its text states; a second line states none."""
+    size, k = F.col("p_size").cast("string"), F.col("p_partkey")
+    said = F.when(k % 3 == 0, F.concat(F.lit("5."), (k % 7).cast("string"), F.lit(".1 室内甲醛浓度不大于"), size, F.lit(" mg/m³。")))
+    said = said.when(k % 3 == 1, F.concat(F.lit("7 宜采用照度不低于"), size, F.lit("lx"))).otherwise(F.concat(F.lit("温度≤"), size, F.lit("℃\n6.2 疏散时间 不低于 30 min")))
+    docs = table(spark, sf, "part").select(F.concat(F.lit("raw/"), k.cast("string"), F.lit(".md")).alias("source_path"), said.alias("content"), F.lit("GB1").alias("standard_no"))
+    return extraction.indicators(docs).select("source_path", "clause_no", "indicator_name", "value", "unit", "direction", "level")
 
 
-@query("SELECT * FROM (VALUES ('raw/a.md', ''), ('raw/b.md', ''), ('raw/c.md', 'GB/T18883-2022'), ('raw/d.md', '')) t(source_path, standard)")
+@query("SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN 'GB/T' || doc_id || '-2022' WHEN 1 THEN 'JGJ' || doc_id WHEN 2 THEN 'T/CECS' || doc_id || '.1-2020' ELSE '' END AS standard FROM documents")
 def standard_no(spark: SparkSession, sf: str) -> DataFrame:
-    return _standards(spark).select("source_path", extraction.standard_no(F.col("content")).alias("standard"))
+    """Every document is given a sentence that names a standard in one of three ways, or none."""
+    i = F.col("doc_id").cast("string")
+    said = F.when(F.col("doc_id") % 4 == 0, F.concat(F.lit("依据 GB/T "), i, F.lit("-2022 执行"))).when(F.col("doc_id") % 4 == 1, F.concat(F.lit("see JGJ "), i)).when(F.col("doc_id") % 4 == 2, F.concat(F.lit("按 T/CECS "), i, F.lit(".1-2020 的规定"))).otherwise("plain text")
+    return table(spark, sf, "documents").select("doc_id", extraction.standard_no(said).alias("standard"))
 
 
 def _limits(spark: SparkSession, sf: str) -> DataFrame:
@@ -293,11 +267,13 @@ def numeric_conflicts(spark: SparkSession, sf: str) -> DataFrame:
     return found.select("indicator_name", F.col("standard_a.no").alias("no_a"), F.col("standard_b.no").alias("no_b"), F.col("standard_a.value").alias("value_a"), F.col("standard_b.value").alias("value_b"), "type")
 
 
-@query("SELECT * FROM (VALUES ('concepts/x.md', 2::BIGINT, '> ⚠️ **潜在冲突** a\n> b'), ('entities/y.md', 1::BIGINT, '> ⚠️ **潜在冲突**')) t(path, n, first)")
+@query("SELECT 'concepts/' || doc_id || '.md' AS path, (doc_id % 3)::BIGINT AS n, '> ⚠️ **潜在冲突** ' || doc_id || chr(10) || '> b' AS first FROM documents WHERE doc_id % 3 > 0")
 def conflict_blocks(spark: SparkSession, sf: str) -> DataFrame:
-    m = extraction.MARKER
-    rows = [("concepts/x.md", f"intro\n{m} a\n> b\ntext\n{m} c\nend"), ("entities/y.md", f"z\n{m}"), ("entities/z.md", "none")]
-    return extraction.conflict_blocks(spark.createDataFrame(rows, "path string, content string")).select("path", "n", F.element_at("blocks", 1).alias("first"))
+    """A page for each document, with none to two blocks."""
+    i = F.col("doc_id").cast("string")
+    block = F.concat(F.lit(extraction.MARKER + " "), i, F.lit("\n> b\ntext\n"))
+    made = table(spark, sf, "documents").select(F.concat(F.lit("concepts/"), i, F.lit(".md")).alias("path"), F.concat(F.lit("intro\n"), F.repeat(block, (F.col("doc_id") % 3).cast("int")), F.lit("end")).alias("content"))
+    return extraction.conflict_blocks(made).select("path", "n", F.element_at("blocks", 1).alias("first"))
 
 
 # plans of operations
@@ -314,45 +290,38 @@ def _ops(spark: SparkSession) -> DataFrame:
     return plans.plan_ops(spark.createDataFrame(_ANSWERS, "window int, raw string"))
 
 
-@query("SELECT * FROM (VALUES (1, 0, 'create', 'entities/x.md', 19), (2, 0, 'update', 'entities/x.md', 19), (3, 0, 'create', 'entities/x.md', 1), (3, 1, 'create', 'concepts/GB1.md', 21)) t(win, seq, kind, path, n)")
-def plan_ops(spark: SparkSession, sf: str) -> DataFrame:
-    return _ops(spark).select(F.col("window").alias("win"), "seq", "kind", "path", F.length("content").alias("n"))
-
-
-@query("SELECT * FROM (VALUES ('entities/x.md', 'create', '---\ntitle: X\n---\nA\n\nB\n'), ('concepts/GB1.md', 'create', '---\ntitle: none\n---\nC')) t(path, kind, content)")
-def merge_ops(spark: SparkSession, sf: str) -> DataFrame:
-    return plans.merge_ops(_ops(spark)).select("path", "kind", "content")
+_ANSWERED = """a AS (SELECT doc_id::INT AS win, doc_id % 4 AS k, 'entities/x' || doc_id || '.md' AS x, 'concepts/GB' || doc_id || '.md' AS g, doc_id FROM documents)"""
 
 
-_NAMED = [("entities/gb-1.md", "GB 1"), ("entities/GB标1.md", "GB1"), ("concepts/x_y.md", "x y"), ("sources/s.md", "S")]
-
-
-@query("SELECT * FROM (VALUES ('gb1', 'entities/gb-1.md'), ('gb标1', 'entities/GB标1.md'), ('xy', 'concepts/x_y.md')) t(key, path)")
-def dedup_index(spark: SparkSession, sf: str) -> DataFrame:
-    return plans.dedup_index(spark.createDataFrame(_NAMED, "path string, title string"))
+def _answers(spark: SparkSession, sf: str) -> DataFrame:
+    """An answer for each document: a fenced plan with a path that is refused, a bare list with an operation without content, a plan of two, or none."""
+    i, k = F.col("doc_id").cast("string"), F.col("doc_id") % 4
+    j = lambda *x: F.concat(*[F.lit(y) if isinstance(y, str) else y for y in x])
+    raw = F.when(k == 0, j('```json\n{"operations":[{"kind":"create","path":"entities/x', i, '.md","content":"A', i, '"},{"path":"raw/no.md","content":"n"}]}\n```'))
+    raw = raw.when(k == 1, j('prose [{"kind":"update","path":"entities/x', i, '.md","content":"B"},{"path":"entities/y.md"}] more'))
+    raw = raw.when(k == 2, j('{"operations":[{"path":"entities/x', i, '.md","content":"A"},{"kind":"other","path":"concepts/GB', i, '.md","content":"C"}]}')).otherwise("no plan here")
+    return table(spark, sf, "documents").select(F.col("doc_id").cast("int").alias("window"), raw.alias("raw"))
 
 
-@query("SELECT * FROM (VALUES (1, 0, 'create', 'entities/x.md'), (2, 0, 'update', 'entities/x.md'), (3, 0, 'create', 'entities/x.md'), (3, 1, 'update', 'entities/gb-1.md')) t(win, seq, kind, path)")
-def plan_dedup(spark: SparkSession, sf: str) -> DataFrame:
-    index = plans.dedup_index(spark.createDataFrame(_NAMED, "path string, title string"))
-    return plans.dedup_plan(_ops(spark), index).select(F.col("window").alias("win"), "seq", "kind", "path")
+@query(f"WITH {_ANSWERED} SELECT win, 0 AS seq, CASE k WHEN 1 THEN 'update' ELSE 'create' END AS kind, x AS path, CASE k WHEN 0 THEN 1 + len(doc_id::VARCHAR) ELSE 1 END::INT AS n FROM a WHERE k < 3 UNION ALL SELECT win, 1, 'create', g, 1 FROM a WHERE k = 2")
+def plan_ops(spark: SparkSession, sf: str) -> DataFrame:
+    return plans.plan_ops(_answers(spark, sf)).select(F.col("window").alias("win"), "seq", "kind", "path", F.length("content").alias("n"))
 
 
 @query(
-    r"""WITH pg AS (SELECT 'entities/' || split_part(text, ' ', 2) || '-' || doc_id || '.md' AS path, split_part(text, ' ', 1) || ' ' || split_part(text, ' ', 2) AS title FROM documents WHERE doc_id % 50 = 0),
-k AS (SELECT path, regexp_replace(lower(unnest([title, substr(path, 10, len(path) - 12)])), '[\s_\-—–·.,，。:：;；!！?？()（）\[\]【】{}"''“”‘’`/\\|]+', '', 'g') AS key, unnest([10, 1]) AS each FROM pg),
-w AS (SELECT doc_id AS win, regexp_replace(lower(text), '[\s_\-—–·.,，。:：;；!！?？()（）\[\]【】{}"''“”‘’`/\\|]+', '', 'g') AS hay FROM documents WHERE doc_id < 40),
-h AS (SELECT win, path, len(key) * each AS s FROM w JOIN k ON contains(hay, key) WHERE len(key) >= 2 UNION ALL SELECT doc_id, path, 1000 FROM documents, pg WHERE doc_id < 40 AND path LIKE '%-' || (doc_id * 50) || '.md'),
-g AS (SELECT win, path, sum(s)::BIGINT AS score FROM h GROUP BY win, path)
-SELECT win, path, score FROM (SELECT *, row_number() OVER (PARTITION BY win ORDER BY score DESC, path) AS k FROM g) WHERE k <= 40"""
+    """WITH o AS (SELECT doc_id, 'entities/' || doc_id % 97 || '.md' AS path, CASE doc_id % 2 WHEN 0 THEN 'create' ELSE 'update' END AS kind, 'body ' || doc_id // 97 % 3 || ' end' AS body FROM documents),
+b AS (SELECT path, body, min(doc_id) AS f, min_by(kind, doc_id) AS kind FROM o GROUP BY path, body)
+SELECT path, min_by(kind, f) AS kind, '---' || chr(10) || 'title: T' || min(f) || chr(10) || '---' || chr(10) || string_agg(body, chr(10) || chr(10) ORDER BY f) || CASE WHEN count(*) > 1 THEN chr(10) ELSE '' END AS content FROM b GROUP BY path"""
 )
-def prompt_pages(spark: SparkSession, sf: str) -> DataFrame:
-    d = table(spark, sf, "documents")
-    first, second = F.split_part("text", F.lit(" "), F.lit(1)), F.split_part("text", F.lit(" "), F.lit(2))
-    inv = d.where("doc_id % 50 = 0").select(F.concat(F.lit("entities/"), second, F.lit("-"), F.col("doc_id").cast("string"), F.lit(".md")).alias("path"), F.concat(first, F.lit(" "), second).alias("title"), "doc_id")
-    windows = d.where("doc_id < 40").select(F.col("doc_id").alias("window"), F.col("text").alias("content"))
-    hits = inv.select((F.col("doc_id") / 50).cast("long").alias("window"), "path").where("window < 40")
-    return plans.prompt_pages(inv, windows, hits, ascii_only=True).select(F.col("window").alias("win"), "path", "score")
+def merge_ops(spark: SparkSession, sf: str) -> DataFrame:
+    """An operation of each document on one of 97 pages, with one of three bodies."""
+    i, k = F.col("doc_id").cast("string"), F.col("doc_id")
+    content = F.concat(F.lit("---\ntitle: T"), i, F.lit("\n---\nbody "), (F.floor(k / 97) % 3).cast("string"), F.lit(" end"))
+    ops = table(spark, sf, "documents").select(k.alias("window"), F.lit(0).alias("seq"), F.when(k % 2 == 0, "create").otherwise("update").alias("kind"), F.concat(F.lit("entities/"), (k % 97).cast("string"), F.lit(".md")).alias("path"), content.alias("content"))
+    return plans.merge_ops(ops).select("path", "kind", "content")
+
+
+_NAMED = [("entities/gb-1.md", "GB 1"), ("entities/GB标1.md", "GB1"), ("concepts/x_y.md", "x y"), ("sources/s.md", "S")]
 
 
 def _named_by_texts(d: DataFrame) -> DataFrame:
@@ -365,22 +334,42 @@ def _all_named(spark: SparkSession, sf: str) -> DataFrame:
     return spark.createDataFrame(_NAMED, "path string, title string").unionByName(_named_by_texts(table(spark, sf, "documents")).drop("doc_id"))
 
 
-@query()
-def dedup_index_whole(spark: SparkSession, sf: str) -> DataFrame:
+_DROP = r"""[\s_\-—–·.,，。:：;；!！?？()（）\[\]【】{}"''“”‘’`/\\|]+"""
+_MADE = "made AS (SELECT doc_id, 'entities/' || split_part(text, ' ', 2) || '-' || doc_id || '.md' AS path, split_part(text, ' ', 1) || ' ' || split_part(text, ' ', 2) AS title FROM documents)"
+_INDEX = f"""{_MADE}, p AS (SELECT path, title FROM made UNION ALL SELECT * FROM (VALUES ('entities/gb-1.md', 'GB 1'), ('entities/GB标1.md', 'GB1'), ('concepts/x_y.md', 'x y')) t(path, title)),
+named AS (SELECT path, title, regexp_replace(regexp_extract(path, '([^/]*)$', 1), '\\.md$', '') AS name FROM p),
+k AS (SELECT DISTINCT path, regexp_replace(lower(nfc_normalize(unnest([name, title]))), '{_DROP}', '', 'g') AS key, regexp_full_match(name, '[ -~]+') AS plain FROM named),
+ix AS (SELECT key, CASE WHEN count(*) = 1 THEN min(path) WHEN count(*) FILTER (WHERE plain) = 1 THEN min(path) FILTER (WHERE plain) END AS path FROM k WHERE len(key) >= 2 GROUP BY key)"""
+
+
+@query(f"WITH {_INDEX} SELECT key, path FROM ix WHERE path IS NOT NULL")
+def dedup_index(spark: SparkSession, sf: str) -> DataFrame:
     """The literal pages and one for each document."""
     return plans.dedup_index(_all_named(spark, sf))
 
 
-@query()
-def plan_dedup_whole(spark: SparkSession, sf: str) -> DataFrame:
+@query(
+    f"""WITH {_INDEX}, o AS (SELECT doc_id + 100 AS win, 0 AS seq, 'create' AS kind, 'concepts/' || doc_id || '_.md' AS path, doc_id::VARCHAR AS k1, regexp_replace(lower(nfc_normalize(trim(regexp_replace(title, '\\s+', ' ', 'g')))), '{_DROP}', '', 'g') AS k2 FROM made
+UNION ALL SELECT * FROM (VALUES (1, 0, 'create', 'entities/x.md', 'x', 'x'), (2, 0, 'update', 'entities/x.md', 'x', 'x2'), (3, 0, 'create', 'entities/x.md', 'x', ''), (3, 1, 'create', 'concepts/GB1.md', 'gb1', 'none')) t(win, seq, kind, path, k1, k2)),
+j AS (SELECT o.*, CASE WHEN kind = 'create' THEN coalesce(a.path, b.path) END AS target FROM o LEFT JOIN (SELECT * FROM ix WHERE path IS NOT NULL) a ON k1 = a.key LEFT JOIN (SELECT * FROM ix WHERE path IS NOT NULL) b ON k2 = b.key)
+SELECT win::BIGINT AS win, seq, CASE WHEN target IS NOT NULL AND target <> path THEN 'update' ELSE kind END AS kind, coalesce(target, path) AS path FROM j"""
+)
+def plan_dedup(spark: SparkSession, sf: str) -> DataFrame:
     """The literal operations, and one for each document that creates a page of its title."""
     made = _named_by_texts(table(spark, sf, "documents")).select((F.col("doc_id") + 100).cast("long").alias("window"), F.lit(0).alias("seq"), F.lit("create").alias("kind"), F.concat(F.lit("concepts/"), F.col("doc_id").cast("string"), F.lit("_.md")).alias("path"), F.concat(F.lit("---\ntitle: "), F.regexp_replace("title", r"\s+", " "), F.lit("\n---\nD")).alias("content"))
     ops = _ops(spark).withColumn("window", F.col("window").cast("long")).unionByName(made)
     return plans.dedup_plan(ops, plans.dedup_index(_all_named(spark, sf))).select(F.col("window").alias("win"), "seq", "kind", "path")
 
 
-@query()
-def prompt_pages_whole(spark: SparkSession, sf: str) -> DataFrame:
+@query(
+    f"""WITH {_MADE}, k AS (SELECT path, regexp_replace(lower(unnest([title, substr(path, 10, len(path) - 12)])), '{_DROP}', '', 'g') AS key, unnest([10, 1]) AS each FROM made),
+w AS (SELECT doc_id AS win, regexp_replace(lower(text), '{_DROP}', '', 'g') AS hay FROM documents), u AS (SELECT DISTINCT key FROM k WHERE len(key) >= 2),
+c AS (SELECT win, key FROM w JOIN u ON contains(hay, key)),
+h AS (SELECT win, path, len(c.key) * each AS s FROM c JOIN k ON c.key = k.key UNION ALL SELECT doc_id, path, 1000 FROM made),
+g AS (SELECT win, path, sum(s)::BIGINT AS score FROM h GROUP BY win, path)
+SELECT win, path, score FROM (SELECT *, row_number() OVER (PARTITION BY win ORDER BY score DESC, path) AS k FROM g) WHERE k <= 40"""
+)
+def prompt_pages(spark: SparkSession, sf: str) -> DataFrame:
     """Every document is a page and a window."""
     d = table(spark, sf, "documents")
     inv = _named_by_texts(d)
@@ -388,10 +377,14 @@ def prompt_pages_whole(spark: SparkSession, sf: str) -> DataFrame:
     return plans.prompt_pages(inv, windows, inv.select(F.col("doc_id").alias("window"), "path"), ascii_only=True).select(F.col("window").alias("win"), "path", "score")
 
 
-@query("SELECT * FROM (VALUES ('entities/x.md', 'created', false), ('entities/gb-1.md', 'skipped', false), ('concepts/x_y.md', 'updated', true)) t(path, outcome, marked)")
+@query("SELECT 'entities/' || p_partkey || '.md' AS path, CASE WHEN p_partkey % 5 < 2 AND p_partkey % 2 = 0 THEN 'skipped' WHEN p_partkey % 5 < 2 THEN 'updated' ELSE 'created' END AS outcome, p_partkey % 3 = 0 AND NOT (p_partkey % 5 < 2 AND p_partkey % 2 = 0) AS marked FROM part")
 def apply_ops(spark: SparkSession, sf: str) -> DataFrame:
-    ops = [("create", "entities/x.md", "a"), ("create", "entities/gb-1.md", extraction.MARKER), ("update", "concepts/x_y.md", extraction.MARKER)]
-    return plans.applied(spark.createDataFrame(ops, "kind string, path string, content string"), spark.createDataFrame(_NAMED, "path string, title string"), reject_existing=True)
+    """An operation for each part, on pages of which two in five exist."""
+    k = F.col("p_partkey")
+    path = F.concat(F.lit("entities/"), k.cast("string"), F.lit(".md")).alias("path")
+    p = table(spark, sf, "part")
+    ops = p.select(F.when(k % 2 == 0, "create").otherwise("update").alias("kind"), path, F.when(k % 3 == 0, F.concat(F.lit("a\n" + extraction.MARKER), F.lit(" b"))).otherwise("a").alias("content"))
+    return plans.applied(ops, p.where(k % 5 < 2).select(path), reject_existing=True)
 
 
 # sessions
@@ -427,22 +420,13 @@ def trace_summary(spark: SparkSession, sf: str) -> DataFrame:
     return s.select("conv_id", "messages", _long("chars"), _long("system_chars"), "last_role")
 
 
-@query("SELECT event_id, regexp_replace(lpad(n::VARCHAR, 3, '0') || '-' || strftime(ts, '%Y-%m-%dT%H-%M-%S-') || lpad((extract('milliseconds' FROM ts)::BIGINT % 1000)::VARCHAR, 3, '0') || 'Z-u' || user_id || '_x', '[^A-Za-z0-9._-]', '_', 'g') AS label FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS n FROM events) WHERE n < 1000")
+@query("SELECT event_id, lpad(n::VARCHAR, greatest(3, len(n::VARCHAR))::INT, '0') || '-' || strftime(ts, '%Y-%m-%dT%H-%M-%S-') || lpad((extract('milliseconds' FROM ts)::BIGINT % 1000)::VARCHAR, 3, '0') || 'Z-u' || user_id || '_x_1' AS label FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS n FROM events)")
 def trace_label(spark: SparkSession, sf: str) -> DataFrame:
     from pyspark.sql import Window
 
     n = F.row_number().over(Window.partitionBy("user_id").orderBy("event_id"))
     e = table(spark, sf, "events").withColumn("n", n)
-    return e.select("event_id", sessions.trace_label(F.col("n"), F.col("ts"), F.concat(F.lit("u"), F.col("user_id").cast("string"), F.lit("/x"))).alias("label"))
-
-
-@query(
-    """WITH p AS (SELECT conv_id AS call_id, turn AS seq, CASE role WHEN 'user' THEN 'reasoning-delta' WHEN 'assistant' THEN 'text-delta' ELSE 'finish' END AS type, substr(text, 1, 20) AS x FROM conversations),
-k AS (SELECT call_id, type, count(*) AS n, min(seq) AS f FROM p GROUP BY call_id, type)
-SELECT p.call_id, coalesce(string_agg(x, '' ORDER BY seq) FILTER (WHERE type = 'text-delta'), '') AS text, (SELECT string_agg(type || ':' || n, ',' ORDER BY f) FROM k WHERE k.call_id = p.call_id) AS types, CASE WHEN count(*) FILTER (WHERE type = 'finish') > 0 THEN 'ok' ELSE 'error' END AS outcome, coalesce(min(seq * 10) FILTER (WHERE type = 'text-delta'), -1)::BIGINT AS first_delta_ms FROM p GROUP BY p.call_id"""
-)
-def stream_fold(spark: SparkSession, sf: str) -> DataFrame:
-    return _folded(spark, sf, F.substring("text", 1, 20))
+    return e.select("event_id", sessions.trace_label(F.col("n"), F.col("ts"), F.concat(F.lit("u"), F.col("user_id").cast("string"), F.lit("/x.1"))).alias("label"))
 
 
 def _folded(spark: SparkSession, sf: str, said) -> DataFrame:
@@ -456,7 +440,7 @@ def _folded(spark: SparkSession, sf: str, said) -> DataFrame:
 k AS (SELECT call_id, type, count(*) AS n, min(seq) AS f FROM p GROUP BY call_id, type)
 SELECT p.call_id, coalesce(string_agg(x, '' ORDER BY seq) FILTER (WHERE type = 'text-delta'), '') AS text, (SELECT string_agg(type || ':' || n, ',' ORDER BY f) FROM k WHERE k.call_id = p.call_id) AS types, CASE WHEN count(*) FILTER (WHERE type = 'finish') > 0 THEN 'ok' ELSE 'error' END AS outcome, coalesce(min(seq * 10) FILTER (WHERE type = 'text-delta'), -1)::BIGINT AS first_delta_ms FROM p GROUP BY p.call_id"""
 )
-def stream_fold_whole(spark: SparkSession, sf: str) -> DataFrame:
+def stream_fold(spark: SparkSession, sf: str) -> DataFrame:
     return _folded(spark, sf, F.col("text"))
 
 
@@ -465,39 +449,34 @@ def stream_fold_whole(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("SELECT conv_id, max_by(text, turn) AS prompt, max(turn)::BIGINT AS last FROM conversations WHERE role = 'user' AND text <> '' GROUP BY conv_id")
 def stream_latest_prompt(spark: SparkSession, sf: str) -> DataFrame:
-    kind = table(spark, sf, "conversations").schema
-    path = f"{sf}/conversations.parquet"
-    events = streams.arriving(spark, path if _is_folder(spark, path) else f"{sf}/conv*.parquet", kind).where("role = 'user'")
+    events = streams.arriving(spark, f"{sf}/conversations.parquet", table(spark, sf, "conversations").schema).where("role = 'user'")
     return streams.final_state(streams.latest_prompts(events, "conv_id", "turn"), spark)
 
 
-def _is_folder(spark: SparkSession, path: str) -> bool:
-    p = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return p.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(p).isDirectory()
-
-
 @query(r"SELECT doc_id, sha256(regexp_replace(regexp_replace(regexp_replace(text, '[ \t]+\n', chr(10), 'g'), '^[ \t\n\r]+', ''), '[ \t\n\r]+$', '')) AS file_hash, len(text) > 0 AS ok FROM documents")
 def stream_ingest(spark: SparkSession, sf: str) -> DataFrame:
-    kind = table(spark, sf, "documents").schema
-    path = f"{sf}/documents.parquet"
-    root = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="ingest-")
-    out = f"{root}/ingest-{uuid.uuid4().hex}"
-
-    def each(batch: DataFrame, _: int) -> None:
-        batch.select("doc_id", F.sha2(text.normalize(F.col("text")).cast("binary"), 256).alias("file_hash"), (F.length("text") > 0).alias("ok")).write.mode("append").parquet(out)
-
-    streams.drained(streams.arriving(spark, path if _is_folder(spark, path) else f"{sf}/doc*.parquet", kind), each)
-    return spark.read.parquet(out)
+    rows = streams.arriving(spark, f"{sf}/documents.parquet", table(spark, sf, "documents").schema)
+    out = place(spark, "ingest")
+    found = rows.select("doc_id", F.sha2(text.normalize(F.col("text")).cast("binary"), 256).alias("file_hash"), (F.length("text") > 0).alias("ok"))
+    streams.drained(found, streams.kept(out))
+    return spark.read.parquet(out).drop("batch")
 
 
 # scalars
 
-_PATHS = ["raw/a.md", "raw/../x", "/etc/x", "C:/x", "", "raw", "raw/b/../c.md", "other/a.md", "raw\\d.md"]
+_PATHS = ("raw/a#.md", "raw/../x#", "/etc/x#", "C:/x#", "#", "raw", "raw/b/../c#.md", "other/a#.md", "raw\\d#.md", "raw/./#", "rawer/#", "raw/..a/#")
 
 
-@query("SELECT * FROM (VALUES ('raw/a.md', true), ('raw/../x', false), ('/etc/x', false), ('C:/x', false), ('', false), ('raw', true), ('raw/b/../c.md', false), ('other/a.md', false), ('raw\\d.md', true)) t(path, safe)")
+@query(
+    r"""WITH p AS (SELECT p_partkey, replace(list_extract(['raw/a#.md', 'raw/../x#', '/etc/x#', 'C:/x#', '#', 'raw', 'raw/b/../c#.md', 'other/a#.md', 'raw\d#.md', 'raw/./#', 'rawer/#', 'raw/..a/#'], (p_partkey % 12 + 1)::INT), '#', p_size::VARCHAR) AS path FROM part),
+n AS (SELECT *, string_split(replace(path, '\', '/'), '/') AS parts FROM p)
+SELECT p_partkey, path, parts[1] = 'raw' AND NOT list_contains(parts, '..') AS safe FROM n"""
+)
 def path_safety(spark: SparkSession, sf: str) -> DataFrame:
-    return spark.createDataFrame([(p,) for p in _PATHS], "path string").select("path", text.safe_path(F.col("path")).alias("safe"))
+    """A path of twelve shapes for each part."""
+    shape = F.element_at(F.array(*map(F.lit, _PATHS)), (F.col("p_partkey") % 12 + 1).cast("int"))
+    p = table(spark, sf, "part").select("p_partkey", F.replace(shape, F.lit("#"), F.col("p_size").cast("string")).alias("path"))
+    return p.select("p_partkey", "path", text.safe_path(F.col("path")).alias("safe"))
 
 
 @query("SELECT lower(regexp_extract(url, '(\\.[^./?#]*)([?#].*)?$', 1)) AS ext, count(*)::BIGINT AS n, bool_or(lower(regexp_extract(url, '(\\.[^./?#]*)([?#].*)?$', 1)) IN ('.txt', '.md', '.html', '.htm', '.json', '.csv', '.pdf')) AS known FROM pages GROUP BY 1")
@@ -506,10 +485,15 @@ def ext_filter(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "pages").select(ext.alias("ext"), ext.isin(*readers.extensions([" PDF ", ""])).alias("known")).groupBy("ext").agg(F.count("*").alias("n"), F.bool_or("known").alias("known"))
 
 
-@query("SELECT * FROM (VALUES ('0.1.7-rc.1', '0.1.7', true), ('1.2', '1.2.0', false), ('1.10.0', '1.9.9', true), ('0.9.0', '1.0.0', false)) t(host, least, enough)")
+@query(
+    """WITH v AS (SELECT p_partkey, p_partkey % 3 AS a, p_partkey % 11 AS b, p_size % 7 AS c FROM part)
+SELECT p_partkey, CASE WHEN p_partkey % 13 = 0 THEN false ELSE (a, b, c) >= (1, 5, 3) END AS enough FROM v"""
+)
 def semver_cmp(spark: SparkSession, sf: str) -> DataFrame:
-    rows = [("0.1.7-rc.1", "0.1.7"), ("1.2", "1.2.0"), ("1.10.0", "1.9.9"), ("0.9.0", "1.0.0")]
-    return spark.createDataFrame(rows, "host string, least string").withColumn("enough", F.coalesce(text.release(F.col("host")) >= text.release(F.col("least")), F.lit(False)))
+    """A release for each part, some before their final one and some without a third number, against 1.5.3."""
+    k = F.col("p_partkey")
+    host = F.concat_ws(".", (k % 3).cast("string"), (k % 11).cast("string"), F.when(k % 13 != 0, F.concat((F.col("p_size") % 7).cast("string"), F.when(k % 5 == 0, "-rc.1").otherwise(""))))
+    return table(spark, sf, "part").select("p_partkey", F.coalesce(text.release(host) >= text.release(F.lit("1.5.3")), F.lit(False)).alias("enough"))
 
 
 @query("SELECT event_id, strftime(ts, '%Y-%m-%d') AS day, strftime(ts, '%Y-%m-%d %H:%M:%S') AS stamp, strftime(ts, '%H:%M') AS minute FROM events")
@@ -518,19 +502,31 @@ def ts_render(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "events").select("event_id", f("yyyy-MM-dd", "day"), f("yyyy-MM-dd HH:mm:ss", "stamp"), f("HH:mm", "minute"))
 
 
-@query("SELECT * FROM (VALUES (1, 'a', 'm'), (2, 'c', 'd'), (3, 'e', 'f')) t(id, provider, model)")
+@query(
+    """WITH r AS (SELECT p_partkey, CASE WHEN p_partkey % 2 = 0 THEN p_brand END AS lp, CASE WHEN p_partkey % 3 = 0 THEN '' ELSE p_type END AS lm, CASE WHEN p_partkey % 5 > 0 THEN p_name END AS cp FROM part),
+w AS (SELECT *, CASE WHEN lp IS NOT NULL AND lm <> '' THEN 1 WHEN cp IS NOT NULL THEN 2 ELSE 3 END AS which FROM r)
+SELECT p_partkey, CASE which WHEN 1 THEN lp WHEN 2 THEN cp ELSE 'e' END AS provider, CASE which WHEN 1 THEN lm WHEN 2 THEN 'd' ELSE 'f' END AS model FROM w"""
+)
 def route_coalesce(spark: SparkSession, sf: str) -> DataFrame:
-    rows = [(1, "a", "m", "c", "d"), (2, "a", "", "c", "d"), (3, None, "m", "c", None)]
-    r = sessions.route((F.col("lp"), F.col("lm")), (F.col("cp"), F.col("cm")), (F.lit("e"), F.lit("f")))
-    return spark.createDataFrame(rows, "id int, lp string, lm string, cp string, cm string").select("id", r["provider"].alias("provider"), r["model"].alias("model"))
+    """For each part a route of its own, which may lack a half, one of its library, and a default."""
+    k = F.col("p_partkey")
+    r = sessions.route((F.when(k % 2 == 0, F.col("p_brand")), F.when(k % 3 == 0, "").otherwise(F.col("p_type"))), (F.when(k % 5 > 0, F.col("p_name")), F.lit("d")), (F.lit("e"), F.lit("f")))
+    return table(spark, sf, "part").select("p_partkey", r["provider"].alias("provider"), r["model"].alias("model"))
 
 
-@query("SELECT * FROM (VALUES (1, 'reject', true, 'entity,custom-type', 'entities/<slug>.md'), (2, 'mark', false, 'entity,concept,source,summary,index', 'entities/<名称>.md')) t(id, conflict, read_only, page_types, naming)")
+@query(
+    """SELECT c_custkey AS id, CASE c_custkey % 4 WHEN 0 THEN 'mark' WHEN 1 THEN 'reject' WHEN 2 THEN 'overwrite' ELSE 'mark' END AS conflict, c_custkey % 4 > 0 AND c_custkey % 3 > 0 AS read_only,
+CASE WHEN c_custkey % 4 = 0 THEN 'source,entity,concept' ELSE 'entity,t-' || c_nationkey END AS page_types, CASE WHEN c_custkey % 4 = 0 THEN 'entities/<名称>.md' ELSE 'entities/<' || c_nationkey || '>.md' END AS naming FROM customer"""
+)
 def schema_form(spark: SparkSession, sf: str) -> DataFrame:
-    doc = schema.rendered(schema.Schema("reject", True, ("entity", "custom-type"), "entities/<slug>.md"))
-    d = spark.createDataFrame([(1, doc), (2, "prose only")], "id int, doc string")
+    """A policy document for each customer; a quarter say nothing, so that the defaults hold."""
+    k, nation = F.col("c_custkey"), F.col("c_nationkey").cast("string")
+    j = lambda *x: F.concat(*[F.lit(y) if isinstance(y, str) else y for y in x])
+    said = F.when(k % 4 == 1, "reject").when(k % 4 == 2, "overwrite").otherwise("other")
+    whole = j("# Policy\n\n## 页面类型\n- entity\n- t-", nation, "\n\n## 冲突处理规则\n- 冲突行为：", said, "\n\n## 命名约定\n- 实体页：entities/<", nation, ">.md\n\n## 不可变性规则\n- raw/ 目录只读：", F.when(k % 3 > 0, "是").otherwise("否"), "\n")
+    d = table(spark, sf, "customer").select(k.alias("id"), F.when(k % 4 == 0, "prose only").otherwise(whole).alias("doc"))
     c = schema.columns(F.col("doc"))
-    return d.select("id", *[(F.array_join(v, ",") if k == "page_types" else v).alias(k) for k, v in c.items()])
+    return d.select("id", *[(F.array_join(v, ",") if name == "page_types" else v).alias(name) for name, v in c.items()])
 
 
 @query(f"WITH {VEC} SELECT vec_id, round(list_inner_product(e, e), 6) AS squared FROM vec")

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import os
+import tempfile
+import uuid
 from pathlib import Path
 
 from pyspark.sql import SparkSession
@@ -21,6 +23,16 @@ def session(master: str | None = None, **conf: str) -> SparkSession:
     return (builder.master(master) if master else builder).getOrCreate()
 
 
+def place(spark: SparkSession, name: str) -> str:
+    """A new folder that all machines share, below the session's checkpoint folder; a temporary one where none is set and all runs in one process."""
+    root = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
+    if root is None:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
+        root = tempfile.mkdtemp(prefix="loomstone-")
+    return f"{root}/{name}-{uuid.uuid4().hex}"
+
+
 def findable(spark: SparkSession) -> None:
     """Lets local Python workers import this package where the driver found it only by its own path."""
     root, env = str(Path(__file__).resolve().parents[1]), spark.sparkContext.environment

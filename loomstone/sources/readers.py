@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import codecs
+import re
 from collections.abc import Sequence
 
 import pandas as pd
@@ -17,16 +18,59 @@ EXTENSIONS = (".txt", ".md", ".markdown", ".json", ".csv", ".xml", ".yaml", ".ym
 _MARKS = ((codecs.BOM_UTF8, "utf-8"), (codecs.BOM_UTF16_LE, "utf-16-le"), (codecs.BOM_UTF16_BE, "utf-16-be"))
 
 
+#: Encodings older than UTF-8, and the lead bytes of each one's everyday characters; kana and hangul by their code points.
+_LEGACY = (("gb18030", "gb2312", range(0xB0, 0xD8)), ("big5", "big5", range(0xA4, 0xC7)), ("shift_jis", "shift_jis", range(0x88, 0x98)), ("euc_jp", "euc_jp", range(0xB0, 0xD0)), ("euc_kr", "euc_kr", range(0, 0)))
+#: The commonest characters of each, which decide between encodings that fit alike.
+_COMMONEST = {"gb18030": "的一是不了在有和中大人为国", "big5": "的一是不了在有和中大人為國", "shift_jis": "のにはをがでと", "euc_jp": "のにはをがでと", "euc_kr": "이다는을에의가하고"}
+SURE = 0.8
+
+
+def _everyday(char: str, codec: str, leads: range) -> bool:
+    if "\u3000" <= char <= "\u303f" or "\uff00" <= char <= "\uffef" or "\u2010" <= char <= "\u203f":
+        return True
+    if codec in ("shift_jis", "euc_jp") and "\u3040" <= char <= "\u30ff" or codec == "euc_kr" and "\uac00" <= char <= "\ud7a3":
+        return True
+    try:
+        return char.encode(codec)[0] in leads
+    except UnicodeEncodeError:
+        return False
+
+
+def detected(raw: bytes) -> str | None:
+    """The text in the encoding that makes the largest share of its other than ASCII characters everyday ones, if that is above SURE."""
+    best, out = SURE, None
+    for name, codec, leads in _LEGACY:
+        try:
+            said = raw.decode(name)
+        except UnicodeDecodeError:
+            continue
+        odd = [c for c in said if c > "\x7f"]
+        share = sum(_everyday(c, codec, leads) for c in odd) / max(1, len(odd))
+        share += min(0.1, sum(c in _COMMONEST[name] for c in odd) / max(1, len(odd)))
+        if codec in ("shift_jis", "euc_jp") and not any("\u3040" <= c <= "\u30ff" for c in odd):
+            share -= 0.1  # Japanese has kana
+        if share > best:
+            best, out = share, said
+    if out is None:
+        said = raw.decode("cp1252", "replace")
+        odd = [c for c in said if c > "\x7f"]
+        letters = sum(c.isalpha() or c in "‘’“”–—…€°" for c in odd)
+        # Western text: accents stand single between ASCII letters
+        if "�" not in said and letters > SURE * len(odd) and not re.search(r"[\x80-\U0010ffff]{3}", said) and 3 * len(odd) < len(said):
+            out = said
+    return out
+
+
 def decode(raw: bytes) -> str:
-    """By its byte order mark, else strict UTF-8, else Latin-1 where that gives only printable text, else UTF-8 with replacements."""
+    """By its byte order mark, else strict UTF-8, else an encoding that is detected with confidence, else UTF-8 with replacements."""
     for mark, name in _MARKS:
         if raw.startswith(mark):
             return raw[len(mark) :].decode(name, "replace")
     try:
         return raw.decode("utf-8")
     except UnicodeDecodeError:
-        guess = raw.decode("cp1252", "replace")
-        return guess if "�" not in guess and all(c.isprintable() or c in "\r\n\t" for c in guess) else raw.decode("utf-8", "replace")
+        said = detected(raw)
+        return raw.decode("utf-8", "replace") if said is None else said
 
 
 @F.pandas_udf(T.StringType())

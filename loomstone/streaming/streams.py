@@ -6,21 +6,34 @@ progress is kept in a checkpoint folder, so a restart goes on where it ended.
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from loomstone.session import place
+
 
 def arriving(spark: SparkSession, path: str, schema, fmt: str = "parquet", per_batch: int = 100, **options: str) -> DataFrame:
+    """New files of a folder, or of one file, named so as a pattern of one letter, as streams only read folders and patterns."""
+    if path.endswith(".parquet"):
+        path = f"{path[:-1]}[{path[-1]}]"
     return spark.readStream.format(fmt).schema(schema).options(maxFilesPerTrigger=str(per_batch), **options).load(path)
 
 
 def drained(stream: DataFrame, each: Callable[[DataFrame, int], None], mode: str = "append", checkpoint: str | None = None) -> None:
-    """Runs a stream over everything that has arrived."""
-    writer = stream.writeStream.outputMode(mode).trigger(availableNow=True).foreachBatch(each)
-    (writer.option("checkpointLocation", checkpoint) if checkpoint else writer).start().awaitTermination()
+    """Runs a stream over everything that has arrived; a restart with the same checkpoint folder goes on where it ended."""
+    checkpoint = checkpoint or place(stream.sparkSession, "progress")
+    stream.writeStream.outputMode(mode).trigger(availableNow=True).foreachBatch(each).option("checkpointLocation", checkpoint).start().awaitTermination()
+
+
+def kept(path: str) -> Callable[[DataFrame, int], None]:
+    """Writes each batch to a folder of its own number, so that a batch that is tried again replaces itself."""
+
+    def each(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/batch={number}")
+
+    return each
 
 
 def latest_prompts(events: DataFrame, key: str = "session_id", order: str = "seq", text: str = "text") -> DataFrame:
@@ -33,9 +46,17 @@ def most_recent(prompts: DataFrame, most: int = 64, key: str = "session_id") ->
     return prompts.orderBy(F.desc("last"), key).limit(most)
 
 
-def final_state(stream: DataFrame, spark: SparkSession, checkpoint: str | None = None) -> DataFrame:
-    """The last complete state of an aggregating stream, kept in a temporary view of the session."""
-    name = f"state_{uuid.uuid4().hex}"
-    writer = stream.writeStream.outputMode("complete").format("memory").queryName(name).trigger(availableNow=True)
-    (writer.option("checkpointLocation", checkpoint) if checkpoint else writer).start().awaitTermination()
-    return spark.table(name)
+def final_state(stream: DataFrame, spark: SparkSession, checkpoint: str | None = None, path: str | None = None) -> DataFrame:
+    """The last complete state of an aggregating stream, as a table in a folder; without any input it is empty."""
+    folder = path or (f"{checkpoint}-rows" if checkpoint else place(spark, "state"))
+    batches: list[int] = []
+
+    def each(batch: DataFrame, number: int) -> None:
+        kept(folder)(batch, number)
+        batches.append(number)
+
+    drained(stream, each, "complete", checkpoint)
+    if not batches and not path and not checkpoint:
+        return spark.createDataFrame([], stream.schema)
+    rows = spark.read.parquet(folder)
+    return rows.where(F.col("batch") == rows.agg(F.max("batch")).first()[0]).select(stream.columns)
