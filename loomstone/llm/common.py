@@ -8,6 +8,7 @@ chunk) and never the table.
 
 from __future__ import annotations
 
+import gc
 import hashlib
 import os
 import tempfile
@@ -52,6 +53,7 @@ def collected(spark: SparkSession) -> None:
     spark.cleaner.referenceTracking.cleanCheckpoints is set) when the collector finds that
     nothing refers to them; those of the steps before would else add up on the disks.
     """
+    gc.collect()  # what Python holds in cycles
     spark.sparkContext._jvm.System.gc()
 
 
