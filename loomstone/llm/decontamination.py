@@ -20,6 +20,8 @@ from loomstone.llm import common
 WIDTH = 13
 #: Bits of the set for each n-gram, and its least and largest size as powers of two: 128 KB and 16 MB.
 BITS_EACH, LEAST_BITS, MOST_BITS = 16, 20, 27
+#: Windows that are sent to every task to verify hits, some 32 MB; more are joined by a shuffle of what passed the set.
+BROADCAST_WINDOWS = 1 << 17
 #: A document is contaminated if at least one word in this many is hit.
 ONE_IN = 20
 BREAKS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -83,7 +85,7 @@ def _scanned(text: Column, sizes: list[int], held: Column, bits: int) -> Column:
     return F.get(F.transform(F.array(words_of(text)), lambda w: F.struct(F.size(w).cast("long").alias("n_words"), F.flatten(F.transform(each, lambda n: windows(w, n))).alias("hits"))), 0)
 
 
-def contamination(docs: DataFrame, items: DataFrame, width: int = WIDTH, one_in: int = ONE_IN, key: str = "doc_id", text: str = "text", most_bits: int = MOST_BITS) -> DataFrame:
+def contamination(docs: DataFrame, items: DataFrame, width: int = WIDTH, one_in: int = ONE_IN, key: str = "doc_id", text: str = "text", most_bits: int = MOST_BITS, broadcast_windows: int = BROADCAST_WINDOWS) -> DataFrame:
     """(doc_id, n_words, n_hit, n_items, items_sha256, spans, places, t, contaminated), one row for each row of docs.
 
     places are the numbers of the hit words from 0, sorted, and spans their runs as
@@ -97,15 +99,19 @@ def contamination(docs: DataFrame, items: DataFrame, width: int = WIDTH, one_in:
     of = common.settled(of.withColumn("class", F.sha2(F.to_json("items"), 256)))
     classes = of.select("class", "items").dropDuplicates(["class"])
     sizes = sorted(r["size"] for r in of.select("size").distinct().collect())  # at most ``width`` numbers
-    bits = min(most_bits, max(LEAST_BITS, (BITS_EACH * max(1, of.count()) - 1).bit_length()))
+    n = of.count()
+    bits = min(most_bits, max(LEAST_BITS, (BITS_EACH * max(1, n) - 1).bit_length()))
     held = common.settled(gram_set(of, bits))
     held.createOrReplaceTempView(view := "gram_set_" + uuid.uuid4().hex)
     base = docs.select(docs[key].alias("doc_id"), docs[text].alias("text"), F.expr(f"(select bits from {view})").alias("held"))
     scanned = _scanned(F.col("text"), sizes, F.col("held"), bits).alias("x")
     seen = common.settled(base.select("doc_id", F.xxhash64("text").alias("t"), scanned).select("doc_id", "t", "x.n_words", "x.hits"))
     docs.sparkSession.catalog.dropTempView(view)
-    hits = seen.where("size(hits) > 0").select("doc_id", "t", F.explode("hits").alias("x")).select("doc_id", "t", "x.*").distinct()
-    found = common.settled(hits.join(of.select("size", "window", "class"), ["size", "window"]).select("doc_id", "t", "start", "size", "class"))
+    # one row for rows that repeat id and text; all that follows stays with the document
+    hits = seen.where("size(hits) > 0").groupBy("doc_id", "t").agg(F.first("hits").alias("hits")).select("doc_id", "t", F.explode("hits").alias("x")).select("doc_id", "t", "x.*")
+    windows = of.select("size", "window", "class")
+    windows = F.broadcast(windows) if n <= broadcast_windows else windows
+    found = common.settled(hits.join(windows, ["size", "window"]).select("doc_id", "t", "start", "size", "class"))
     covered = F.array_sort(F.array_distinct(F.flatten(F.collect_set(F.sequence(F.col("start") - 1, F.col("start") + F.col("size") - 2)))))
     where = found.groupBy("doc_id", "t").agg(covered.alias("places"))
     of_items = found.select("doc_id", "t", "class").distinct().join(classes, "class").groupBy("doc_id", "t").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))

@@ -1,6 +1,6 @@
 """Approximate nearest neighbours: inverted file, product-quantised residuals, exact reranking.
 
-Fitted on a bounded sample (SAMPLE rows, by the hash of the id): coarse centroids,
+Fitted on a bounded sample (SAMPLE rows, by the hash of id and vector): coarse centroids,
 codebooks for the residuals, and the number of lists to search, the least that finds
 RECALL of the sample's own nearest rows.  Every row is indexed.  Lists are packed
 into blocks of about BLOCK rows, a long list is dealt into several; a query goes to
@@ -133,8 +133,8 @@ def nearest_neighbours(vectors: DataFrame, every: int = EVERY, nearest: int = NE
     if not rows:
         return spark.createDataFrame([], out)
     v = v.where(F.size("v") == dim)
-    h = F.pmod(F.xxhash64("vec_id", F.lit("sample")), F.lit(1 << 30))
-    part = v.withColumn("h", h).where(F.col("h") < int(min(1.0, 1.2 * SAMPLE / rows) * (1 << 30)) + 1).toPandas().sort_values(["h", "vec_id"]).head(SAMPLE)
+    h = F.pmod(F.xxhash64("vec_id", "v", F.lit("sample")), F.lit(1 << 30))
+    part = v.withColumn("h", h).where(F.col("h") < int(min(1.0, 1.2 * SAMPLE / rows) * (1 << 30)) + 1).orderBy("h", "vec_id", "v").limit(SAMPLE).toPandas()
     index = Index(np.stack(part["v"].to_numpy()).astype(float), rows, nearest)
     shared = spark.sparkContext.broadcast(index)
 
@@ -145,7 +145,7 @@ def nearest_neighbours(vectors: DataFrame, every: int = EVERY, nearest: int = NE
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(own.astype(np.int32)), pa.array([c.tobytes() for c in codes], pa.binary()), batch.column(1)], ["vec_id", "list", "codes", "v"])
 
     coded = common.settled(common.per_batch(v, encode, "vec_id long, list int, codes binary, v array<double>"))
-    # lists are packed into blocks in their order; a list above a block is dealt into several by the hash of the id
+    # lists are packed into blocks in their order; a list above a block is dealt into several by the number of the row
     sizes = {r["list"]: r["n"] for r in coded.groupBy("list").agg(F.count("*").alias("n")).collect()}  # at most LISTS rows
     block, deals, at, load = [], [], 0, 0
     for k in range(len(index.lists)):
@@ -158,7 +158,7 @@ def nearest_neighbours(vectors: DataFrame, every: int = EVERY, nearest: int = NE
     first = F.array(*map(F.lit, block))
     deal = F.array(*map(F.lit, deals))
     of = F.col("list") + 1
-    placed = coded.withColumn("block", (F.element_at(first, of) + F.pmod(F.xxhash64("vec_id"), F.element_at(deal, of))).cast("int"))
+    placed = coded.withColumn("block", (F.element_at(first, of) + F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.element_at(deal, of))).cast("int"))
     spans = [(a, a + d) for a, d in zip(block, deals, strict=True)]
 
     def route(batch: pa.RecordBatch):
