@@ -51,7 +51,8 @@ def collected(spark: SparkSession) -> None:
 
     Spark drops shuffle and checkpoint files (these where
     spark.cleaner.referenceTracking.cleanCheckpoints is set) when the collector finds that
-    nothing refers to them; those of the steps before would else add up on the disks.
+    nothing refers to them; those of the steps before would else add up on the disks, as
+    would the garbage of many plans in the driver's heap.
     """
     gc.collect()  # what Python holds in cycles
     spark.sparkContext._jvm.System.gc()
@@ -229,6 +230,7 @@ def findable(spark: SparkSession) -> None:
 
 def arrays(df: DataFrame) -> list[np.ndarray]:
     """The columns of a table of bounded length, brought to the driver as Arrow batches."""
+    collected(df.sparkSession)
     return [c.combine_chunks().to_numpy(zero_copy_only=False) if c.num_chunks else np.zeros(0) for c in df.toArrow().columns]
 
 
@@ -275,6 +277,7 @@ def _bitmap(slots: DataFrame, bits: int) -> np.ndarray:
     """From a column ``slot``; built with Spark's bitmap aggregates, so the driver gets pieces of 4 KB, as many as the size says."""
     pieces = slots.select((F.col("slot") / 32768).cast("int").alias("piece"), F.pmod("slot", F.lit(32768)).alias("bit")).groupBy("piece").agg(F.bitmap_construct_agg("bit").alias("bits"))
     out = np.zeros((1 << bits) // 8, np.uint8)
+    collected(slots.sparkSession)
     for batch in pieces.toArrow().to_batches():
         for piece, raw in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
             found = np.frombuffer(raw.as_buffer(), np.uint8)
