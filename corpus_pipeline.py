@@ -44,7 +44,19 @@ def _mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return mixing.emit(docs, mixing.mix(docs))
 
 
-STAGES = [("quality", _quality), ("near_copies", _one_of_each), ("decontamination", _decontaminated), ("personal_data", _redacted), ("mixing", _mixed)]
+def _swept(stage):
+    """The stage, whose steps' garbage is collected before its rows are written."""
+
+    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        out = stage(spark, docs, sf_dir)
+        common.collected(spark)
+        return out
+
+    run_stage.__doc__ = stage.__doc__
+    return run_stage
+
+
+STAGES = [(name, _swept(stage)) for name, stage in (("quality", _quality), ("near_copies", _one_of_each), ("decontamination", _decontaminated), ("personal_data", _redacted), ("mixing", _mixed))]
 #: The classifier's model can't be written in SQL; the tests hold every stage and run() against brute-force versions.
 ORACLE_SQL = None
 
