@@ -4,6 +4,7 @@ import collections
 import re
 
 import corpus_pipeline
+from pyspark.sql import functions as F
 from loomstone.llm import common, decontamination, mixing, quality
 
 from test_operators import brute_components, brute_contamination, brute_pii
@@ -49,3 +50,22 @@ def test_stages_take_effect(spark, data):
     want = {r["doc_id"]: r["copies"] for r in mixing.mix(stored).where("copies > 0").collect()}
     assert collections.Counter(r["doc_id"] for r in out.select("doc_id").collect()) == collections.Counter(want)
     assert decontamination.contamination(out, common.table(spark, data, "benchmark")).where("contaminated").count() == 0
+
+
+def test_stages_take_odd_rows(spark, docs, labels, items, empty, tmp_path):
+    """Nulls in every column, repeated rows and ids, empty and long texts, clashing names, and no rows at all."""
+    labels.coalesce(1).write.parquet(f"{tmp_path}/labels.parquet")
+    items.coalesce(1).write.parquet(f"{tmp_path}/benchmark.parquet")
+    nulls = spark.createDataFrame([tuple([None] * len(docs.columns))], docs.schema)
+    rows = docs.unionByName(nulls).unionByName(nulls).drop("copies").withColumn("copy", F.lit(5))
+    for table in (rows, empty.drop("copies").withColumn("copy", F.lit(5))):
+        first, step = table.columns, table
+        for name, stage in corpus_pipeline.STAGES[:-1]:
+            before = step.count()
+            step = common.stored(stage(spark, step, str(tmp_path)))
+            assert step.columns == first and step.count() <= before, name
+            if name != "near_copies" and before:
+                assert step.where("doc_id is null and text is null").count() == 2, name
+        mixed = mixing.mix(step).groupBy("doc_id", "source", "size").agg(F.sum("copies").alias("copies")).where("copies > 0").collect()
+        out = corpus_pipeline.STAGES[-1][1](spark, step, str(tmp_path)).collect()
+        assert len(out) == sum(r["copies"] for r in mixed) and all(r["copy"] == 5 and r["copy_"] >= 1 for r in out)
