@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from loomstone.llm import decontamination, jaccard, language_id, lm_scoring, mixing, nearest, pii, quality, substring_dedup, token_counts
+from loomstone.llm import alignment, centroids, decontamination, jaccard, language_id, lm_scoring, mixing, nearest, pii, quality, substring_dedup, token_counts
 
 QUERIES = {
     "op1_quality_classifier": quality.op1_quality_classifier,
@@ -15,10 +15,13 @@ QUERIES = {
     "op8_language_id": language_id.op8_language_id,
     "op9_lm_scoring": lm_scoring.op9_lm_scoring,
     "op10_ngram_jaccard_join": jaccard.op10_ngram_jaccard_join,
+    "op11_tokenizer_alignment": alignment.op11_tokenizer_alignment,
+    "op13_centroid_clustering": centroids.op13_centroid_clustering,
 }
 SQL: dict[str, str] = {
     "op2_mixing": mixing.SQL,
     "op3_substring_dedup": substring_dedup.SQL,
     "op5_decontamination": decontamination.SQL,
     "op10_ngram_jaccard_join": jaccard.SQL,
+    "op13_centroid_clustering": centroids.SQL,
 }
