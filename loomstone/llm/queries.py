@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from loomstone.llm import alignment, centroids, decontamination, jaccard, language_id, lm_scoring, mixing, nearest, pii, quality, substring_dedup, token_counts
+from loomstone.llm import alignment, centroids, decontamination, jaccard, language_id, lm_scoring, main_text, mixing, nearest, pii, quality, substring_dedup, token_counts
 
 QUERIES = {
     "op1_quality_classifier": quality.op1_quality_classifier,
@@ -16,6 +16,7 @@ QUERIES = {
     "op9_lm_scoring": lm_scoring.op9_lm_scoring,
     "op10_ngram_jaccard_join": jaccard.op10_ngram_jaccard_join,
     "op11_tokenizer_alignment": alignment.op11_tokenizer_alignment,
+    "op12_main_text": main_text.op12_main_text,
     "op13_centroid_clustering": centroids.op13_centroid_clustering,
 }
 SQL: dict[str, str] = {
