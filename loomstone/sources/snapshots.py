@@ -1,39 +1,29 @@
-"""Versioned tables on plain Parquet (K1-K3, K10): a new folder for each version, and a manifest that is written last."""
+"""Versioned tables on plain Parquet (K1-K3, K10): one table of a store, written whole or by key."""
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
+
+from loomstone.sources.store import Keyed, Store
 
 
 class SnapshotTable:
-    """A table whose readers see the last version whose manifest entry exists; a writer that fails leaves no trace in it."""
+    """A small table whose readers see the last version published; of two writers that began at one version the second is refused."""
 
     def __init__(self, spark: SparkSession, root: str, schema: str):
-        self.spark, self.root, self.schema = spark, root.rstrip("/"), schema
-
-    def _manifest(self) -> DataFrame:
-        hadoop = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/manifest")
-        if not hadoop.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(hadoop):
-            return self.spark.createDataFrame([], "version long, folder string")
-        return self.spark.read.schema("version long, folder string").json(f"{self.root}/manifest")
+        self.store, self.table = Store(spark, root), Keyed("rows", schema, schema.split()[0], buckets=1)
 
     def version(self) -> int:
-        return self._manifest().agg(F.coalesce(F.max("version"), F.lit(0))).first()[0]
+        return self.store.version()
 
     def read(self) -> DataFrame:
-        last = self._manifest().orderBy(F.desc("version"), "folder").limit(1).collect()
-        return self.spark.read.schema(self.schema).parquet(f"{self.root}/{last[0]['folder']}") if last else self.spark.createDataFrame([], self.schema)
+        return self.store.read(self.table)
 
     def write(self, rows: DataFrame) -> int:
         """Publishes rows as the next version."""
-        version = self.version() + 1
-        folder = f"v{version:08d}-{uuid.uuid4().hex}"
-        rows.write.parquet(f"{self.root}/{folder}")
-        self.spark.createDataFrame([(version, folder)], "version long, folder string").coalesce(1).write.mode("append").json(f"{self.root}/manifest")
-        return version
+        change = self.store.change()
+        change.write(self.table, rows)
+        return change.commit()
 
     def replace(self, new: DataFrame, key: str) -> int:
         """K1: rows of the keys that new has give way to new's."""
@@ -47,4 +37,6 @@ class SnapshotTable:
         return self.write(without(self.read(), gone, key))
 
     def truncate(self) -> int:
-        return self.write(self.spark.createDataFrame([], self.schema))
+        change = self.store.change()
+        change.truncate(self.table)
+        return change.commit()
