@@ -18,6 +18,12 @@ def inventory(files: DataFrame) -> DataFrame:
     return front.select("path", get("title", name).alias("title"), get("type", F.lit("unknown")).alias("type"), get("updated", F.lit("")).alias("updated"), get("source", F.lit("")).alias("source"), F.when(trimmed == "", "").otherwise(F.sha2(trimmed.cast("binary"), 256)).alias("digest"))
 
 
+def keyed(files: DataFrame) -> DataFrame:
+    """(key, path, digest) of pages (path, content) under the keys that the index has for them; of several with one key the last path's."""
+    rows = inventory(files).select(text.index_key(F.col("path"), F.col("source")).alias("key"), "path", "digest")
+    return rows.groupBy("key").agg(F.max_by(F.struct("path", "digest"), "path").alias("x")).select("key", "x.*")
+
+
 def by_type(pages: DataFrame) -> DataFrame:
     """K5, A2: (type, n, listing) with the titles in their own order."""
     return pages.groupBy("type").agg(F.count("*").alias("n"), F.sort_array(F.collect_list(F.struct("title", "path"))).alias("x")).select("type", "n", F.array_join(F.transform("x", lambda p: F.concat(F.lit("- ["), p["title"], F.lit("]("), p["path"], F.lit(")"))), "\n").alias("listing"))

@@ -39,6 +39,19 @@ def stale_keys(index: DataFrame, live_pages: DataFrame, live_raw: DataFrame) ->
     return keys.join(live_pages.select("key"), "key", "left_anti").join(live_raw.select("key"), "key", "left_anti")
 
 
+def change_set(index: DataFrame, pages: DataFrame, live_raw: DataFrame) -> DataFrame:
+    """(key, action, path, digest) of what an index (source_path, file_hash) must do to follow pages (key, path, digest).
+
+    A page without text has an empty digest and is not indexed.  A key that no page has
+    goes, unless a raw file (source_path) of that name is there: it was indexed by itself.
+    """
+    had = index.groupBy(F.col("source_path").alias("key")).agg(F.max("file_hash").alias("had"))
+    rows = had.join(pages, "key", "full_outer").join(live_raw.select(F.col("source_path").alias("key"), F.lit(True).alias("raw")).distinct(), "key", "left")
+    empty = F.col("digest") == ""
+    action = F.when(F.col("had").isNull() & ~empty, "added").when(F.col("digest").isNull() & F.col("raw").isNull() | F.col("had").isNotNull() & empty, "gone").when(F.col("digest") != F.col("had"), "changed")
+    return rows.withColumn("action", action).where("action is not null").select("key", "action", "path", "digest")
+
+
 def changed(files: DataFrame, manifest: DataFrame, force: bool = False) -> DataFrame:
     """(source_path, state) of the files whose hash is not the manifest's."""
     known = manifest.groupBy("source_path").agg(F.max_by("file_hash", "chunk_index").alias("known"))

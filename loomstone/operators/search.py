@@ -74,6 +74,17 @@ def shortlist(vecs: DataFrame, query: list[float], lexical_hits: DataFrame, size
     return s.join(hits, "uid", "left").select("uid", (F.col("s") + F.coalesce("boost", F.lit(0.0))).alias("score")).orderBy(F.desc("score"), "uid").limit(size)
 
 
+#: Up to so many vectors all are compared; the shortlist's size, by the number wanted and at least.
+EXACT, WIDER, LEAST = 512, 16, 320
+
+
+def nearest(vecs: DataFrame, query: list[float], lexical_hits: DataFrame, want: int) -> DataFrame:
+    """L2, L3: (uid, distance) of the nearest vectors; a long table is cut to its best sketches first."""
+    if vecs.limit(EXACT + 1).count() > EXACT:
+        vecs = vecs.join(shortlist(vecs, query, lexical_hits, max(want * WIDER, LEAST)).select("uid"), "uid", "left_semi")
+    return vector_top(vecs, query, want)
+
+
 def ranked(hits: DataFrame, *order) -> DataFrame:
     """Numbers hits from 1; hits are few, a limit has cut them."""
     return hits.withColumn("rank", F.row_number().over(Window.orderBy(*order, "uid")))
@@ -87,9 +98,9 @@ def fuse(lex: DataFrame, vec: DataFrame) -> DataFrame:
     return a.join(b, "uid", "full_outer").select("uid", (part("ra") + part("rb")).alias("score"), F.coalesce("lexical", F.lit(0.0)).alias("lexical"), F.coalesce("distance", F.lit(1.0)).alias("distance"), F.when(F.col("distance").isNotNull(), 1 - F.col("distance")).alias("cosine"))
 
 
-def hybrid(chunks: DataFrame, vecs: DataFrame, terms: list[str], query: list[float], top: int = 5) -> DataFrame:
-    """Fused, cut to ``top``, joined with the chunks, those without content dropped afterwards."""
-    fused = fuse(bm25(chunks, terms, max(2 * top, 10)), vector_top(vecs, query, max(4 * top, 20)))
+def hybrid(chunks: DataFrame, vecs: DataFrame, words: str, query: list[float], top: int = 5) -> DataFrame:
+    """What the words find and the nearest vectors fused, cut to ``top``, joined with the chunks, those without content dropped afterwards."""
+    fused = fuse(lexical(chunks, words, max(2 * top, 10)), vector_top(vecs, query, max(4 * top, 20)))
     best = fused.orderBy(F.desc("score"), "uid").limit(top)
     return best.join(chunks.select("uid", "content", "source_path"), "uid", "left").where("coalesce(content, '') <> ''")
 

@@ -6,8 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomstone.functions import text, vectors
-from loomstone.operators import chunking, search
+from loomstone.operators import chunking, postings, relations, search
 from loomstone.plans.views import SRC, VEC, src, table, vec
+from loomstone.session import place
+from loomstone.sources.store import Keyed, Store, settled
 
 TERMS = ["thatin", "ononst"]
 QUERIES: dict = {}
@@ -95,13 +97,74 @@ def rrf_fuse(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(f"{_HYBRID} SELECT uid, source_path, round(score, 6) AS score, round(lexical, 6) AS lexical, round(distance, 6) AS distance FROM hy")
 def hybrid_search(spark: SparkSession, sf: str) -> DataFrame:
-    hits = search.hybrid(src(spark, sf), vec(spark, sf), TERMS, _probe(spark, sf))
+    hits = search.hybrid(src(spark, sf), vec(spark, sf), " ".join(TERMS), _probe(spark, sf))
     return hits.select("uid", "source_path", *[_r(c).alias(c) for c in ("score", "lexical", "distance")])
 
 
+_LIKE = "lex AS (SELECT uid, 1.0::DOUBLE AS score FROM src WHERE contains(lower(content), 'zu') ORDER BY uid LIMIT 10)"
+
+
+@query(
+    f"WITH {SRC}, {VEC}, {_LIKE}, {_VTOP}, {_FUSE}, best AS (SELECT * FROM fused ORDER BY score DESC, uid LIMIT 5) SELECT best.uid, source_path, round(score, 6) AS score, round(lexical, 6) AS lexical, round(distance, 6) AS distance FROM best JOIN src ON best.uid = src.uid WHERE coalesce(content, '') <> ''"
+)
+def hybrid_short(spark: SparkSession, sf: str) -> DataFrame:
+    """Words too short for trigrams are looked for in the texts, in hybrid search too."""
+    hits = search.hybrid(src(spark, sf), vec(spark, sf), " Zu ", _probe(spark, sf))
+    return hits.select("uid", "source_path", *[_r(c).alias(c) for c in ("score", "lexical", "distance")])
+
+
+#: Three states of the documents: in each some are missing, and in the second some have other texts.
+_STATES = [
+    "SELECT uid, source_path, content FROM src WHERE length(content) % 3 <> 0",
+    "SELECT uid, source_path, CASE WHEN length(content) % 2 = 1 THEN content || ' ' || lang ELSE content END AS content FROM src WHERE length(content) % 4 <> 0",
+    "SELECT uid, source_path, content FROM src WHERE length(content) % 5 <> 0",
+]
+
+
+def _states(spark: SparkSession, sf: str) -> list[DataFrame]:
+    docs = src(spark, sf)
+    return [spark.sql(q.replace("FROM src", "FROM {docs}"), docs=docs) for q in _STATES]
+
+
+def _pages_of(state: DataFrame) -> DataFrame:
+    return state.select(F.col("source_path").alias("key"), F.col("source_path").alias("path"), F.md5(F.col("content").cast("binary")).alias("digest"))
+
+
+@query(
+    f"""WITH {SRC}, {', '.join(f's{k} AS ({q})' for k, q in enumerate(_STATES))},
+i AS (SELECT source_path AS key, md5(content) AS had FROM s1), p AS (SELECT source_path AS key, md5(content) AS digest FROM s2)
+SELECT key, CASE WHEN had IS NULL THEN 'added' WHEN digest IS NULL THEN 'gone' ELSE 'changed' END AS action FROM i FULL OUTER JOIN p USING (key)
+WHERE had IS DISTINCT FROM digest AND NOT (digest IS NULL AND key IN (SELECT source_path FROM s0 WHERE length(content) % 2 = 0))"""
+)
+def index_changes(spark: SparkSession, sf: str) -> DataFrame:
+    """What an index of the second state does to follow the third, where files of the first of even length are still there."""
+    first, second, third = _states(spark, sf)
+    index = second.select("source_path", F.md5(F.col("content").cast("binary")).alias("file_hash"))
+    return relations.change_set(index, _pages_of(third), first.where("length(content) % 2 = 0")).select("key", "action")
+
+
+_CHUNKS = Keyed("chunks", "uid string, content string, source_path string", postings.TAG)
+
+
+@query(f"WITH {SRC.replace('src AS', 'every AS')}, src AS ({_STATES[2].replace('FROM src', 'FROM every')}), {_bm25(10)} SELECT uid, round(score, 6) AS score FROM lex")
+def indexed_search(spark: SparkSession, sf: str) -> DataFrame:
+    """Search from a stored index that was built from the first state and followed the second and the third."""
+    store, had = Store(spark, place(spark, "index")), None
+    for state in _states(spark, sf):
+        index = spark.createDataFrame([], "source_path string, file_hash string") if had is None else had.select("source_path", F.md5(F.col("content").cast("binary")).alias("file_hash"))
+        found = settled(relations.change_set(index, _pages_of(state), state.limit(0)))
+        new = settled(state.join(found.where("action <> 'gone'").select(F.col("key").alias("source_path")), "source_path"))
+        gone = had.join(found.select(F.col("key").alias("source_path")), "source_path").select(F.expr(postings.TAG).alias("k")) if had is not None else None
+        change = store.change()
+        postings.indexed(change, _CHUNKS, new, gone)
+        change.commit()
+        had = store.read(_CHUNKS)
+    return postings.search(store, TERMS, 10).select("uid", _r("score").alias("score"))
+
+
 @query(f"{_HYBRID} SELECT uid, source_path, round(coalesce(cosine, score), 4) AS score FROM hy")
 def search_view(spark: SparkSession, sf: str) -> DataFrame:
-    hits = search.hybrid(src(spark, sf), vec(spark, sf), TERMS, _probe(spark, sf))
+    hits = search.hybrid(src(spark, sf), vec(spark, sf), " ".join(TERMS), _probe(spark, sf))
     return hits.select("uid", "source_path", _r(F.coalesce("cosine", "score"), 4).alias("score"))
 
 

@@ -19,6 +19,9 @@ def test_life_of_a_corpus(spark, tmp_path):
     assert c.recall("alpha").startswith("[知识库片段] 来源：raw/x/a.md\n") and c.recall("a") == ""
     assert [r["type"] for r in c.conflicts("raw/b.md").collect()] == ["A更严格"]
     assert c.answer("alpha").startswith("raw/x/a.md\n")
+    plain = Corpus(spark, str(tmp_path / "c"))
+    assert [r["source_path"] for r in c.search("净宽", 1).collect()] == [r["source_path"] for r in plain.search("净宽", 1).collect()]  # too short for trigrams
+    assert c.search("zzz qqq", 1).count() == 1 and plain.search("zzz qqq").count() == 0 and plain.search(" ").count() == 0
     c.delete("raw/x")
     assert c.stats()["sources"] == 1 and c.stats()["vectors"] == 1 and c.stats()["indicators"] == 1
 
