@@ -11,7 +11,7 @@ from loomstone.plans.views import JOBS, SRC, VEC, src, table, vec
 from loomstone.plans.views import jobs as job_view
 from loomstone.session import place
 from loomstone.sources import readers
-from loomstone.streaming import streams
+from loomstone.streaming import stateful, streams
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -453,6 +453,69 @@ def stream_latest_prompt(spark: SparkSession, sf: str) -> DataFrame:
     return streams.final_state(streams.latest_prompts(events, "conv_id", "turn"), spark)
 
 
+def _events(spark: SparkSession, sf: str) -> DataFrame:
+    """The events as a stream; one kind of them stands for a removal."""
+    return streams.arriving(spark, f"{sf}/events.parquet", table(spark, sf, "events").schema)
+
+
+#: A file has settled after six quiet hours, as the table's users act some twice a day.
+_QUIET = 6 * 3_600_000
+
+
+@query(
+    f"""WITH e AS (SELECT 'raw/' || user_id AS path, (epoch_us(ts) // 1000) AS ms, CASE event_type WHEN 'error' THEN 'unlink' ELSE 'change' END AS kind FROM events),
+o AS (SELECT *, lag(ms) OVER (PARTITION BY path ORDER BY ms, kind) AS before FROM e),
+b AS (SELECT *, sum(CASE WHEN before IS NULL OR ms - before >= {_QUIET} THEN 1 ELSE 0 END) OVER (PARTITION BY path ORDER BY ms, kind) AS burst FROM o)
+SELECT path, min(ms) AS first_ms, max(ms) AS last_ms, count(*)::BIGINT AS n, CASE WHEN max_by(kind, (ms, kind)) = 'unlink' THEN 'removed' ELSE 'ready' END AS action
+FROM b GROUP BY path, burst HAVING max(ms) + {_QUIET} <= (SELECT max(ms) FROM e)"""
+)
+def watch_settled(spark: SparkSession, sf: str) -> DataFrame:
+    """Bursts of a file's events, once they are over."""
+    kind = F.when(F.col("event_type") == "error", "unlink").otherwise("change")
+    events = _events(spark, sf).select(F.concat(F.lit("raw/"), F.col("user_id").cast("string")).alias("path"), "ts", kind.alias("kind"))
+    return stateful.settled_files(events, _QUIET)
+
+
+#: A claim ends by itself after half an hour.
+_LEASE = 1_800_000
+
+
+@query(
+    f"""WITH RECURSIVE c AS (SELECT 'lib' || (user_id % 5) AS lib, row_number() OVER (PARTITION BY user_id % 5 ORDER BY event_id) AS k, event_id AS seq, (epoch_us(ts) // 1000) AS ms, 'raw/' || user_id AS rel,
+  CASE WHEN event_type IN ('signup', 'purchase') THEN 'enqueue' WHEN event_type = 'view' THEN 'claim' WHEN event_type = 'click' THEN 'done' WHEN value >= 20 THEN 'fail' WHEN value >= 10 THEN 'pause' ELSE 'resume' END AS action, event_type = 'purchase' AS front FROM events),
+-- one row for each command: the queue and what is at work before it is carried out, after a lease that has run out
+f AS (SELECT lib, 0::BIGINT AS k, []::VARCHAR[] AS pending, NULL::VARCHAR AS work, 0::BIGINT AS since, false AS paused, NULL::VARCHAR AS rel, NULL::VARCHAR AS status, NULL::VARCHAR AS error, NULL::VARCHAR AS lost, 0::BIGINT AS seq FROM (SELECT DISTINCT lib FROM c)
+  UNION ALL
+  SELECT lib, k, CASE WHEN action = 'enqueue' AND NOT list_contains(pending, r) THEN CASE WHEN front THEN list_prepend(r, pending) ELSE list_append(pending, r) END WHEN claims THEN pending[2:] ELSE pending END,
+    CASE WHEN claims THEN pending[1] WHEN action IN ('done', 'fail') THEN NULL ELSE w END, CASE WHEN claims THEN ms ELSE since END, CASE action WHEN 'pause' THEN true WHEN 'resume' THEN false ELSE paused END,
+    CASE WHEN action = 'enqueue' THEN r WHEN claims THEN pending[1] WHEN action IN ('done', 'fail') THEN w END,
+    CASE WHEN action = 'enqueue' THEN 'queued' WHEN claims THEN 'parsing' WHEN w IS NULL THEN NULL WHEN action = 'done' THEN 'done' WHEN action = 'fail' THEN 'failed' END,
+    CASE WHEN action = 'fail' AND w IS NOT NULL THEN 'failed' END, lost, s
+  FROM (SELECT *, action = 'claim' AND w IS NULL AND NOT paused AND len(pending) > 0 AS claims FROM
+    (SELECT f.lib, c.k, c.seq AS s, c.ms, c.rel AS r, c.action, c.front, f.pending, f.since, f.paused, CASE WHEN c.ms - f.since >= {_LEASE} THEN NULL ELSE f.work END AS w, CASE WHEN c.ms - f.since >= {_LEASE} THEN f.work END AS lost FROM f JOIN c ON c.lib = f.lib AND c.k = f.k + 1))),
+said AS (SELECT lib, rel, status, error, seq, 1 AS later FROM f WHERE status IS NOT NULL UNION ALL SELECT lib, lost, 'failed', 'interrupted', seq, 0 FROM f WHERE lost IS NOT NULL
+  UNION ALL SELECT lib, work, 'failed', 'interrupted', seq, 2 FROM (SELECT *, row_number() OVER (PARTITION BY lib ORDER BY k DESC) AS back FROM f) WHERE back = 1 AND work IS NOT NULL AND since + {_LEASE} <= (SELECT max(ms) FROM c)),
+last AS (SELECT lib, rel, max_by({{'s': status, 'e': error}}, (seq, later)) AS x FROM said GROUP BY lib, rel)
+SELECT lib, rel, x.s AS status, CASE x.s WHEN 'queued' THEN 0 WHEN 'parsing' THEN 10 ELSE 100 END::INT AS progress, coalesce(x.e, '') AS error FROM last"""
+)
+def queue_jobs(spark: SparkSession, sf: str) -> DataFrame:
+    """The job table of five libraries' queues after all events: some put files in, some claim them, others end, pause and resume."""
+    kind, value = F.col("event_type"), F.col("value")
+    action = F.when(kind.isin("signup", "purchase"), "enqueue").when(kind == "view", "claim").when(kind == "click", "done").when(value >= 20, "fail").when(value >= 10, "pause").otherwise("resume")
+    rel, lib = F.concat(F.lit("raw/"), F.col("user_id").cast("string")), F.concat(F.lit("lib"), (F.col("user_id") % 5).cast("string"))
+    commands = _events(spark, sf).select(lib.alias("lib"), F.col("event_id").alias("seq"), "ts", rel.alias("rel"), action.alias("action"), (kind == "purchase").alias("front"))
+    table_ = stateful.job_table(stateful.queue_changes(commands, _LEASE))
+    return table_.select("lib", "rel", "status", "progress", F.coalesce("error", F.lit("")).alias("error"))
+
+
+@query("SELECT conv_id::VARCHAR AS conv_id, max_by(text, turn) AS prompt, max(turn)::BIGINT AS last FROM conversations WHERE role = 'user' AND text <> '' GROUP BY conv_id")
+def stream_newest_prompt(spark: SparkSession, sf: str) -> DataFrame:
+    """The same as stream_latest_prompt, from a state that forgets sessions which have been silent; a turn takes a minute."""
+    turns = streams.arriving(spark, f"{sf}/conversations.parquet", table(spark, sf, "conversations").schema).where("role = 'user'")
+    got = stateful.newest_prompts(turns.select(F.col("conv_id").alias("session_id"), F.timestamp_millis((F.col("turn") + 1) * 60_000).alias("ts"), F.col("turn").alias("place"), "text"))
+    return got.select(F.col("session_id").alias("conv_id"), "prompt", "last")
+
+
 @query(r"SELECT doc_id, sha256(regexp_replace(regexp_replace(regexp_replace(text, '[ \t]+\n', chr(10), 'g'), '^[ \t\n\r]+', ''), '[ \t\n\r]+$', '')) AS file_hash, len(text) > 0 AS ok FROM documents")
 def stream_ingest(spark: SparkSession, sf: str) -> DataFrame:
     rows = streams.arriving(spark, f"{sf}/documents.parquet", table(spark, sf, "documents").schema)

@@ -46,17 +46,19 @@ def most_recent(prompts: DataFrame, most: int = 64, key: str = "session_id") ->
     return prompts.orderBy(F.desc("last"), key).limit(most)
 
 
+def written(spark: SparkSession, folder: str, schema: str) -> DataFrame:
+    """What kept() has written so far; nothing where no batch has come yet."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    there = path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path)
+    return spark.read.schema(f"{schema}, batch long").parquet(folder).drop("batch") if there else spark.createDataFrame([], schema)
+
+
 def final_state(stream: DataFrame, spark: SparkSession, checkpoint: str | None = None, path: str | None = None) -> DataFrame:
     """The last complete state of an aggregating stream, as a table in a folder; without any input it is empty."""
     folder = path or (f"{checkpoint}-rows" if checkpoint else place(spark, "state"))
-    batches: list[int] = []
-
-    def each(batch: DataFrame, number: int) -> None:
-        kept(folder)(batch, number)
-        batches.append(number)
-
-    drained(stream, each, "complete", checkpoint)
-    if not batches and not path and not checkpoint:
+    drained(stream, kept(folder), "complete", checkpoint)
+    root = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    if not root.getFileSystem(spark._jsc.hadoopConfiguration()).exists(root):
         return spark.createDataFrame([], stream.schema)
     rows = spark.read.parquet(folder)
     return rows.where(F.col("batch") == rows.agg(F.max("batch")).first()[0]).select(stream.columns)
