@@ -6,6 +6,7 @@ import json
 import re
 import unicodedata
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -13,13 +14,12 @@ from pyspark.sql import types as T
 
 from loomstone.functions import text
 from loomstone.session import findable
+from loomstone.sources.store import settled
 
 #: What a key drops, and the folders that operations may write to.
 DROPPED = "\\s_\\-—–·.,，。:：;；!！?？()（）\\[\\]【】{}\"'“”‘’`/\\\\|"
 WRITABLE = ("entities/", "concepts/")
 PROMPT_PAGES = 40
-#: Keys are looked for by their first characters, at most this many.
-PROBE = 8
 
 
 def _fold(s: pd.Series) -> pd.Series:
@@ -130,37 +130,93 @@ def dedup_plan(ops: DataFrame, index: DataFrame, ascii_only: bool = False) -> Da
     return rows.withColumn("to", to).withColumn("moved", moved).select("window", "seq", F.when(F.col("moved"), "update").otherwise(F.col("kind")).alias("kind"), F.when(F.col("moved"), F.col("to")).otherwise(F.col("path")).alias("path"), "content")
 
 
-def _pieces(seen: DataFrame, sizes: list[int]) -> DataFrame:
-    """(window, probe): the distinct pieces of the given sizes of each text (window, hay)."""
+#: The length of a key's signature, and how many of them go to the workers as one array (16 MB).
+GRAM, SIGNATURES = 4, 1 << 21
+
+
+def _codes(text: str, n: int) -> np.ndarray:
+    """A number for each piece of n characters; equal pieces have equal numbers, and nearly always only they."""
+    c = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+    h = np.full(max(len(c) - n + 1, 0), n, np.uint64)
+    for k in range(n):
+        h = (h + c[k : len(c) - n + 1 + k]) * np.uint64(0x9E3779B97F4A7C15)
+        h ^= h >> np.uint64(29)
+    return h.view(np.int64)
+
+
+def _signatures(keys: DataFrame) -> DataFrame:
+    """(key, sign, n): of each distinct key the piece of GRAM characters that the fewest keys have, and its length; shorter keys are their own."""
+
+    def run(frames):
+        for pdf in frames:
+            codes = [np.unique(_codes(k, min(len(k), GRAM))) for k in pdf["key"]]
+            yield pd.DataFrame({"key": np.repeat(pdf["key"].to_numpy(), list(map(len, codes))), "sign": np.concatenate([np.zeros(0, np.int64), *codes]), "n": np.repeat([min(len(k), GRAM) for k in pdf["key"]], list(map(len, codes)))})
+
+    findable(keys.sparkSession)
+    pieces = keys.select("key").distinct().mapInPandas(run, "key string, sign long, n int")
+    often = pieces.groupBy("sign").agg(F.count("*").alias("keys"))
+    return pieces.join(often, "sign").groupBy("key").agg(F.min_by(F.struct("sign", "n"), F.struct("keys", "sign")).alias("x")).select("key", "x.sign", "x.n")
+
+
+def contained(seen: DataFrame, keys: DataFrame) -> DataFrame:
+    """(window, key): the keys (key, of two characters or more) that are in each text (window, hay).
+
+    Keys meet texts by their signatures, an equi-join on the piece that the fewest keys
+    have, and only those pairs are compared.  Texts give the pieces that some key has:
+    a set of up to SIGNATURES goes to the workers, with more the join drops the others.
+    """
+    spark = seen.sparkSession
+    signs = settled(_signatures(keys))
+    sizes = [r[0] for r in signs.select("n").distinct().collect()]  # GRAM at most
+    known = signs.select("sign").distinct()
+    every = np.sort(known.toArrow().column(0).to_numpy()) if known.count() <= SIGNATURES else None
 
     def run(frames):
         for pdf in frames:
             for w, hay in zip(pdf["window"], pdf["hay"], strict=True):
-                found = {hay[i : i + n] for n in sizes for i in range(len(hay) - n + 1)} if hay else None
-                if found:
-                    yield pd.DataFrame({"window": w, "probe": list(found)})
+                found = np.unique(np.concatenate([np.zeros(0, np.int64), *(_codes(hay or "", n) for n in sizes)]))
+                if every is not None and len(found):
+                    at = np.minimum(np.searchsorted(every, found), len(every) - 1)
+                    found = found[every[at] == found] if len(every) else found[:0]
+                if len(found):
+                    yield pd.DataFrame({"window": w, "sign": found})
+
+    findable(spark)
+    seen = seen.repartition("window")  # as the join below needs them; a table in one file is then read by one task, but searched by many
+    pieces = seen.mapInPandas(run, f"window {seen.schema['window'].dataType.simpleString()}, sign long")
+    pairs = pieces.join(signs, "sign").select("window", "key").distinct()  # a window may be in several rows
+    return pairs.join(seen, "window").where(F.contains(F.col("hay"), F.col("key"))).select("window", "key").distinct()
+
 
-    findable(seen.sparkSession)
-    return seen.mapInPandas(run, f"window {seen.schema['window'].dataType.simpleString()}, probe string")
+def _first(rows: DataFrame, most: int, *by: str) -> DataFrame:
+    """The rows of the first paths of each group."""
+    rank = F.row_number().over(Window.partitionBy(*by).orderBy("path"))
+    return rows.withColumn("k", rank).where(F.col("k") <= most).drop("k")
 
 
 def prompt_pages(pages: DataFrame, windows: DataFrame, hits: DataFrame, most: int = PROMPT_PAGES, ascii_only: bool = False) -> DataFrame:
     """(window, path, score) of the pages most relevant to each window (window, content).
 
     A hit of the search (window, path) is worth 1000; a title in the window's text ten
-    for each character, a file name one.  The first characters of the keys are an
-    equi-join with the pieces of the windows' texts; containment is tested on its pairs.
+    for each character, a file name one.  Pages whose title, or name, or both are the
+    same score the same but for hits, so only the first ``most`` paths of such a group
+    can be among a window's best; a key in a text meets no more.
     """
-    w = pages.where(F.col("path").startswith(WRITABLE[0]) | F.col("path").startswith(WRITABLE[1]))
-    keys = w.select("path", F.explode(F.array(F.struct(dedup_key(F.col("title"), ascii_only).alias("key"), F.lit(10).alias("each")), F.struct(dedup_key(F.regexp_replace(text.basename(F.col("path")), r"\.md$", ""), ascii_only).alias("key"), F.lit(1).alias("each")))).alias("k")).select("path", "k.key", "k.each").where("length(key) >= 2")
+    w = pages.where(F.col("path").startswith(WRITABLE[0]) | F.col("path").startswith(WRITABLE[1])).select("path", dedup_key(F.col("title"), ascii_only).alias("title"), dedup_key(F.regexp_replace(text.basename(F.col("path")), r"\.md$", ""), ascii_only).alias("name"))
+    w = settled(w)
+    keys = w.select(F.explode(F.array("title", "name")).alias("key")).where("length(key) >= 2")
     seen = windows.select("window", dedup_key(F.col("content"), ascii_only).alias("hay"))
-    probes = keys.select("key", F.substring("key", 1, PROBE).alias("probe")).distinct()
-    sizes = [r[0] for r in probes.select(F.length("probe")).distinct().collect()]
-    pairs = _pieces(seen, sizes).join(probes, "probe").select("window", "key").distinct()
-    found = pairs.join(seen, "window").where(F.contains(F.col("hay"), F.col("key"))).select("window", "key")
-    literal = found.join(keys, "key").select("window", "path", (F.length("key") * F.col("each")).alias("s"))
-    known = hits.join(w.select("path"), "path", "left_semi").select("window", "path", F.lit(1000).alias("s"))
-    score = literal.unionByName(known).groupBy("window", "path").agg(F.sum("s").cast("long").alias("score"))
+    found = settled(contained(seen, keys))
+    title, name = found.select("window", F.col("key").alias("title")), found.select("window", F.col("key").alias("name"))
+    known = hits.join(w.select("path"), "path", "left_semi").groupBy("window", "path").agg((1000 * F.count("*")).alias("hit"))
+    likely = title.join(_first(w, most, "title"), "title").select("window", "path", "title", "name")
+    likely = likely.unionByName(name.join(_first(w, most, "name"), "name").select("window", "path", "title", "name"))
+    likely = likely.unionByName(name.join(_first(w, most, "title", "name"), "name").join(title, ["window", "title"], "left_semi").select("window", "path", "title", "name"))
+    likely = likely.unionByName(known.join(w, "path").select("window", "path", "title", "name")).distinct()
+    worth = lambda rows, c, each: rows.withColumn(f"s_{c}", F.length(c) * each)
+    scored = likely.join(worth(title, "title", 10), ["window", "title"], "left").join(worth(name, "name", 1), ["window", "name"], "left").join(known, ["window", "path"], "left")
+    total = F.coalesce("s_title", F.lit(0)) + F.coalesce("s_name", F.lit(0)) + F.coalesce("hit", F.lit(0))
+    score = scored.groupBy("window", "path").agg(F.max(total).cast("long").alias("score"))
     rank = F.row_number().over(Window.partitionBy("window").orderBy(F.desc("score"), "path"))
     return score.withColumn("k", rank).where(F.col("k") <= most).drop("k")
 
