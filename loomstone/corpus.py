@@ -8,6 +8,7 @@ search is lexical, without a completion nothing is compiled.
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
 
@@ -16,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomstone.functions import text
-from loomstone.operators import chunking, extraction, pages, plans, postings, relations, search
+from loomstone.operators import chunking, compiling, extraction, models, pages, postings, relations, search
 from loomstone.session import findable
 from loomstone.sources.store import Change, Keyed, Store, settled
 
@@ -159,15 +160,22 @@ class Corpus:
         """Broken links and conflict blocks of pages (path, title, content)."""
         return pages.broken_links(wiki), extraction.conflict_blocks(wiki)
 
-    def compile(self, files: DataFrame, prompt: Callable[[str], str] = str, tokens: int = 16_384) -> DataFrame:
-        """The merged operations that the completion proposes for the windows of files; none without a completion."""
+    def compile(self, files: DataFrame, prompt: Callable[[str], str] = str, tokens: int = 16_384, most_tokens: int = 32_768, context: int = 131_072, wiki: DataFrame | None = None, wait: Callable[[float], None] = time.sleep) -> DataFrame:
+        """(source_path, path, kind, window, seq, content) that the completion proposes for files (source_path, content), merged for each file; none without a completion.
+
+        ``wiki`` (path, title) are the pages there are: prompts name those that matter,
+        and a new page that means one of them becomes its update.
+        """
         ask = self.complete
         if ask is None:
-            return self.spark.createDataFrame([], "path string, kind string, window int, seq int, content string")
+            return self.spark.createDataFrame([], "source_path string, path string, kind string, window string, seq int, content string")
+        wiki = settled(wiki) if wiki is not None else self.spark.createDataFrame([], "path string, title string")
+        limits = models.budget(tokens, most_tokens, context)
+        chunks = self.read(CHUNKS)
 
-        def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for pdf in frames:
-                yield pd.DataFrame({"window": pdf["window"], "raw": [ask(prompt(t), tokens) or "" for t in pdf["content"]]})
+        def prompt_of(pieces: DataFrame) -> DataFrame:
+            pieces = settled(pieces)
+            return compiling.prompts(pieces, settled(compiling.related(self.store, self.read(VECTORS), pieces, self.embed)), chunks, wiki)
 
-        findable(self.spark)
-        return plans.merge_ops(plans.plan_ops(chunking.windows(files).mapInPandas(run, "window int, raw string")))
+        ops = compiling.proposed(chunking.windows(files, window=limits.window), lambda p, n: ask(prompt(p), n), limits, prompt_of, context, wait=wait)
+        return compiling.merged(settled(ops), wiki)

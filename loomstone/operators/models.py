@@ -63,36 +63,6 @@ class OutputLimit(Exception):
         self.partial = partial
 
 
-def planned(text: str, ask: Callable[[str, int], str], limits: Budget, prompt: Callable[[str], str] = str, wait: Callable[[float], None] = time.sleep, depth: int = 0) -> list[tuple[str, str, str]] | None:
-    """The operations of a window, or None if every attempt failed.
-
-    Three attempts with waits between them; a truncated answer doubles the budget up to the
-    ceiling, and at the ceiling the window is split, twice at most.
-    """
-    tokens = limits.ceiling if depth else limits.floor
-    for attempt in range(ATTEMPTS):
-        if attempt:
-            wait(WAITS[min(attempt, len(WAITS)) - 1])
-        raw, cut = "", False
-        try:
-            raw = ask(prompt(text), tokens)
-        except OutputLimit as e:
-            raw, cut = e.partial, True
-        except Exception:  # noqa: BLE001  a model may fail in any way; the next attempt follows
-            continue
-        ops = None if cut else parse_plan(raw)
-        if ops is not None:
-            return [op for op in ops if op[1].startswith(("entities/", "concepts/")) and op[1].endswith(".md")]
-        if not cut and (not raw.strip() or raw.strip()[-1] in "}]"):
-            continue
-        if tokens < limits.ceiling:
-            tokens = min(2 * tokens, limits.ceiling)
-        elif depth < SPLIT_DEPTH and len(text) >= SPLIT_FROM:
-            parts = [planned(t, ask, limits, prompt, wait, depth + 1) for t in halves(text)]
-            return None if all(p is None for p in parts) else [op for p in parts for op in p or []]
-    return None
-
-
 class Cache:
     """Values for a time, the most recent ones."""
 

@@ -15,13 +15,14 @@ from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomstone.operators.search import K1, B
 from loomstone.session import findable
-from loomstone.sources.store import Change, Keyed, Store
+from loomstone.sources.store import Change, Keyed, Store, settled
 
 #: The key of a chunk's source inside its uid.
 TAG = "substring(uid, 1, 12)"
@@ -123,3 +124,38 @@ def search(store: Store, terms: list[str], top: int, version: int | None = None)
     idf = F.log((F.lit(n) - F.col("df") + 0.5) / (F.col("df") + 0.5))
     score = F.when(idf <= 0, 1e-6).otherwise(idf) * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.lit(mean)))
     return rows.join(F.broadcast(df), "term").groupBy("uid").agg(F.sum(weight * score).alias("score")).orderBy(F.desc("score"), "uid").limit(top)
+
+
+def _terms(queries: DataFrame) -> DataFrame:
+    """(term, gram, k, m) of all terms of queries (id, query): each trigram, its place and their number."""
+
+    def run(frames):
+        for pdf in frames:
+            rows = [(t, code(t[k : k + 3]), k, len(t) - 2) for t in dict.fromkeys(pdf["term"]) for k in range(len(t) - 2)]
+            yield pd.DataFrame(rows, columns=["term", "gram", "k", "m"])
+
+    findable(queries.sparkSession)
+    return queries.select("term").distinct().mapInPandas(run, "term string, gram long, k int, m int")
+
+
+def search_many(store: Store, queries: DataFrame, top: int, version: int | None = None) -> DataFrame:
+    """(id, uid, score, rank) of the best chunks for each of many queries (id, query), as search() gives them one by one.
+
+    All queries are one join: their distinct terms meet the postings once, and what
+    a term found is shared by the queries that have it.
+    """
+    version = store.version() if version is None else version
+    known = {**{"chunks": 0, "length": 0}, **store.manifest(version)["facts"]}
+    n, mean = known["chunks"], known["length"] / max(known["chunks"], 1)
+    words = F.split(F.trim(F.regexp_replace(F.lower("query"), r'["*()^:{}]', " ")), r"\s+")
+    asked = queries.select("id", F.explode(words).alias("term")).where("length(term) >= 3").groupBy("id", "term").agg(F.count("*").alias("often"))
+    asked = settled(asked)
+    found = store.read(POSTINGS, version).join(_terms(asked), "gram")
+    whole = found.select("term", "uid", "dl", "m", F.transform("at", lambda p: p - F.col("k")).alias("at")).groupBy("term", "uid", "dl", "m").agg(F.collect_list("at").alias("all")).where(F.size("all") == F.col("m"))
+    tf = F.size(F.aggregate(F.slice("all", F.lit(2), F.size("all")), F.element_at("all", 1), lambda a, b: F.array_intersect(a, b)))
+    rows = settled(whole.select("term", "uid", "dl", tf.alias("tf")).where("tf > 0"))
+    idf = F.log((F.lit(n) - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    weight = rows.join(rows.groupBy("term").agg(F.count("*").alias("df")), "term").select("term", "uid", (F.when(idf <= 0, 1e-6).otherwise(idf) * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.lit(mean)))).alias("s"))
+    score = asked.join(weight, "term").groupBy("id", "uid").agg(F.sum(F.col("often") * F.col("s")).alias("score"))
+    rank = F.row_number().over(Window.partitionBy("id").orderBy(F.desc("score"), "uid"))
+    return score.withColumn("rank", rank).where(F.col("rank") <= top)

@@ -10,12 +10,12 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from loomstone.corpus import BY_SOURCE, CHUNKS, INDICATORS, VECTORS, Corpus
 from loomstone.functions import text
-from loomstone.operators import jobs, pages, relations, upkeep
+from loomstone.operators import jobs, pages, plans, relations, upkeep
 from loomstone.operators.postings import POSTINGS
 from loomstone.sources.snapshots import SnapshotTable
 from loomstone.sources.store import Change, Keyed, settled
@@ -148,6 +148,20 @@ class Workspace:
         change.commit()
         return n
 
+    def compile(self, prefix: str = "raw", **options) -> DataFrame:
+        """The completion's pages for the files below a path are written and indexed in one version; (path, outcome, marked)."""
+        wiki = settled(pages.inventory(self.read(PAGES)).select("path", "title"))
+        ops = settled(self.corpus.compile(self._below(prefix).select("source_path", text.normalize(F.col("content")).alias("content")), wiki=wiki, **options))
+        last = F.row_number().over(Window.partitionBy("path").orderBy(F.desc("source_path"), F.desc("window"), F.desc("seq")))
+        new = settled(ops.withColumn("k", last).where("k = 1").select("path", "kind", "content"))
+        outcome = settled(plans.applied(new, wiki))
+        if not new.isEmpty():
+            change = self.store.change()
+            change.replace(PAGES, new.select("path", "content"))
+            self._sync(change)
+            change.commit()
+        return outcome
+
     def rebuild(self) -> int:
         """Index, pages, marks and jobs are made again from the raw files, all in one version; the log stays and gets a note."""
         pages_before, files = self.read(PAGES).count(), self.read(RAW).count()

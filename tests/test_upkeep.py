@@ -25,25 +25,6 @@ def test_budget_and_limits():
     assert len(a) == len(b) == 1700
 
 
-def test_planning_retries_doubles_and_splits():
-    limits, asked, waits = models.Budget(10, 40, 500), [], []
-    good = '{"operations":[{"path":"entities/a.md","content":"A"},{"path":"sources/b.md","content":"B"}]}'
-
-    def ask(text, tokens):
-        asked.append((len(text), tokens))
-        if len(asked) == 1:
-            raise RuntimeError("network")
-        if tokens < 40 or len(text) > 2000:
-            raise models.OutputLimit('{"operations":[')
-        return good
-
-    assert models.planned("x" * 1000, ask, limits, wait=waits.append) is None  # 10, 10, 20: attempts are used up
-    assert asked == [(1000, 10), (1000, 10), (1000, 20)] and waits == [1.0, 4.0]
-    asked[:] = [0]
-    assert models.planned("x" * 2600, ask, models.Budget(40, 40, 500), wait=waits.append) == [("create", "entities/a.md", "A")] * 2
-    assert models.planned("t", lambda *a: "no plan", limits, wait=waits.append) is None
-
-
 def test_cache_and_catalog():
     now, made = [0.0], []
     c = models.Cache(30, 2, lambda: now[0])
