@@ -11,7 +11,6 @@ from dataclasses import dataclass
 import numpy as np
 
 from loomstone.operators.chunking import SHARED, WINDOW_LEAST, WINDOW_MOST
-from loomstone.operators.plans import parse_plan
 
 #: Output budgets, what a prompt costs besides its window, attempts and their waits, how windows are split.
 OUTPUT_LEAST, OVERHEAD = 16_384, 12_000

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomstone.functions import text
@@ -71,6 +71,11 @@ def broken_links(pages: DataFrame, small: int = 10_000) -> DataFrame:
     return rest.join(found, "target", "left_anti").select("path", "target")
 
 
+def by_name(name: Column, locale: str = "UNICODE") -> tuple[Column, Column]:
+    """Sort keys of names in the order of a locale (the root one if none is given), equal ones by code points."""
+    return F.collate(name, locale), name
+
+
 def newest(rows: DataFrame, key: str, order: str) -> DataFrame:
     w = Window.partitionBy(key).orderBy(F.desc(order))
     return rows.withColumn("__k", F.row_number().over(w)).where("__k = 1").drop("__k")

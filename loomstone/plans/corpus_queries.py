@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from loomstone.functions import schema, text, vectors
@@ -211,6 +211,16 @@ def tree_nodes(spark: SparkSession, sf: str) -> DataFrame:
     return relations.tree_edges(src(spark, sf))
 
 
+@query(
+    f"WITH {SRC}, t AS (SELECT doc_id, lang, regexp_replace(substr(content, 1, 40), '\\s+', ' ', 'g') AS title FROM src) SELECT doc_id, row_number() OVER (PARTITION BY lang ORDER BY title COLLATE zh, title, doc_id)::INT AS place FROM t"
+)
+def locale_order(spark: SparkSession, sf: str) -> DataFrame:
+    """The place of each document's title among those of its language, in the order of a locale."""
+    titles = src(spark, sf).select("doc_id", "lang", F.regexp_replace(F.substring("content", 1, 40), r"\s+", " ").alias("title"))
+    order = Window.partitionBy("lang").orderBy(*pages.by_name(F.col("title"), "zh"), "doc_id")
+    return titles.select("doc_id", F.row_number().over(order).alias("place"))
+
+
 _LINKS = "(VALUES ('entities/beta.md', 'B', 'see [[A]] and [[beta]] [[zzz]]'), ('entities/a.md', 'A', '[[ B ]] [[be]] [[none]] [[zzz]]'), ('concepts/c.md', 'C', 'no links')) t(path, title, content)"
 
 
@@ -251,6 +261,51 @@ def standard_no(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "documents").select("doc_id", extraction.standard_no(said).alias("standard"))
 
 
+#: A line for each word of a text, from nothing but n, its length and its place; SQL that both engines read.
+_NAMES = "CASE {} % 5 WHEN 0 THEN '室内甲醛浓度' WHEN 1 THEN '照度' WHEN 2 THEN '疏散时间' WHEN 3 THEN '的净宽' ELSE '应符合温度' END"
+_SAID = f"""CASE n % 11
+WHEN 0 THEN '5.' || CAST(n % 7 AS STRING) || '.1 ' || {_NAMES.format('n')} || '不大于' || CAST(n AS STRING) || ' mg/m³。'
+WHEN 1 THEN '7 宜采用' || {_NAMES.format('(n + 1)')} || '不低于' || CAST(n % 40 AS STRING) || 'lx'
+WHEN 2 THEN {_NAMES.format('n')} || '≤' || CAST(n AS STRING) || '.' || CAST(n % 10 AS STRING) || '℃，' || {_NAMES.format('(n + 2)')} || '≥ ' || CAST(n % 60 AS STRING) || ' min'
+WHEN 3 THEN '推荐的' || {_NAMES.format('n')} || '应为至少' || CAST(n AS STRING) || '　%（' || {_NAMES.format('(n + 3)')} || '上限' || CAST(n % 90 AS STRING) || ' kPa）'
+WHEN 4 THEN 'no number: ' || {_NAMES.format('n')} || '不大于 many'
+WHEN 5 THEN '不大于' || CAST(n AS STRING)
+WHEN 6 THEN '12.3 ' || {_NAMES.format('n')} || '不得超过不小于' || CAST(n AS STRING) || ' m/s'
+WHEN 7 THEN {_NAMES.format('n')} || '最大' || CAST(n AS STRING) || 'm最小' || CAST(n % 20 AS STRING) || 'm'
+WHEN 8 THEN '依据 gb/t ' || CAST(n AS STRING) || '-2022 and JGJ 5'
+WHEN 9 THEN '按 T/CECS ' || CAST(n AS STRING) || '.1-2020 的规定'
+ELSE 'GB of ' || CAST(n AS STRING) END"""
+_LINES = f"""l AS (SELECT doc_id, i - 1 AS line_no, {_SAID} AS line FROM (SELECT doc_id, i, len(p[i]) + i - 1 AS n FROM (SELECT doc_id, p, unnest(range(1, len(p) + 1)) AS i FROM (SELECT doc_id, string_split(text, ' ') AS p FROM documents))))"""
+
+
+def _said(spark: SparkSession, sf: str) -> DataFrame:
+    lines = F.transform(F.split("text", " "), lambda s, i: F.length(s) + i)
+    rows = table(spark, sf, "documents").select("doc_id", F.posexplode(lines).alias("k", "n")).selectExpr("doc_id", "k", f"{_SAID} AS line")
+    return rows.groupBy("doc_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("k", "line"))), lambda x: x["line"]), "\n").alias("content"))
+
+
+@query(
+    rf"""WITH {_LINES}, b AS (SELECT doc_id, line_no, line, string_split_regex(line, '{extraction.BOUND}') AS p, regexp_extract_all(line, '{extraction.BOUND}', 0) AS m, regexp_extract_all(line, '{extraction.BOUND}', 1) AS w, regexp_extract_all(line, '{extraction.BOUND}', 2) AS v, regexp_extract_all(line, '{extraction.BOUND}', 3) AS u FROM l WHERE regexp_matches(line, '{extraction.BOUND}')),
+e AS (SELECT *, unnest(range(1, len(m) + 1)) AS i FROM b),
+f AS (SELECT doc_id, line_no, i, regexp_extract(line, '([0-9]+(?:\.[0-9]+)*)\s', 1) AS clause_no,
+  trim(regexp_replace(regexp_extract(array_to_string(list_transform(range(1, i), lambda j: p[j] || m[j]), '') || p[i], '([^{extraction.STOP}]{{2,20}})$', 1), '^[的是应为须需符合]+', '')) AS indicator_name, v[i]::DOUBLE AS value,
+  regexp_replace(u[i], '[^\w%/·℃°³²µμ]', '', 'g') AS unit, CASE WHEN w[i] IN ({', '.join(repr(x) for x in extraction.LOWER_WORDS)}) THEN 'lower' ELSE 'upper' END AS direction, CASE WHEN regexp_matches(line, '宜|推荐') THEN '推荐' ELSE '强制' END AS level FROM e),
+g AS (SELECT *, row_number() OVER (PARTITION BY doc_id, indicator_name, value, unit ORDER BY line_no, i) AS k FROM f WHERE indicator_name <> ''),
+o AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY line_no, i) AS ordinal FROM g WHERE k = 1)
+SELECT doc_id, ordinal::INT AS ordinal, clause_no, indicator_name, value, unit, direction, level FROM o WHERE ordinal <= {extraction.PER_FILE}"""
+)
+def indicators_in_texts(spark: SparkSession, sf: str) -> DataFrame:
+    """Every word of every document is a line in one of eleven shapes; documents of some length have repeated bounds, and more than a source may have."""
+    docs = _said(spark, sf).select(F.col("doc_id").alias("source_path"), "content", F.lit("").alias("standard_no"))
+    return extraction.indicators(docs).select(F.col("source_path").alias("doc_id"), "ordinal", "clause_no", "indicator_name", "value", "unit", "direction", "level")
+
+
+@query(rf"WITH {_LINES} SELECT doc_id, regexp_replace(regexp_extract(string_agg(line, chr(10) ORDER BY line_no), '{extraction.STANDARD}', 0), '\s+', '', 'g') AS standard FROM l GROUP BY doc_id")
+def standards_in_texts(spark: SparkSession, sf: str) -> DataFrame:
+    """The first standard that each of these texts names."""
+    return _said(spark, sf).select("doc_id", extraction.standard_no(F.col("content")).alias("standard"))
+
+
 def _limits(spark: SparkSession, sf: str) -> DataFrame:
     lower = F.col("p_partkey") % 2 == 0
     return table(spark, sf, "part").select(F.col("p_brand").alias("standard_no"), F.lit("1").alias("clause_no"), F.col("p_type").alias("indicator_name"), F.col("p_retailprice").alias("value"), F.col("p_size").cast("string").alias("unit"), F.when(lower, "lower").otherwise("upper").alias("direction"), F.col("p_partkey").alias("k"))
@@ -422,8 +477,6 @@ def trace_summary(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("SELECT event_id, lpad(n::VARCHAR, greatest(3, len(n::VARCHAR))::INT, '0') || '-' || strftime(ts, '%Y-%m-%dT%H-%M-%S-') || lpad((extract('milliseconds' FROM ts)::BIGINT % 1000)::VARCHAR, 3, '0') || 'Z-u' || user_id || '_x_1' AS label FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS n FROM events)")
 def trace_label(spark: SparkSession, sf: str) -> DataFrame:
-    from pyspark.sql import Window
-
     n = F.row_number().over(Window.partitionBy("user_id").orderBy("event_id"))
     e = table(spark, sf, "events").withColumn("n", n)
     return e.select("event_id", sessions.trace_label(F.col("n"), F.col("ts"), F.concat(F.lit("u"), F.col("user_id").cast("string"), F.lit("/x.1"))).alias("label"))

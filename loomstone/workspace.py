@@ -94,7 +94,7 @@ class Workspace:
         """(name, is_leaf, n) of what is in a folder, folders first, with the number of files below each."""
         inside = self._below(folder).where(F.col("source_path") != folder).select("source_path")
         edges = relations.tree_edges(inside).where(F.col("parent") == folder.rstrip("/"))
-        return edges.select(text.basename(F.col("child")).alias("name"), "is_leaf", "n").orderBy("is_leaf", F.lower("name"), "name")
+        return edges.select(text.basename(F.col("child")).alias("name"), "is_leaf", "n").orderBy("is_leaf", *pages.by_name(F.col("name")))
 
     def read_file(self, path: str) -> str:
         row = self._below(path).where(F.col("source_path") == path).select("content").first()
@@ -193,7 +193,7 @@ class Workspace:
     def list_pages(self, needle: str = "", edited: bool | None = None) -> DataFrame:
         """The inventory with marks, by type and title."""
         found = pages.with_marks(pages.inventory(self.read(PAGES)), self.read(MARKS))
-        return pages.filtered(found, needle, edited).orderBy("type", F.lower("title"), "path")
+        return pages.filtered(found, needle, edited).orderBy(*pages.by_name(F.col("type")), *pages.by_name(F.col("title")), "path")
 
     def _healed(self, path: str) -> str | None:
         wanted = self.spark.createDataFrame([(path,)], "path string")
