@@ -126,10 +126,10 @@ class Queue(StatefulProcessor):
         # places from head up to, not including, tail; ``at`` is the file at work
         paused, head, tail, at, since, last = self.control.get() if self.control.exists() else (False, 0, 0, None, None, None)
         for seq, ms, rel, action, front in sorted((r["seq"], r["ms"], r["rel"], r["action"], bool(r["front"])) for r in rows):
-            last = seq
             if at is not None and ms - since >= self.lease:
-                yield self._said(lib, at, "failed", seq, self.interrupted)
+                yield self._said(lib, at, "failed", last, self.interrupted)  # before this command, after the last one
                 at = None
+            last = seq
             if action == "enqueue":
                 if not self.places.containsKey((rel,)):
                     place, head, tail = (head - 1, head - 1, tail) if front else (tail, head, tail + 1)
@@ -181,8 +181,8 @@ def queue_changes(commands: DataFrame, lease: int = 600_000, checkpoint: str | N
 
 
 def job_table(changes: DataFrame) -> DataFrame:
-    """The last state of each file's job; of a claim's end and another command at one ``seq`` the later one counts. Removed files have none."""
-    rank = F.when(F.col("error") == "interrupted", 0).otherwise(1)
+    """The last state of each file's job; a lease that ran out after a command has that one's ``seq`` and counts. Removed files have none."""
+    rank = F.when(F.col("error") == "interrupted", 1).otherwise(0)
     last = changes.groupBy("lib", "rel").agg(F.max_by(F.struct("status", "progress", "error", "seq"), F.struct("seq", rank)).alias("x"))
     return last.select("lib", "rel", "x.*").where("status <> 'removed'")
 
