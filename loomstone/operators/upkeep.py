@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomstone.functions import text
+from loomstone.sources import docx
 
 
 def changed_by_stat(files: DataFrame, manifest: DataFrame) -> DataFrame:
@@ -42,10 +43,12 @@ def pretty(c: Column, schema: str) -> Column:
 
 
 def preview(files: DataFrame) -> DataFrame:
-    """(path, kind, data): base64 of what is shown as it is, an error for what can't be shown."""
+    """(path, kind, data): base64 of what is shown as it is, a document's HTML, an error for what can't be shown."""
     ext = text.extension(F.col("path"))
-    kind = F.when(ext == ".pdf", "pdf").when(ext.isin(".png", ".jpg", ".jpeg", ".gif", ".webp"), "image").otherwise("error")
-    return files.select("path", kind.alias("kind"), F.when(kind != "error", F.base64("content")).alias("data"))
+    rows = files.select("path", ext.alias("ext"), "content", docx.docx_html(F.when(ext == ".docx", F.col("content"))).alias("html"))
+    kind = F.when(F.col("ext") == ".pdf", "pdf").when(F.col("ext").isin(".png", ".jpg", ".jpeg", ".gif", ".webp"), "image").when(F.col("html").isNotNull(), "html").otherwise("error")
+    rows = rows.withColumn("kind", kind)
+    return rows.select("path", "kind", F.when(F.col("kind") == "html", F.col("html")).when(F.col("kind") != "error", F.base64("content")).alias("data"))
 
 
 def sources_of(pages: DataFrame) -> DataFrame:

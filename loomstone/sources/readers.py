@@ -12,9 +12,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from loomstone.functions import text
+from loomstone.sources import docx
 
 #: What can be parsed without more parsers.
-EXTENSIONS = (".txt", ".md", ".markdown", ".json", ".csv", ".xml", ".yaml", ".yml", ".html", ".htm", ".log")
+EXTENSIONS = (".txt", ".md", ".markdown", ".json", ".csv", ".xml", ".yaml", ".yml", ".html", ".htm", ".log", ".docx")
 _MARKS = ((codecs.BOM_UTF8, "utf-8"), (codecs.BOM_UTF16_LE, "utf-16-le"), (codecs.BOM_UTF16_BE, "utf-16-be"))
 
 
@@ -85,6 +86,21 @@ def raw_files(spark: SparkSession, root: str) -> DataFrame:
     return files.select(rel.alias("source_path"), "length", "content", F.sha2("content", 256).alias("file_hash")).where(~text.basename(F.col("source_path")).startswith("."))
 
 
+def parsed(files: DataFrame, extra: Sequence[str] = ()) -> DataFrame:
+    """(source_path, text, parser) of files (source_path, content) of known kinds, each by its extension; a file that its parser can't read has no text.
+
+    PDF needs its text layer's layout and is not read here.
+    """
+    ext = text.extension(F.col("source_path"))
+    parser = F.when(ext.isin(".docx", ".pdf"), F.substring(ext, 2, 4)).when(ext.isin(".html", ".htm"), "html").otherwise("text")
+    rows = files.where(supported(F.col("source_path"), extra)).withColumn("parser", parser)
+    # each parser gets the files of its kind and nulls for the others, in one reading of the files
+    mine = lambda *kinds: F.when(F.col("parser").isin(*kinds), F.col("content"))
+    rows = rows.select("source_path", "parser", docx.docx_text(mine("docx")).alias("d"), decoded(mine("html", "text")).alias("t"))
+    said = F.when(F.col("parser") == "docx", F.col("d")).when(F.col("parser") == "html", text.html_text(F.col("t"))).otherwise(F.col("t"))
+    return rows.select("source_path", text.normalize(said).alias("text"), "parser")
+
+
 def pages(spark: SparkSession, root: str) -> DataFrame:
     """(path, content) of the Markdown files below a folder."""
     files = spark.read.text(root, wholetext=True, pathGlobFilter="*.md", recursiveFileLookup=True)
