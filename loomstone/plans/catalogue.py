@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from loomstone.plans import corpus_queries, search_queries
+from loomstone.plans import corpus_queries, search_queries, upkeep_queries
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
-for module in (search_queries, corpus_queries):
+for module in (search_queries, corpus_queries, upkeep_queries):
     QUERIES |= module.QUERIES
     SQL |= module.SQL
