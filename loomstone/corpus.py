@@ -69,8 +69,8 @@ class Corpus:
         rows = settled(cut.select(text.uid(F.col("source_path"), F.col("chunk_index")).alias("uid"), "content", "source_path", "chunk_index", "file_hash"))
         keys = fresh.select("source_path").unionByName(gone.select("source_path")) if gone is not None else fresh.select("source_path")
         keys = settled(keys.select(F.expr(BY_SOURCE).alias("k")).distinct())
-        postings.indexed(change, CHUNKS, rows, keys)
-        change.replace(VECTORS, settled(embedded(rows, self.embed)) if self.embed else None, keys)
+        touched = postings.indexed(change, CHUNKS, rows, keys)
+        change.replace(VECTORS, settled(embedded(rows, self.embed)) if self.embed else None, keys, touched)  # dealt as the chunks are
 
     def ingest(self, files: DataFrame, force: bool = False) -> int:
         """Files (source_path, content); the changed ones are normalised, chunked, indexed and read for indicators. Returns their number."""

@@ -86,13 +86,13 @@ def indexed(change: Change, table: Keyed, new: DataFrame | None, gone: DataFrame
     """Chunks, their postings and the facts after a change: the sources of ``new`` and the tags of ``gone`` lose what they had, then new's are added."""
     keys = [x for x in (new.select(F.expr(TAG).alias("k")) if new is not None else None, gone.select(F.col(gone.columns[0]).alias("k")) if gone is not None else None) if x is not None]
     keys = (keys[0].unionByName(keys[1]) if len(keys) > 1 else keys[0]).distinct()
-    touched = sorted(r[0] for r in keys.select(table.bucket(F.col("k"))).distinct().collect())
+    touched = change.touched(table, keys)
     before = facts(change.read(table, touched).withColumn("k", F.expr(TAG)).join(keys, "k", "left_semi"))
     after = facts(new) if new is not None else {"chunks": 0, "length": 0}
     had = {**{"chunks": 0, "length": 0}, **change.base["facts"], **change.facts}
     change.facts |= {k: had[k] - before[k] + after[k] for k in before}
-    change.replace(POSTINGS, None if new is None else postings(new), keys)
-    return change.replace(table, new, keys)
+    change.replace(POSTINGS, None if new is None else postings(new), keys, touched if POSTINGS.buckets == table.buckets else None)
+    return change.replace(table, new, keys, touched)
 
 
 def matches(store: Store, terms: list[str], version: int | None = None) -> DataFrame:

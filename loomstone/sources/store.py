@@ -167,14 +167,18 @@ class Change:
     def truncate(self, table: Keyed) -> None:
         self.tables[table.name] = {}
 
-    def replace(self, table: Keyed, new: DataFrame | None, gone: DataFrame | None = None) -> list[int]:
+    def touched(self, table: Keyed, keys: DataFrame) -> list[int]:
+        """The buckets that keys (k) lie in; as many as there are buckets at most."""
+        return sorted(r[0] for r in keys.select(table.bucket(F.col("k"))).distinct().collect())
+
+    def replace(self, table: Keyed, new: DataFrame | None, gone: DataFrame | None = None, touched: list[int] | None = None) -> list[int]:
         """K1, K2: the keys of ``new`` and of ``gone`` (one column) lose their rows, then new's are added. Returns the buckets that are written again.
 
-        ``new`` is read more than once: give stored rows.
+        ``new`` is read more than once: give stored rows.  ``touched`` are those buckets, where they are known.
         """
         keys = [x for x in (new.select(F.expr(table.key).alias("k")) if new is not None else None, gone.select(F.col(gone.columns[0]).alias("k")) if gone is not None else None) if x is not None]
-        keys = (keys[0].unionByName(keys[1]) if len(keys) > 1 else keys[0]).distinct()
-        touched = sorted(r[0] for r in keys.select(table.bucket(F.col("k"))).distinct().collect())  # as many as there are buckets at most
+        keys = keys[0].unionByName(keys[1]) if len(keys) > 1 else keys[0]
+        touched = self.touched(table, keys) if touched is None else touched
         if not touched:
             return []
         kept = self.read(table, touched).select(*table.columns)

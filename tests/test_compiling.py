@@ -25,7 +25,7 @@ def test_many_searches_are_one(spark, tmp_path):
     say = lambda n: " ".join(r.choice(["alpha", "beta", "gamma", "alphabet", "甲醛浓度", "ab"]) for _ in range(n))
     c = Corpus(spark, str(tmp_path / "c"), embed=embed)
     c.ingest(spark.createDataFrame([(f"raw/{k}.md", say(r.randint(1, 40))) for k in range(15)], "source_path string, content string"))
-    asked = [(f"q{k}", k, say(r.randint(1, 6))) for k in range(9)] + [("none", 3, "ab"), ("blank", 4, " ")]
+    asked = [(f"q{k}", k, say(r.randint(1, 6))) for k in (0, 1, 3, 7, 8)] + [("none", 3, "ab"), ("blank", 4, " ")]
     queries = spark.createDataFrame(asked, "id string, window int, content string")
     got = {}
     for x in postings.search_many(c.store, queries.withColumnRenamed("content", "query"), 4).collect():
@@ -36,7 +36,7 @@ def test_many_searches_are_one(spark, tmp_path):
     found = {}
     for x in compiling.related(c.store, c.read(VECTORS), queries, embed, 3).collect():
         found.setdefault(x["id"], {})[x["uid"]] = round(x["score"], 9)
-    for i, w, q in asked[:9]:
+    for i, w, q in asked[:5]:
         lexical = postings.search(c.store, search.query_terms(q), 10)
         if w == 0 or (w + 1) % 8 == 0:
             rows = search.fuse(lexical, search.vector_top(c.read(VECTORS), embed([q])[0], 20)).orderBy(F.desc("score"), "uid").limit(3)
