@@ -5,13 +5,14 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: The white space that trimming removes, and the control characters that normalising drops.
+#: The white space that trimming removes (in a pattern, and its characters), and the control characters that normalising drops.
 JS_SPACE = r"\t\n\x0B\f\r \u00A0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000\uFEFF"
+SPACES = "\t\n\x0b\f\r \u00a0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000\ufeff"
 CONTROL = r"[\x00-\x08\x0B\x0C\x0E-\x1F]"
 
 
 def trim_all(c: Column) -> Column:
-    return F.regexp_replace(c, f"^[{JS_SPACE}]+|[{JS_SPACE}]+$", "")
+    return F.btrim(c, F.lit(SPACES))
 
 
 def normalize(c: Column) -> Column:

@@ -216,21 +216,93 @@ def text_windows(spark: SparkSession, sf: str) -> DataFrame:
     return w.select("doc_id", F.col("window").alias("win"), "start", "size", "truncated", F.md5(F.col("content").cast("binary")).alias("digest"))
 
 
+def _heading(c: str) -> str:
+    """F4 in SQL."""
+    flat = f"trim(regexp_replace(regexp_replace({c}, '^#+', ''), '\\s+', ' ', 'g'))"
+    return f"CASE WHEN len({flat}) > 60 THEN substr({flat}, 1, 59) || '…' ELSE {flat} END"
+
+
+def _crumb(clause: str, caption: str, budget: int) -> str:
+    """F6 in SQL."""
+    line = f"'[' || concat_ws(' · ', nullif(title, ''), nullif({clause}, ''), nullif({caption}, '')) || ']'"
+    return f"CASE WHEN {line} = '[]' OR {budget} < 4 THEN '' WHEN len({line}) <= {budget} THEN {line} ELSE substr({line}, 1, {max(budget - 2, 1)}) || '…]' END"
+
+
+def _chunk_sql(size: int = 800, overlap: int = 100) -> str:
+    """Common tables from doc (source_path, content, title) to chunk (source_path, chunk_index, content).
+
+    ``packed`` goes from line to line of all texts at once and says in which block a line lies (F7, F8); ``grown`` goes
+    from chunk to chunk, with the blocks of a text as lists (F5, F6, F9, N7).
+    """
+    budget = min(chunking.CRUMB_MOST, size // 3)
+    cap = max(size - budget, 1)
+    table_of = "CASE WHEN starts_with(l[1], '|') AND regexp_full_match(trim(l[2]), '\\|[\\s:|-]+\\|') THEN l[1] || chr(10) || trim(l[2]) ELSE '' END"
+    return f"""para AS (SELECT source_path, p, string_split(trim(part, ' ' || chr(9) || chr(10)), chr(10)) AS l FROM (SELECT source_path, unnest(z) AS part, unnest(range(len(z))) AS p FROM (SELECT source_path, string_split_regex(content, '\\n{{2,}}') AS z FROM doc)) WHERE trim(part, ' ' || chr(9) || chr(10)) <> ''),
+line AS MATERIALIZED (SELECT source_path, line, i = 0 AS opens, len(line) AS n, header, row_number() OVER (PARTITION BY source_path ORDER BY p, i) AS k FROM (SELECT source_path, p, unnest(l) AS line, unnest(range(len(l))) AS i, {table_of} AS header FROM para)),
+packed(source_path, k, block, held, again) AS (SELECT source_path, 0::BIGINT, 0::BIGINT, 0::BIGINT, false FROM doc
+  UNION ALL SELECT source_path, k, block + CASE WHEN n > {cap} THEN (n + {cap - 1}) // {cap} WHEN h > 0 AND h + 1 + n <= {cap} THEN 0 ELSE 1 END,
+    CASE WHEN n > {cap} THEN 0 WHEN h = 0 THEN n WHEN h + 1 + n <= {cap} THEN h + 1 + n WHEN header <> '' AND len(header) + 1 + n <= {cap} THEN len(header) + 1 + n ELSE n END,
+    n <= {cap} AND h > 0 AND h + 1 + n > {cap} AND header <> '' AND len(header) + 1 + n <= {cap}
+  FROM (SELECT l.*, q.block, CASE WHEN l.opens THEN 0 ELSE q.held END AS h FROM packed q JOIN line l ON l.source_path = q.source_path AND l.k = q.k + 1)),
+piece AS (SELECT source_path, k, line, n, header, block, again FROM packed JOIN line USING (source_path, k)),
+block AS (SELECT source_path, block AS b, string_agg(CASE WHEN again THEN header || chr(10) || line ELSE line END, chr(10) ORDER BY k) AS x FROM piece WHERE n <= {cap} GROUP BY ALL
+  UNION ALL SELECT source_path, block - c + j + 1, substr(line, (j * {cap} + 1)::BIGINT, {cap}) FROM (SELECT *, unnest(range(c)) AS j FROM (SELECT *, (n + {cap - 1}) // {cap} AS c FROM piece WHERE n > {cap}))),
+mark AS (SELECT *, {_heading("line")} AS name, regexp_matches(line, '^(?i:表|图|Table|Figure)\\s*[0-9]+') AS caption FROM (SELECT source_path, b, trim(unnest(z)) AS line, unnest(range(len(z))) AS i FROM (SELECT source_path, b, string_split(x, chr(10)) AS z FROM block))),
+sect AS (SELECT *, NOT caption AND len(line) <= {chunking.SECTION_MOST} AND regexp_matches(line, '^(#{{1,6}}\\s+\\S|[0-9]{{1,3}}(\\.[0-9]{{1,3}}){{0,3}}[.、]?\\s+\\S)') AS section FROM mark),
+trail AS (SELECT source_path, b, max(CASE WHEN section THEN i END) AS s, max(CASE WHEN caption THEN i END) AS c, arg_max(name, i) FILTER (section) AS clause, arg_max(name, i) FILTER (caption) AS named FROM sect GROUP BY ALL),
+lists AS MATERIALIZED (SELECT source_path, list(x ORDER BY b) AS x, list(len(x) ORDER BY b) AS n, list(clause ORDER BY b) AS s, list(CASE WHEN c > coalesce(s, -1) THEN named WHEN s IS NOT NULL THEN '' END ORDER BY b) AS c FROM block JOIN trail USING (source_path, b) GROUP BY ALL),
+known AS MATERIALIZED (SELECT source_path, {_heading("title")} AS title, x, s, c, len(x) AS total, list_transform(range(len(x) + 1), lambda i: coalesce(list_sum(n[1:i]), 0)::BIGINT) AS upto FROM lists JOIN doc USING (source_path)),
+grown(source_path, chunk_index, first, next, clause, caption, stop, label) AS (SELECT source_path, -1, 0::BIGINT, 0::BIGINT, '', '', 0::BIGINT, '' FROM known
+  UNION ALL SELECT source_path, chunk_index + 1, next, CASE WHEN stop = total THEN total ELSE greatest(next + 1, list_filter(range(stop + 1), lambda j: upto[stop + 1] - upto[j + 1] <= {overlap})[1]) END,
+    coalesce(list_filter(s[next + 1:stop], lambda x: x IS NOT NULL)[-1], clause), coalesce(list_filter(c[next + 1:stop], lambda x: x IS NOT NULL)[-1], caption), stop, label
+  FROM (SELECT *, next + 1 + len(list_filter(range(next + 2, total + 1), lambda e: upto[e + 1] - upto[next + 1] + 2 * (e - next - 1) <= greatest({size} - len(label), 1))) AS stop
+    FROM (SELECT *, {_crumb("clause", "caption", budget)} AS label FROM (SELECT g.source_path, g.chunk_index, g.next, coalesce(k.s[g.next + 1], g.clause) AS clause, coalesce(k.c[g.next + 1], g.caption) AS caption, k.title, k.s, k.c, k.total, k.upto FROM grown g JOIN known k ON k.source_path = g.source_path AND g.next < k.total)))),
+chunk AS (SELECT source_path, chunk_index, CASE WHEN label = '' THEN '' ELSE label || chr(10) END || array_to_string(x[first + 1:stop], chr(10) || chr(10)) AS content FROM grown JOIN known USING (source_path) WHERE chunk_index >= 0)"""
+
+
+#: A document's text by its file's name as a title, in SQL.
+_DOC = f"{SRC}, doc AS (SELECT source_path, coalesce(content, '') AS content, doc_id::VARCHAR AS title FROM src)"
+#: What gives a plain text structure: sentences become lines, and some lines headings, clauses, captions, tables and ends of paragraphs.
+_SHAPES = [(r"\. ", ".\n"), (r"\n([A-D])", "\n\n@1"), (r"\n(E[^\n]{0,38})", "\n## @1\n"), (r"\n(S[^\n]{0,30})", "\n3.1 @1\n"), (r"\n(I[^\n]{0,30})", "\n\nTable 7 @1\n"), (r"\n([L-N][^\n,]*),([^\n]*)", "\n\n| @1 | x |\n|---|:-:|\n|@2 |")]
+
+
+def _shaped_sql(c: str) -> str:
+    for pattern, by in _SHAPES:
+        c = f"regexp_replace({c}, '{pattern}', '{by}', 'g')".replace("@", "\\").replace("\n", "' || chr(10) || '")
+    return c
+
+
 def _chunks(spark: SparkSession, sf: str) -> DataFrame:
     d = src(spark, sf)
     return chunking.chunks(d.select("source_path", "content", text.title_of(F.col("source_path")).alias("title")))
 
 
-@query()
+def _digests(chunks: DataFrame) -> DataFrame:
+    return chunks.select("source_path", "chunk_index", F.length("content").cast("long").alias("n_chars"), F.md5(F.col("content").cast("binary")).alias("digest"))
+
+
+_DIGESTS = "SELECT source_path, chunk_index, len(content) AS n_chars, md5(content) AS digest FROM chunk"
+
+
+@query(f"WITH RECURSIVE {_DOC}, {_chunk_sql()} {_DIGESTS}")
 def chunk_structural(spark: SparkSession, sf: str) -> DataFrame:
-    return _chunks(spark, sf).select("source_path", "chunk_index", F.length("content").cast("long").alias("n_chars"), F.md5(F.col("content").cast("binary")).alias("digest"))
+    return _digests(_chunks(spark, sf))
 
 
-@query()
+@query(f"WITH RECURSIVE {_DOC}, {_chunk_sql()} SELECT source_path, count(*) AS n, max(chunk_index) AS last FROM chunk GROUP BY ALL")
 def chunk_counts(spark: SparkSession, sf: str) -> DataFrame:
     return _chunks(spark, sf).groupBy("source_path").agg(F.count("*").alias("n"), F.max("chunk_index").alias("last"))
 
 
+@query(f"WITH RECURSIVE {SRC}, doc AS (SELECT source_path, {_shaped_sql('coalesce(content, ' + repr('') + ')')} AS content, doc_id::VARCHAR AS title FROM src), {_chunk_sql(300, 80)} {_DIGESTS}")
+def chunk_sections(spark: SparkSession, sf: str) -> DataFrame:
+    """Every document with paragraphs, headings, clauses, captions and tables put into its text, in small chunks that overlap."""
+    content = F.coalesce("content", F.lit(""))
+    for pattern, by in _SHAPES:
+        content = F.regexp_replace(content, pattern, by.replace("@", "$"))
+    return _digests(chunking.chunks(src(spark, sf).select("source_path", content.alias("content"), text.title_of(F.col("source_path")).alias("title")), 300, 80))
+
+
 @query(f"WITH {SRC} SELECT doc_id, substr(sha256(source_path), 1, 12) || '_' || (doc_id % 3) AS chunk_uid FROM src")
 def chunk_uid(spark: SparkSession, sf: str) -> DataFrame:
     return src(spark, sf).select("doc_id", text.uid(F.col("source_path"), F.col("doc_id") % 3).alias("chunk_uid"))

@@ -82,6 +82,8 @@ def test_vectors(spark):
 def test_text(spark):
     lit = F.lit
     assert one(spark, text.normalize(lit("a \r\n\r\n\r\n\r\nb\u0007\t\n"))) == "a\n\nb"
+    assert one(spark, text.trim_all(lit("\ufeff\u3000 a\u00a0b\u2009\n\x0b"))) == "a\u00a0b" and one(spark, text.trim_all(lit(" \t"))) == ""
+    assert one(spark, text.trim_all(lit(text.SPACES))) == "" and one(spark, text.trim_all(F.regexp_replace(lit(text.SPACES), f"[{text.JS_SPACE}]", "x"))) == "x" * len(text.SPACES)
     assert one(spark, text.excerpt(lit("hello world"), 6)) == "hello…"
     assert search.query_terms('a"b') == ["a", "b"] and search.query_terms("电子政务数据元 设计方法") == ["电子政务数据元", "设计方法"]
     assert one(spark, plans.dedup_key(lit("GB_50016-2014"))) == "gb500162014"
