@@ -279,9 +279,9 @@ _LINES = f"""l AS (SELECT doc_id, i - 1 AS line_no, {_SAID} AS line FROM (SELECT
 
 
 def _said(spark: SparkSession, sf: str) -> DataFrame:
-    lines = F.transform(F.split("text", " "), lambda s, i: F.length(s) + i)
-    rows = table(spark, sf, "documents").select("doc_id", F.posexplode(lines).alias("k", "n")).selectExpr("doc_id", "k", f"{_SAID} AS line")
-    return rows.groupBy("doc_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("k", "line"))), lambda x: x["line"]), "\n").alias("content"))
+    """(doc_id, content): each text's lines are made where it lies, without a shuffle of words."""
+    lengths = "transform(split(text, ' '), (s, i) -> length(s) + i)"
+    return table(spark, sf, "documents").where("text is not null").selectExpr("doc_id", f"array_join(transform({lengths}, n -> {_SAID}), '\\n') AS content")
 
 
 @query(
@@ -302,8 +302,12 @@ def indicators_in_texts(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(rf"WITH {_LINES} SELECT doc_id, regexp_replace(regexp_extract(string_agg(line, chr(10) ORDER BY line_no), '{extraction.STANDARD}', 0), '\s+', '', 'g') AS standard FROM l GROUP BY doc_id")
 def standards_in_texts(spark: SparkSession, sf: str) -> DataFrame:
-    """The first standard that each of these texts names."""
-    return _said(spark, sf).select("doc_id", extraction.standard_no(F.col("content")).alias("standard"))
+    """The first standard that each of these texts names; rows of one doc_id are one text, by their lines' places."""
+    named = _said(spark, sf).select("doc_id", "content", F.regexp_extract("content", extraction.STANDARD, 0).alias("whole"))
+    before = F.substring(F.col("content"), F.lit(1), F.call_function("locate", F.col("whole"), F.col("content")))
+    line = F.when(F.col("whole") != "", F.length(before) - F.length(F.replace(before, F.lit("\n"), F.lit(""))))
+    first = named.select("doc_id", extraction.standard_no(F.col("whole")).alias("standard"), line.alias("line")).groupBy("doc_id").agg(F.min_by("standard", "line").alias("standard"))
+    return first.select("doc_id", F.coalesce("standard", F.lit("")).alias("standard"))
 
 
 def _limits(spark: SparkSession, sf: str) -> DataFrame:
