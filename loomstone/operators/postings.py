@@ -30,6 +30,8 @@ SPLITS = 8
 POSTINGS = Keyed("postings", "gram long, uid string, dl int, at array<int>", TAG, split=f"pmod(xxhash64(gram), {SPLITS})")
 #: Empty places between the content and the path, so that no term runs from one into the other.
 GAP = 3
+#: How many chunks one task indexes, and up to how many changed sources go to all tasks.
+PER_PART, FEW = 2048, 1 << 20
 
 
 def code(gram: str) -> int:
@@ -76,23 +78,34 @@ def postings(chunks: DataFrame) -> DataFrame:
     return chunks.select("uid", F.lower("content").alias("c"), F.lower("source_path").alias("p"), length(F.col("content"), F.col("source_path")).alias("dl")).mapInArrow(run, POSTINGS.schema)
 
 
-def facts(chunks: DataFrame) -> dict[str, int]:
-    """The number of chunks and the sum of their lengths."""
-    n, total = chunks.agg(F.count("*"), F.coalesce(F.sum(length(F.col("content"), F.col("source_path"))), F.lit(0))).first()
+def facts(chunks: DataFrame, keys: DataFrame | None = None) -> dict[str, int]:
+    """The number of chunks and the sum of their lengths; of those with one of the keys (k) only, if any are given."""
+    rows = chunks.select(F.expr(TAG).alias("k"), length(F.col("content"), F.col("source_path")).alias("n"))
+    rows = rows if keys is None else rows.join(keys, "k", "left_semi")
+    n, total = rows.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
     return {"chunks": n, "length": total}
 
 
+def _by_bucket(chunks: DataFrame, n: int) -> DataFrame:
+    """Chunks (n of them) so dealt that a task's lie in one or two buckets: texts are shuffled, which is a small part of their postings."""
+    return chunks.repartitionByRange(n // PER_PART + 1, POSTINGS.bucket(F.expr(TAG)), "uid")
+
+
 def indexed(change: Change, table: Keyed, new: DataFrame | None, gone: DataFrame | None) -> list[int]:
-    """Chunks, their postings and the facts after a change: the sources of ``new`` and the tags of ``gone`` lose what they had, then new's are added."""
+    """Chunks, their postings and the facts after a change: the sources of ``new`` and the tags of ``gone`` lose what they had, then new's are added.
+
+    Postings are not shuffled: new ones come from chunks dealt by bucket, old ones lie so.
+    """
     keys = [x for x in (new.select(F.expr(TAG).alias("k")) if new is not None else None, gone.select(F.col(gone.columns[0]).alias("k")) if gone is not None else None) if x is not None]
-    keys = (keys[0].unionByName(keys[1]) if len(keys) > 1 else keys[0]).distinct()
+    keys = settled((keys[0].unionByName(keys[1]) if len(keys) > 1 else keys[0]).distinct())
+    keys = F.broadcast(keys) if keys.count() <= FEW else keys
     touched = change.touched(table, keys)
-    before = facts(change.read(table, touched).withColumn("k", F.expr(TAG)).join(keys, "k", "left_semi"))
+    before = facts(change.read(table, touched), keys)
     after = facts(new) if new is not None else {"chunks": 0, "length": 0}
     had = {**{"chunks": 0, "length": 0}, **change.base["facts"], **change.facts}
     change.facts |= {k: had[k] - before[k] + after[k] for k in before}
-    change.replace(POSTINGS, None if new is None else postings(new), keys, touched if POSTINGS.buckets == table.buckets else None)
-    return change.replace(table, new, keys, touched)
+    change.replace(POSTINGS, None if new is None else postings(_by_bucket(new, after["chunks"])), keys, touched if POSTINGS.buckets == table.buckets else None, keys, True)
+    return change.replace(table, new, keys, touched, keys)
 
 
 def matches(store: Store, terms: list[str], version: int | None = None) -> DataFrame:

@@ -151,13 +151,14 @@ class Change:
         """The table as this change leaves it."""
         return self.store.read(table, buckets=buckets, manifest=self._now())
 
-    def _write(self, table: Keyed, rows: DataFrame) -> dict[str, str]:
-        """Rows in a new folder, by bucket; which buckets have any."""
+    def _write(self, table: Keyed, rows: DataFrame, dealt: bool = False) -> dict[str, str]:
+        """Rows in a new folder, by bucket; which buckets have any. ``dealt`` rows lie by buckets as they come, and are not shuffled."""
         self.steps += 1
         ver = f"{self.ver}-{self.steps}"
         by = ["bucket"] + (["split"] if table.split else [])
         out = rows.select(*table.columns, table.bucket(F.expr(table.key)).alias("bucket"), *([F.expr(table.split).cast("int").alias("split")] if table.split else []))
-        out.hint("rebalance", *by).sortWithinPartitions(*by, table.columns[0]).write.partitionBy(*by).parquet(f"{self.store.root}/{table.name}/ver={ver}")
+        out = out if dealt else out.hint("rebalance", *by)
+        out.sortWithinPartitions(*by, table.columns[0]).write.partitionBy(*by).parquet(f"{self.store.root}/{table.name}/ver={ver}")
         return {n[7:]: ver for n in self.store._names(f"{table.name}/ver={ver}") if n.startswith("bucket=")}
 
     def write(self, table: Keyed, rows: DataFrame) -> None:
@@ -171,19 +172,20 @@ class Change:
         """The buckets that keys (k) lie in; as many as there are buckets at most."""
         return sorted(r[0] for r in keys.select(table.bucket(F.col("k"))).distinct().collect())
 
-    def replace(self, table: Keyed, new: DataFrame | None, gone: DataFrame | None = None, touched: list[int] | None = None) -> list[int]:
+    def replace(self, table: Keyed, new: DataFrame | None, gone: DataFrame | None = None, touched: list[int] | None = None, keys: DataFrame | None = None, dealt: bool = False) -> list[int]:
         """K1, K2: the keys of ``new`` and of ``gone`` (one column) lose their rows, then new's are added. Returns the buckets that are written again.
 
-        ``new`` is read more than once: give stored rows.  ``touched`` are those buckets, where they are known.
+        ``new`` is read more than once: give stored rows.  ``touched`` are those buckets, and ``keys`` (k)
+        all keys of both, where they are known; ``dealt`` says that new's rows lie by buckets as they come.
         """
-        keys = [x for x in (new.select(F.expr(table.key).alias("k")) if new is not None else None, gone.select(F.col(gone.columns[0]).alias("k")) if gone is not None else None) if x is not None]
+        keys = [keys] if keys is not None else [x for x in (new.select(F.expr(table.key).alias("k")) if new is not None else None, gone.select(F.col(gone.columns[0]).alias("k")) if gone is not None else None) if x is not None]
         keys = keys[0].unionByName(keys[1]) if len(keys) > 1 else keys[0]
         touched = self.touched(table, keys) if touched is None else touched
         if not touched:
             return []
         kept = self.read(table, touched).select(*table.columns)
         kept = kept.withColumn("k", F.expr(table.key)).join(keys, "k", "left_anti").select(*table.columns)
-        written = self._write(table, kept if new is None else kept.unionByName(new.select(*table.columns)))
+        written = self._write(table, kept if new is None else kept.unionByName(new.select(*table.columns)), dealt)
         at = self._now()["tables"].get(table.name, {})
         self.tables[table.name] = {b: v for b, v in at.items() if int(b) not in touched} | written
         return touched

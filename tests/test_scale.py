@@ -1,7 +1,8 @@
 """What keeps queries from growing faster than their tables: how rows are dealt, and what is shuffled."""
 
-from loomstone.operators import extraction, plans
-from loomstone.plans import catalogue
+from loomstone.operators import extraction, plans, postings
+from loomstone.plans import catalogue, search_queries
+from loomstone.sources.store import Change, Store
 
 
 def plan(df) -> str:
@@ -33,3 +34,17 @@ def test_titles_behind_enough_longer_ones_are_dropped(spark):
     title = spark.createDataFrame([(1, t) for t in ("aaaa", "bbb", "cc")], "window long, title string")
     best = lambda most: {r.title for r in plans._best(title, pages, most).collect()}
     assert best(3) == {"aaaa"} and best(4) == {"aaaa", "bbb"} and best(7) == {"aaaa", "bbb", "cc"}
+
+
+def test_postings_are_written_without_a_shuffle(spark, tmp_path, monkeypatch):
+    written, write = [], Change._write
+    monkeypatch.setattr(Change, "_write", lambda self, table, rows, *more: written.append((table.name, more)) or write(self, table, rows, *more))
+    store = Store(spark, str(tmp_path / "index"))
+    chunks = lambda *texts: spark.createDataFrame([(f"{k:012d}_0", t, f"raw/{k}.txt") for k, t in enumerate(texts)], "uid string, content string, source_path string")
+    for state in (chunks("thatin a", "b thatin thatin", "c"), chunks("none", "thatin")):
+        change = store.change()
+        postings.indexed(change, search_queries._CHUNKS, state, None)
+        change.commit()
+    assert [more for name, more in written if name == "postings"] == [(True,), (True,)]
+    assert {(r.uid, r.tf) for r in postings.matches(store, ["thatin"]).collect()} == {("000000000001_0", 1)}
+    assert store.manifest()["facts"]["chunks"] == 3
