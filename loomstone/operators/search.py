@@ -62,14 +62,15 @@ def weighted_occurrences(chunks: DataFrame, query: str, top: int) -> DataFrame:
 
 def vector_top(vecs: DataFrame, query: list[float], top: int) -> DataFrame:
     """L2: (uid, distance) of the nearest vectors."""
-    q = F.array(*[F.lit(float(x)) for x in query])
-    return vecs.select("uid", vectors.cosine_distance(vectors.doubles(F.col("embedding")), q).alias("distance")).orderBy("distance", "uid").limit(top)
+    vecs = vecs.select("uid", vectors.doubles(F.col("embedding")).alias("v"))
+    return vecs.select("uid", vectors.distance_to(F.col("v"), query).alias("distance")).orderBy("distance", "uid").limit(top)
 
 
 def shortlist(vecs: DataFrame, query: list[float], lexical_hits: DataFrame, size: int) -> DataFrame:
     """(uid, score) of the best sketches, lexical hits raised by 2."""
-    q = vectors.sketch(F.array(*[F.lit(float(x)) for x in query]))
-    s = vecs.select("uid", (1 - vectors.cosine_distance(vectors.sketch(vectors.doubles(F.col("embedding"))), q)).alias("s"))
+    # a row of its own for the sketch, which the distance takes several times, and not made again for each
+    sketches = vecs.select("uid", vectors.sketch(vectors.doubles(F.col("embedding"))).alias("v"))
+    s = sketches.select("uid", (1 - vectors.distance_to(F.col("v"), vectors.sketched(query))).alias("s"))
     hits = lexical_hits.select("uid", F.lit(2.0).alias("boost"))
     return s.join(hits, "uid", "left").select("uid", (F.col("s") + F.coalesce("boost", F.lit(0.0))).alias("score")).orderBy(F.desc("score"), "uid").limit(size)
 

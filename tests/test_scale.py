@@ -1,8 +1,16 @@
 """What keeps queries from growing faster than their tables: how rows are dealt, and what is shuffled."""
 
-from loomstone.operators import extraction, plans, postings
+import random
+
+from pyspark.sql import Row
+from pyspark.sql import functions as F
+
+from loomstone.functions import vectors
+from loomstone.operators import chunking, extraction, plans, postings
+from loomstone.operators.jobs import STEPS
 from loomstone.plans import catalogue, search_queries
 from loomstone.sources.store import Change, Store
+from loomstone.streaming.stateful import Queue
 
 
 def plan(df) -> str:
@@ -48,3 +56,11 @@ def test_postings_are_written_without_a_shuffle(spark, tmp_path, monkeypatch):
     assert [more for name, more in written if name == "postings"] == [(True,), (True,)]
     assert {(r.uid, r.tf) for r in postings.matches(store, ["thatin"]).collect()} == {("000000000001_0", 1)}
     assert store.manifest()["facts"]["chunks"] == 3
+
+
+def test_a_fixed_vector_is_worked_out_once(spark):
+    q, rows = [0.5, -1.25, 3.0, 0.1], [([1.0, 2.0, 3.0, 4.0],), ([0.0, 0.0, 0.0, 0.0],), ([1.5, 0.25],), ([1.0, 2.0, 3.0, 4.0, 5.0],)]
+    fixed = F.array(*[F.lit(x) for x in q])
+    df = spark.createDataFrame(rows, "v array<double>").select(vectors.cosine_distance(F.col("v"), fixed).alias("a"), vectors.distance_to(F.col("v"), q).alias("b"), vectors.sketch(fixed, 3).alias("c"))
+    assert all(r.a == r.b and r.c == vectors.sketched(q, 3) for r in df.collect())
+    assert plan(catalogue.QUERIES["sketch_shortlist"](spark, "/root/testdata/sf0.001")).count("sequence(") <= 1  # it was made again for each use
