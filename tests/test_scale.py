@@ -64,3 +64,10 @@ def test_a_fixed_vector_is_worked_out_once(spark):
     df = spark.createDataFrame(rows, "v array<double>").select(vectors.cosine_distance(F.col("v"), fixed).alias("a"), vectors.distance_to(F.col("v"), q).alias("b"), vectors.sketch(fixed, 3).alias("c"))
     assert all(r.a == r.b and r.c == vectors.sketched(q, 3) for r in df.collect())
     assert plan(catalogue.QUERIES["sketch_shortlist"](spark, "/root/testdata/sf0.001")).count("sequence(") <= 1  # it was made again for each use
+
+
+def test_chunks_leave_the_worker_a_few_texts_at_a_time(spark):
+    texts = [(str(k), f"a{k}. " * 400, "t") for k in range(chunking.STEP * 2 + 1)]
+    got = chunking.chunks(spark.createDataFrame(texts, "source_path string, content string, title string"), 300, 50)
+    assert "mapinarrow" in plan(got).lower()  # a frame of all chunks of a batch was made before
+    assert sorted(map(tuple, got.collect())) == sorted((p, i, c) for p, t, n in texts for i, c in enumerate(chunking.chunk_text(t, 300, 50, n)))
