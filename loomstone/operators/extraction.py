@@ -20,6 +20,8 @@ BOUND = rf"({'|'.join(BOUND_WORDS)})[\s　]*([0-9]+(?:\.[0-9]+)?)[\s　]*([^{STO
 STANDARD = r"(?i)(GB/T|GBZ|GB|JGJ|JTG|CJJ|DL/T|SH/T|QB/T|YB/T|HG/T|T/[A-Z]{2,})[\s/]*[0-9]+(?:[.-][0-9A-Za-z]+)*"
 MARKER = "> ⚠️ **潜在冲突**"
 PER_FILE = 200
+#: Parts that the existing rows of one name and unit are dealt into.
+SLOTS = 32
 #: How long a name may be, and how many texts one task takes apart.
 NAME_MOST, PER_PART = 20, 1024
 #: What a pattern of Java's tells fast: words by their first characters (none begins another one, so their order says nothing) and STOP in ranges.
@@ -86,10 +88,19 @@ def classified(direction_a: Column, direction_b: Column, a: Column, b: Column) -
 
 
 def numeric_conflicts(incoming: DataFrame, existing: DataFrame) -> DataFrame:
-    """Pairs of indicators with one name and unit; an equi-join, so it is partitioned by both."""
-    a, b = incoming.alias("a"), existing.alias("b")
+    """Pairs of indicators with one name and unit; an equi-join, partitioned by both and by a slot.
+
+    There are as many rows as pairs, which grow with the square of a name's and unit's
+    rows, so their number, not the input's size, must say how the work is dealt:
+    existing rows go to SLOTS parts of their group, incoming ones to each, and the
+    parts to as many tasks as the session's shuffles have, which are not put together.
+    """
     finite = lambda c: F.col(c).isNotNull() & ~F.isnan(c) & (F.abs(F.col(c)) != float("inf"))
-    joined = a.join(b, (F.col("a.indicator_name") == F.col("b.indicator_name")) & (F.col("a.unit") == F.col("b.unit"))).where(finite("a.value") & finite("b.value"))
+    by, tasks = ["indicator_name", "unit", "slot"], int(existing.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = lambda rows, slot: rows.where(finite("value")).withColumn("slot", slot).repartition(tasks, *by)
+    a = dealt(incoming, F.explode(F.sequence(F.lit(0), F.lit(SLOTS - 1)))).alias("a")
+    b = dealt(existing, F.pmod(F.xxhash64(*existing.columns), F.lit(SLOTS)).cast("int")).alias("b")
+    joined = a.join(b, (F.col("a.indicator_name") == F.col("b.indicator_name")) & (F.col("a.unit") == F.col("b.unit")) & (F.col("a.slot") == F.col("b.slot")))
     side = lambda s: F.struct(F.col(f"{s}.standard_no").alias("no"), F.col(f"{s}.clause_no").alias("clause"), F.col(f"{s}.value").alias("value"), F.col(f"{s}.unit").alias("unit"))
     return joined.select(F.col("a.indicator_name").alias("indicator_name"), side("a").alias("standard_a"), side("b").alias("standard_b"), classified(F.col("a.direction"), F.col("b.direction"), F.col("a.value"), F.col("b.value")).alias("type"))
 

@@ -71,3 +71,10 @@ def test_chunks_leave_the_worker_a_few_texts_at_a_time(spark):
     got = chunking.chunks(spark.createDataFrame(texts, "source_path string, content string, title string"), 300, 50)
     assert "mapinarrow" in plan(got).lower()  # a frame of all chunks of a batch was made before
     assert sorted(map(tuple, got.collect())) == sorted((p, i, c) for p, t, n in texts for i, c in enumerate(chunking.chunk_text(t, 300, 50, n)))
+
+
+def test_pairs_of_one_name_and_unit_are_made_by_several_tasks(spark):
+    rows = spark.range(400).selectExpr("concat('n', id) AS standard_no", "'1' AS clause_no", "'x' AS indicator_name", "cast(id AS double) AS value", "'m' AS unit", "'lower' AS direction")
+    found = extraction.numeric_conflicts(rows.where("value < 20"), rows.where("value >= 20"))
+    assert found.count() == 20 * 380 and found.distinct().count() == 20 * 380
+    assert found.select(F.spark_partition_id().alias("k")).distinct().count() > 1
