@@ -10,9 +10,11 @@ later batches hold later rows.
 
 from __future__ import annotations
 
+from array import array
 from collections.abc import Iterator
 from contextlib import contextmanager
 
+import numpy as np
 from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
@@ -91,6 +93,27 @@ def settled_files(events: DataFrame, quiet: int = 2000, late: str = "0 seconds",
     return run(timed(events, late=late).select("path", "ts", "ms", "kind"), "path", Settling(quiet), SETTLED, checkpoint=checkpoint)
 
 
+_CHANGE = Row("lib", "rel", "status", "progress", "error", "seq")
+
+
+def _in_order(rows: Iterator[Row]) -> Iterator[tuple]:
+    """Commands as (seq, ms, rel, action, front), in that order; held as numbers, names once each."""
+    seqs, times, codes, names = array("q"), array("q"), array("q"), {}
+    for r in rows:
+        seqs.append(r["seq"])
+        times.append(r["ms"])
+        codes.append(names.setdefault((r["rel"], r["action"], bool(r["front"])), len(names)))
+    ranked = sorted(names)
+    rank = np.empty(len(names), np.int64)
+    rank[[names[x] for x in ranked]] = np.arange(len(names))
+    seq, ms, code = np.frombuffer(seqs, np.int64), np.frombuffer(times, np.int64), rank[np.frombuffer(codes, np.int64)]
+    order = np.lexsort((code, ms, seq))
+    for k in range(0, len(order), 10_000):
+        part = order[k : k + 10_000]
+        for s, m, c in zip(seq[part].tolist(), ms[part].tolist(), code[part].tolist(), strict=True):
+            yield (s, m, *ranked[c])
+
+
 class Queue(StatefulProcessor):
     """One library's queue of files, as commands (seq, ms, rel, action, front) change it.
 
@@ -101,7 +124,8 @@ class Queue(StatefulProcessor):
     do what they say, and ``restart`` fails what was at work.  A claim is a lease: after
     ``lease`` milliseconds without an end the file has failed.  Waiting files lie in a
     map from their place to their name, places running downwards in front and upwards
-    behind, so no command reads the queue.
+    behind, so no command reads the queue.  The commands of one batch work on what they
+    have seen of the state, which is asked for each file once and told what is left.
     """
 
     def __init__(self, lease: int, steps: dict[str, int], interrupted: str = "interrupted"):
@@ -114,45 +138,66 @@ class Queue(StatefulProcessor):
         self.places = handle.getMapState("places", "rel string", "place long")
 
     def _said(self, lib, rel, status, seq, error=None) -> Row:
-        return Row(lib=lib, rel=rel, status=status, progress=self.steps[status], error=error, seq=seq)
-
-    def _forget(self, rel) -> None:
-        place = self.places.getValue((rel,))[0]
-        self.waiting.removeKey((place,))
-        self.places.removeKey((rel,))
+        return _CHANGE(lib, rel, status, self.steps[status], error, seq)
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
-        lib = key[0]
+        lib, fresh = key[0], not self.control.exists()
         # places from head up to, not including, tail; ``at`` is the file at work
-        paused, head, tail, at, since, last = self.control.get() if self.control.exists() else (False, 0, 0, None, None, None)
-        for seq, ms, rel, action, front in sorted((r["seq"], r["ms"], r["rel"], r["action"], bool(r["front"])) for r in rows):
+        paused, head, tail, at, since, last = (False, 0, 0, None, None, None) if fresh else self.control.get()
+        # what these commands have seen of the state and changed in it; the state is told at the end
+        had, places, waiting = {}, {}, {}
+
+        def place_of(rel):
+            if rel not in places:
+                had[rel] = places[rel] = None if fresh or not self.places.containsKey((rel,)) else self.places.getValue((rel,))[0]
+            return places[rel]
+
+        def waits(place):
+            if place not in waiting and not fresh and self.waiting.containsKey((place,)):
+                waiting[place] = self.waiting.getValue((place,))[0]
+            return waiting.get(place)
+
+        def forget(rel):
+            waiting[place_of(rel)], places[rel] = None, None
+
+        for seq, ms, rel, action, front in _in_order(rows):
             if at is not None and ms - since >= self.lease:
                 yield self._said(lib, at, "failed", last, self.interrupted)  # before this command, after the last one
                 at = None
             last = seq
             if action == "enqueue":
-                if not self.places.containsKey((rel,)):
+                if place_of(rel) is None:
                     place, head, tail = (head - 1, head - 1, tail) if front else (tail, head, tail + 1)
-                    self.waiting.updateValue((place,), (rel,))
-                    self.places.updateValue((rel,), (place,))
+                    waiting[place], places[rel] = rel, place
                 yield self._said(lib, rel, "queued", seq)
             elif action == "claim" and at is None and not paused:
-                while head < tail and not self.waiting.containsKey((head,)):
+                while head < tail and waits(head) is None:
                     head += 1  # one that was removed
                 if head < tail:
-                    at, since = self.waiting.getValue((head,))[0], ms
-                    self._forget(at)
+                    at, since = waits(head), ms
+                    forget(at)
                     head += 1
                     yield self._said(lib, at, "parsing", seq)
             elif action in ("done", "fail", "restart") and at is not None:
                 yield self._said(lib, at, "done" if action == "done" else "failed", seq, {"fail": "failed", "restart": self.interrupted}.get(action))
                 at = None
             elif action == "remove":
-                if self.places.containsKey((rel,)):
-                    self._forget(rel)
-                yield Row(lib=lib, rel=rel, status="removed", progress=0, error=None, seq=seq)
+                if place_of(rel) is not None:
+                    forget(rel)
+                yield _CHANGE(lib, rel, "removed", 0, None, seq)
             elif action in ("pause", "resume"):
                 paused = action == "pause"
+        for rel, place in places.items():
+            if place != had[rel]:
+                if had[rel] is not None:
+                    self.waiting.removeKey((had[rel],))
+                if place is None:
+                    self.places.removeKey((rel,))
+                else:
+                    self.places.updateValue((rel,), (place,))
+        for rel, place in places.items():  # behind the removals, as a place may have got another file
+            if place is not None and place != had[rel]:
+                self.waiting.updateValue((place,), (rel,))
         self.control.update((paused, head, tail, at, since, last))
         for t in list(self.handle.listTimers()):
             self.handle.deleteTimer(t)

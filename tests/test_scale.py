@@ -78,3 +78,56 @@ def test_pairs_of_one_name_and_unit_are_made_by_several_tasks(spark):
     found = extraction.numeric_conflicts(rows.where("value < 20"), rows.where("value >= 20"))
     assert found.count() == 20 * 380 and found.distinct().count() == 20 * 380
     assert found.select(F.spark_partition_id().alias("k")).distinct().count() > 1
+
+
+class _Handle:
+    """A state that lies in dicts and counts how often it is asked."""
+
+    def __init__(self):
+        self.asked, self.at, self.held = 0, None, {}
+
+    def getValueState(self, name, schema):
+        handle = self
+
+        class Value:
+            exists = lambda self: handle.at is not None
+            get = lambda self: handle.at
+
+            def update(self, value):
+                handle.at = value
+
+        return Value()
+
+    def getMapState(self, name, *schemas):
+        handle, held = self, self.held.setdefault(name, {})
+
+        def asked(f):
+            def call(self, *a):
+                handle.asked += 1
+                return f(*a)
+
+            return call
+
+        return type("Map", (), {"containsKey": asked(lambda k: k in held), "getValue": asked(lambda k: held[k]), "updateValue": asked(held.__setitem__), "removeKey": asked(held.__delitem__)})()
+
+    listTimers = lambda self: []
+    registerTimer = deleteTimer = lambda self, t: None
+
+
+def test_a_batch_of_commands_asks_the_state_for_each_file_once():
+    r = random.Random(5)
+    commands = [Row(seq=k, ms=k * 10, rel=f"r{r.randrange(20)}", action=r.choice(["enqueue", "enqueue", "claim", "done", "fail", "remove", "pause", "resume", "restart"]), front=r.random() < 0.3) for k in range(3000)]
+
+    def said(*batches):
+        handle = _Handle()
+        out, queue = [], Queue(300, STEPS)
+        queue.init(handle)
+        for rows in batches:
+            r.shuffle(rows)
+            out += queue.handleInputRows(("a",), iter(rows), None)
+        return out, handle
+
+    (one, first), (many, second) = said(commands[:]), said(*[commands[k : k + 7] for k in range(0, 3000, 7)])
+    assert one == many and first.at == second.at
+    assert {k: list(v) for k, v in first.held.items()}.keys() == second.held.keys() and all(first.held[k] == second.held[k] for k in first.held)
+    assert first.asked <= 4 * 20
