@@ -385,7 +385,7 @@ _NAMED = [("entities/gb-1.md", "GB 1"), ("entities/GB标1.md", "GB1"), ("concept
 
 def _named_by_texts(d: DataFrame) -> DataFrame:
     """(path, title, doc_id): a page for each document, named by its first words."""
-    first, second = F.split_part("text", F.lit(" "), F.lit(1)), F.split_part("text", F.lit(" "), F.lit(2))
+    first, second = F.substring_index("text", " ", 1), F.split_part(F.substring_index("text", " ", 2), F.lit(" "), F.lit(2))  # not the whole text in parts
     return d.select(F.concat(F.lit("entities/"), second, F.lit("-"), F.col("doc_id").cast("string"), F.lit(".md")).alias("path"), F.concat(first, F.lit(" "), second).alias("title"), "doc_id")
 
 
