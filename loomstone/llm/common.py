@@ -8,7 +8,6 @@ chunk) and never the table.
 
 from __future__ import annotations
 
-import gc
 import hashlib
 import os
 import tempfile
@@ -22,6 +21,8 @@ from pyspark.core.broadcast import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from loomstone.session import collected
+
 CHUNK_BYTES = 1 << 18
 #: Words are runs of anything but space and the control characters 9 to 13.
 SPACE = np.zeros(256, bool)
@@ -46,18 +47,6 @@ def ready(spark: SparkSession) -> None:
         sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="checkpoint-"))
 
 
-def collected(spark: SparkSession) -> None:
-    """Asks the driver's collector to look before a step.
-
-    Spark drops shuffle and checkpoint files (these where
-    spark.cleaner.referenceTracking.cleanCheckpoints is set) when the collector finds that
-    nothing refers to them; those of the steps before would else add up on the disks, as
-    would the garbage of many plans in the driver's heap.
-    """
-    gc.collect()  # what Python holds in cycles
-    spark.sparkContext._jvm.System.gc()
-
-
 def settled(df: DataFrame, *spent: Broadcast) -> DataFrame:
     """The same rows, read from the shared checkpoint folder; a lost executor costs no recomputation.
 

@@ -5,7 +5,8 @@ source, so an ingest writes the buckets of its own sources only, and inside a bu
 a hash of the trigram and in its order, so a search reads its terms' parts only, and
 skips the row groups whose trigrams are others.  A term
 occurs where all its trigrams stand one behind the other, which its postings tell
-without the text.  What BM25 needs besides, the number of chunks and the sum of their
+without the text.  Places are kept as the steps from one to the next, in bytes of
+seven bits.  What BM25 needs besides, the number of chunks and the sum of their
 lengths, is a fact of the store's version, kept by what each change adds and takes.
 """
 
@@ -21,16 +22,16 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomstone.operators.search import K1, B
-from loomstone.session import findable
+from loomstone.session import collected, findable
 from loomstone.sources.store import Change, Keyed, Store, settled
 
 #: The key of a chunk's source inside its uid.
 TAG = "substring(uid, 1, 12)"
 SPLITS = 8
-POSTINGS = Keyed("postings", "gram long, uid string, dl int, at array<int>", TAG, split=f"pmod(xxhash64(gram), {SPLITS})")
+POSTINGS = Keyed("postings", "gram long, uid string, dl int, at binary", TAG, split=f"pmod(xxhash64(gram), {SPLITS})")
 #: Empty places between the content and the path, so that no term runs from one into the other.
 GAP = 3
-#: How many chunks one task indexes, and up to how many changed sources go to all tasks.
+#: How many chunks one task indexes, and up to how many changed sources go to all tasks at once.
 PER_PART, FEW = 2048, 1 << 20
 
 
@@ -64,6 +65,43 @@ def _grams(texts: pa.Array, paths: pa.Array) -> tuple[np.ndarray, np.ndarray, np
     return owner[first], gram[first], np.append(first, len(gram)), place
 
 
+def _packed(place: np.ndarray, starts: np.ndarray) -> pa.Array:
+    """Lists of rising places, which begin at ``starts``, as bytes: the first place and the steps, seven bits a byte, the low ones first."""
+    x = np.diff(place, prepend=0)
+    x[starts[:-1]] = place[starts[:-1]]
+    n = 1 + sum((x >= 1 << s).astype(np.int64) for s in (7, 14, 21, 28))
+    end = np.r_[0, np.cumsum(n)]
+    out = np.zeros(end[-1], np.uint8)
+    for k in range(5):
+        has = n > k
+        out[end[:-1][has] + k] = x[has] >> 7 * k & 127 | np.where(n[has] > k + 1, 128, 0)
+    return pa.Array.from_buffers(pa.binary(), len(starts) - 1, [None, pa.py_buffer(end[starts].astype(np.int32)), pa.py_buffer(out)])
+
+
+def _unpacked(at: pa.Array) -> pa.Array:
+    """The lists of places of _packed()."""
+    off = np.frombuffer(at.buffers()[1], np.int32)[at.offset : at.offset + len(at) + 1].astype(np.int64)
+    b = np.frombuffer(at.buffers()[2] or b"", np.uint8)[off[0] : off[-1]].astype(np.int64)
+    last = np.flatnonzero(b < 128)
+    first = np.r_[0, last[:-1] + 1][: len(last)]
+    shift = 7 * (np.arange(len(b)) - np.repeat(first, last - first + 1))
+    step = np.add.reduceat((b & 127) << shift, first) if len(b) else b
+    row = np.searchsorted(last, off - off[0])  # numbers before each row
+    total = np.r_[0, np.cumsum(step)]
+    return pa.ListArray.from_arrays(pa.array(row, pa.int32()), pa.array(total[1:] - np.repeat(total[row[:-1]], np.diff(row)), pa.int32()))
+
+
+def placed(rows: DataFrame) -> DataFrame:
+    """Rows of postings, with whatever columns, whose ``at`` is a list of places."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([_unpacked(c) if n == "at" else c for n, c in zip(b.schema.names, b.columns, strict=True)], b.schema.names)
+
+    findable(rows.sparkSession)
+    return rows.mapInArrow(run, ", ".join(f"{n} {'array<int>' if n == 'at' else kind}" for n, kind in rows.dtypes))
+
+
 def postings(chunks: DataFrame) -> DataFrame:
     """(gram, uid, dl, at) of chunks (uid, content, source_path); a chunk is a row of its own task's batch, nothing is shuffled."""
 
@@ -72,7 +110,7 @@ def postings(chunks: DataFrame) -> DataFrame:
             for batch in (whole.slice(k, 256) for k in range(0, whole.num_rows, 256)):
                 row, gram, starts, place = _grams(batch.column(1), batch.column(2))
                 if len(row):
-                    yield pa.RecordBatch.from_arrays([pa.array(gram), batch.column(0).take(pa.array(row)), batch.column(3).take(pa.array(row)), pa.ListArray.from_arrays(pa.array(starts, pa.int32()), pa.array(place, pa.int32()))], ["gram", "uid", "dl", "at"])
+                    yield pa.RecordBatch.from_arrays([pa.array(gram), batch.column(0).take(pa.array(row)), batch.column(3).take(pa.array(row)), _packed(place, starts)], ["gram", "uid", "dl", "at"])
 
     findable(chunks.sparkSession)
     return chunks.select("uid", F.lower("content").alias("c"), F.lower("source_path").alias("p"), length(F.col("content"), F.col("source_path")).alias("dl")).mapInArrow(run, POSTINGS.schema)
@@ -94,18 +132,26 @@ def _by_bucket(chunks: DataFrame, n: int) -> DataFrame:
 def indexed(change: Change, table: Keyed, new: DataFrame | None, gone: DataFrame | None) -> list[int]:
     """Chunks, their postings and the facts after a change: the sources of ``new`` and the tags of ``gone`` lose what they had, then new's are added.
 
-    Postings are not shuffled: new ones come from chunks dealt by bucket, old ones lie so.
+    Texts of ``new`` are dealt by bucket once, and postings are never shuffled: new ones come from those texts, old
+    ones lie so, and the keys go to all tasks, for some buckets at a time if they are many.
     """
     keys = [x for x in (new.select(F.expr(TAG).alias("k")) if new is not None else None, gone.select(F.col(gone.columns[0]).alias("k")) if gone is not None else None) if x is not None]
     keys = settled((keys[0].unionByName(keys[1]) if len(keys) > 1 else keys[0]).distinct())
-    keys = F.broadcast(keys) if keys.count() <= FEW else keys
-    touched = change.touched(table, keys)
-    before = facts(change.read(table, touched), keys)
+    new = settled(_by_bucket(new, new.count())) if new is not None else None
     after = facts(new) if new is not None else {"chunks": 0, "length": 0}
+    if after["chunks"] > PER_PART:
+        collected(change.store.spark)  # what dealt the texts is as large as they are
     had = {**{"chunks": 0, "length": 0}, **change.base["facts"], **change.facts}
-    change.facts |= {k: had[k] - before[k] + after[k] for k in before}
-    change.replace(POSTINGS, None if new is None else postings(_by_bucket(new, after["chunks"])), keys, touched if POSTINGS.buckets == table.buckets else None, keys, True)
-    return change.replace(table, new, keys, touched, keys)
+    alike = (POSTINGS.buckets, POSTINGS.key) == (table.buckets, table.key)
+    runs = change.runs(table, keys, FEW)
+    for buckets, mine in runs:
+        before = facts(change.read(table, buckets), mine)
+        had = {k: had[k] - before[k] for k in before}
+        part = new if new is None or len(runs) == 1 else new.where(table.bucket(F.expr(table.key)).isin(buckets))
+        change.replace(POSTINGS, None if part is None else postings(part), mine, buckets if alike else None, mine, True)
+        change.replace(table, part, mine, buckets, mine, alike)
+    change.facts |= {k: had[k] + after[k] for k in after}
+    return sorted(b for buckets, _ in runs for b in buckets)
 
 
 def matches(store: Store, terms: list[str], version: int | None = None) -> DataFrame:
@@ -118,7 +164,7 @@ def matches(store: Store, terms: list[str], version: int | None = None) -> DataF
     wanted = spark.createDataFrame(pieces, "term string, gram long, k int, m int")  # as long as the query
     splits = [r[0] for r in wanted.select(F.expr(POSTINGS.split)).distinct().collect()]
     found = store.read(POSTINGS, version).where(F.col("split").isin(splits) & F.col("gram").isin(grams)).join(F.broadcast(wanted), "gram")
-    starts = found.select("term", "uid", "dl", "m", F.transform("at", lambda p: p - F.col("k")).alias("at"))
+    starts = placed(found.select("term", "uid", "dl", "k", "m", "at")).select("term", "uid", "dl", "m", F.transform("at", lambda p: p - F.col("k")).alias("at"))
     # a chunk counts where it has all trigrams of a term, at places that fit
     whole = starts.groupBy("term", "uid", "dl", "m").agg(F.collect_list("at").alias("all")).where(F.size("all") == F.col("m"))
     tf = F.size(F.aggregate(F.slice("all", F.lit(2), F.size("all")), F.element_at("all", 1), lambda a, b: F.array_intersect(a, b)))
@@ -164,7 +210,7 @@ def search_many(store: Store, queries: DataFrame, top: int, version: int | None
     asked = queries.select("id", F.explode(words).alias("term")).where("length(term) >= 3").groupBy("id", "term").agg(F.count("*").alias("often"))
     asked = settled(asked)
     found = store.read(POSTINGS, version).join(_terms(asked), "gram")
-    whole = found.select("term", "uid", "dl", "m", F.transform("at", lambda p: p - F.col("k")).alias("at")).groupBy("term", "uid", "dl", "m").agg(F.collect_list("at").alias("all")).where(F.size("all") == F.col("m"))
+    whole = placed(found.select("term", "uid", "dl", "k", "m", "at")).select("term", "uid", "dl", "m", F.transform("at", lambda p: p - F.col("k")).alias("at")).groupBy("term", "uid", "dl", "m").agg(F.collect_list("at").alias("all")).where(F.size("all") == F.col("m"))
     tf = F.size(F.aggregate(F.slice("all", F.lit(2), F.size("all")), F.element_at("all", 1), lambda a, b: F.array_intersect(a, b)))
     rows = settled(whole.select("term", "uid", "dl", tf.alias("tf")).where("tf > 0"))
     idf = F.log((F.lit(n) - F.col("df") + 0.5) / (F.col("df") + 0.5))

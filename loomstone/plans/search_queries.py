@@ -153,11 +153,12 @@ def indexed_search(spark: SparkSession, sf: str) -> DataFrame:
     for state in _states(spark, sf):
         index = spark.createDataFrame([], "source_path string, file_hash string") if had is None else had.select("source_path", F.md5(F.col("content").cast("binary")).alias("file_hash"))
         found = settled(relations.change_set(index, _pages_of(state), state.limit(0)))
-        new = settled(state.join(found.where("action <> 'gone'").select(F.col("key").alias("source_path")), "source_path"))
+        new = state.join(found.where("action <> 'gone'").select(F.col("key").alias("source_path")), "source_path")
         gone = had.join(found.select(F.col("key").alias("source_path")), "source_path").select(F.expr(postings.TAG).alias("k")) if had is not None else None
         change = store.change()
         postings.indexed(change, _CHUNKS, new, gone)
         change.commit()
+        store.expire(1)  # nobody reads the state before
         had = store.read(_CHUNKS)
     return postings.search(store, TERMS, 10).select("uid", _r("score").alias("score"))
 

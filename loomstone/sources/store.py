@@ -158,7 +158,7 @@ class Change:
         by = ["bucket"] + (["split"] if table.split else [])
         out = rows.select(*table.columns, table.bucket(F.expr(table.key)).alias("bucket"), *([F.expr(table.split).cast("int").alias("split")] if table.split else []))
         out = out if dealt else out.hint("rebalance", *by)
-        out.sortWithinPartitions(*by, table.columns[0]).write.partitionBy(*by).parquet(f"{self.store.root}/{table.name}/ver={ver}")
+        out.sortWithinPartitions(*by, table.columns[0]).write.partitionBy(*by).option("compression", "zstd").parquet(f"{self.store.root}/{table.name}/ver={ver}")
         return {n[7:]: ver for n in self.store._names(f"{table.name}/ver={ver}") if n.startswith("bucket=")}
 
     def write(self, table: Keyed, rows: DataFrame) -> None:
@@ -172,6 +172,18 @@ class Change:
         """The buckets that keys (k) lie in; as many as there are buckets at most."""
         return sorted(r[0] for r in keys.select(table.bucket(F.col("k"))).distinct().collect())
 
+    def runs(self, table: Keyed, keys: DataFrame, few: int) -> list[tuple[list[int], DataFrame]]:
+        """The buckets that keys (k) lie in, so many together that their keys can go to all tasks, with those keys; a bucket with more of its own stands alone, and its rows are shuffled to meet them."""
+        b = table.bucket(F.col("k"))
+        out: list[tuple[list[int], int]] = []
+        for bucket, n in sorted(map(tuple, keys.groupBy(b.alias("b")).count().collect())):  # as many as there are buckets
+            if out and out[-1][1] + n <= few:
+                out[-1] = (out[-1][0] + [bucket], out[-1][1] + n)
+            else:
+                out.append(([bucket], n))
+        mine = lambda buckets: keys if len(out) == 1 else keys.where(b.isin(buckets))
+        return [(buckets, F.broadcast(mine(buckets)) if n <= few else mine(buckets)) for buckets, n in out]
+
     def replace(self, table: Keyed, new: DataFrame | None, gone: DataFrame | None = None, touched: list[int] | None = None, keys: DataFrame | None = None, dealt: bool = False) -> list[int]:
         """K1, K2: the keys of ``new`` and of ``gone`` (one column) lose their rows, then new's are added. Returns the buckets that are written again.
 

@@ -2,6 +2,7 @@
 
 import random
 
+import numpy as np
 from pyspark.sql import Row
 from pyspark.sql import functions as F
 
@@ -131,3 +132,41 @@ def test_a_batch_of_commands_asks_the_state_for_each_file_once():
     assert one == many and first.at == second.at
     assert {k: list(v) for k, v in first.held.items()}.keys() == second.held.keys() and all(first.held[k] == second.held[k] for k in first.held)
     assert first.asked <= 4 * 20
+
+
+def test_postings_meet_many_keys_without_a_shuffle(spark, tmp_path, monkeypatch):
+    """More changed sources than go to all tasks at once: some buckets at a time."""
+    plans_, write = [], Change._write
+    monkeypatch.setattr(postings, "FEW", 8)
+    monkeypatch.setattr(Change, "_write", lambda self, table, rows, *more: plans_.append((table.name, rows._jdf.queryExecution().executedPlan().toString())) or write(self, table, rows, *more))
+    store = Store(spark, str(tmp_path / "index"))
+    texts = {f"raw/{k:02d}.txt": f"{k} thatin " * (k % 3 + 1) for k in range(40)}
+    chunks = lambda texts: spark.createDataFrame([(f"{path[4:6]:>012}_0", t, path) for path, t in texts.items()], "uid string, content string, source_path string")
+    gone = [f"raw/{k:02d}.txt" for k in range(0, 40, 4)]
+    for new, dead in ((texts, []), (fresh := {p: t + "thatin" for p, t in texts.items() if p[5] in "137"}, gone)):
+        change = store.change()
+        postings.indexed(change, search_queries._CHUNKS, chunks(new), spark.createDataFrame([(f"{p[4:6]:>012}",) for p in dead], "k string"))
+        change.commit()
+    written = [p for name, p in plans_ if name == "postings"]
+    assert len(written) > 4 and not any("SortMergeJoin" in p or "hashpartitioning" in p for p in written)
+    want = {f"{p[4:6]:>012}_0": t.count("thatin") for p, t in {**{p: t for p, t in texts.items() if p not in gone}, **fresh}.items()}
+    assert {r.uid: r.tf for r in postings.matches(store, ["thatin"]).collect()} == want
+    assert store.manifest()["facts"] == postings.facts(store.read(search_queries._CHUNKS)) and store.manifest()["facts"]["chunks"] == len(want)
+
+
+def test_indexed_search_keeps_one_state_on_disk(spark, data, tmp_path, monkeypatch):
+    monkeypatch.setattr(search_queries, "place", lambda spark, name: str(tmp_path / name))
+    got = [r.uid for r in catalogue.QUERIES["indexed_search"](spark, data).collect()]
+    store = Store(spark, str(tmp_path / "index"))
+    assert len(got) == 10 and store.versions() == [3]
+    for table, at in store.manifest()["tables"].items():
+        assert {f"ver={v}" for v in at.values()} == set(store._names(table))
+
+
+def test_places_are_kept_in_few_bytes(spark):
+    r = random.Random(6)
+    lists = [sorted({r.randrange(1 << r.choice((3, 8, 15, 22, 31))) for _ in range(r.choice((1, 2, 30)))}) for _ in range(300)] + [[0], [0, 1 << 30], [127, 254], [128, 256]]
+    starts = np.cumsum([0, *map(len, lists)])
+    packed = postings._packed(np.array([x for one in lists for x in one]), starts)
+    assert postings._unpacked(packed).to_pylist() == lists and postings._unpacked(packed.slice(7, 90)).to_pylist() == lists[7:97] and postings._unpacked(packed.slice(3, 0)).to_pylist() == []
+    assert postings._packed(np.arange(0, 100_000, 90), np.array([0, 1112])).nbytes < 1112 + 16
