@@ -28,7 +28,7 @@ from loomstone.sources.store import Change, Keyed, Store, settled
 #: The key of a chunk's source inside its uid.
 TAG = "substring(uid, 1, 12)"
 SPLITS = 8
-POSTINGS = Keyed("postings", "gram long, uid string, dl int, at binary", TAG, split=f"pmod(xxhash64(gram), {SPLITS})")
+POSTINGS = Keyed("postings", "gram long, uid string, dl int, at binary", TAG, split=f"(gram ^ shiftright(gram, 21) ^ shiftright(gram, 42)) & {SPLITS - 1}")
 #: Empty places between the content and the path, so that no term runs from one into the other.
 GAP = 3
 #: How many chunks one task indexes, and up to how many changed sources go to all tasks at once.
@@ -46,25 +46,52 @@ def length(content: Column, path: Column) -> Column:
     return F.greatest(F.length(content) - 2, F.lit(0)) + F.greatest(F.length(path) - 2, F.lit(0))
 
 
-def _grams(texts: pa.Array, paths: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(row, trigram, first place, number of places) of each posting, in order of row and trigram, and all places."""
+def _grams(texts: pa.Array, paths: pa.Array, buckets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(row, trigram, first place, number of places) of each posting, in the order in which they are stored: of bucket, split and trigram, then row; and all places."""
     parts, owner, place = [], [], []
     for k, (text, path) in enumerate(zip(texts.to_pylist(), paths.to_pylist(), strict=True)):
         for t, start in ((text or "", 0), (path or "", len(text or "") + GAP)):
-            c = np.frombuffer(t.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
+            c = np.frombuffer(t.encode("utf-32-le", "surrogatepass"), np.uint32)
             if len(c) > 2:
-                parts.append(c[:-2] << 42 | c[1:-1] << 21 | c[2:])
-                owner.append(np.full(len(c) - 2, k))
-                place.append(np.arange(start, start + len(c) - 2))
+                parts.append(c)
+                owner.append(k)
+                place.append(start)
     if not parts:
         return (np.zeros(0, np.int64),) * 4
-    gram, owner, place = np.concatenate(parts), np.concatenate(owner), np.concatenate(place)
-    order = np.lexsort((place, gram, owner))
-    gram, owner, place = gram[order], owner[order], place[order]
+    size = np.array([len(c) - 2 for c in parts])
+    chars, mine = np.unique(np.concatenate(parts), return_inverse=True) if sum(map(len, parts)) < 1 << 12 else _numbered(np.concatenate(parts))
+    at = np.arange(size.sum()) + np.repeat(2 * np.arange(len(size)), size)  # where trigrams begin
+    owner, place = np.repeat(owner, size), np.arange(size.sum()) + np.repeat(np.array(place) - np.cumsum(size) + size, size)
+    code = chars.astype(np.int64)
+    split = code & SPLITS - 1
+    split = split[mine[at]] ^ split[mine[at + 1]] ^ split[mine[at + 2]]
+    fields = [buckets[owner], split, mine[at], mine[at + 1], mine[at + 2], owner, place]
+    widths = [int(f.max()).bit_length() for f in fields]
+    if sum(widths) < 64:  # all of a posting as one number
+        x = np.zeros(len(at), np.int64)
+        for f, w in zip(fields, widths, strict=True):
+            x = x << w | f
+        x.sort()
+        fields = []
+        for w in reversed(widths):
+            fields.append(x & (1 << w) - 1)
+            x = x >> w
+        place, owner, third, second, one = fields[:5]
+    else:
+        order = np.lexsort(fields[::-1])
+        one, second, third, owner, place = (f[order] for f in fields[2:])
+    gram = code[one] << 42 | code[second] << 21 | code[third]
     first = np.flatnonzero((np.diff(gram, prepend=-1) != 0) | (np.diff(owner, prepend=-1) != 0))
     return owner[first], gram[first], np.append(first, len(gram)), place
 
 
+def _numbered(c: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """np.unique() of many code points, with the inverse."""
+    there = np.zeros(int(c.max()) + 1, bool)
+    there[c] = True
+    return np.flatnonzero(there), (np.cumsum(there) - 1)[c]
+
+
 def _packed(place: np.ndarray, starts: np.ndarray) -> pa.Array:
     """Lists of rising places, which begin at ``starts``, as bytes: the first place and the steps, seven bits a byte, the low ones first."""
     x = np.diff(place, prepend=0)
@@ -108,12 +135,12 @@ def postings(chunks: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in (whole.slice(k, 256) for k in range(0, whole.num_rows, 256)):
-                row, gram, starts, place = _grams(batch.column(1), batch.column(2))
+                row, gram, starts, place = _grams(batch.column(1), batch.column(2), batch.column(4).to_numpy())
                 if len(row):
                     yield pa.RecordBatch.from_arrays([pa.array(gram), batch.column(0).take(pa.array(row)), batch.column(3).take(pa.array(row)), _packed(place, starts)], ["gram", "uid", "dl", "at"])
 
     findable(chunks.sparkSession)
-    return chunks.select("uid", F.lower("content").alias("c"), F.lower("source_path").alias("p"), length(F.col("content"), F.col("source_path")).alias("dl")).mapInArrow(run, POSTINGS.schema)
+    return chunks.select("uid", F.lower("content").alias("c"), F.lower("source_path").alias("p"), length(F.col("content"), F.col("source_path")).alias("dl"), POSTINGS.bucket(F.expr(TAG)).alias("b")).mapInArrow(run, POSTINGS.schema)
 
 
 def facts(chunks: DataFrame, keys: DataFrame | None = None) -> dict[str, int]:

@@ -170,3 +170,20 @@ def test_places_are_kept_in_few_bytes(spark):
     packed = postings._packed(np.array([x for one in lists for x in one]), starts)
     assert postings._unpacked(packed).to_pylist() == lists and postings._unpacked(packed.slice(7, 90)).to_pylist() == lists[7:97] and postings._unpacked(packed.slice(3, 0)).to_pylist() == []
     assert postings._packed(np.arange(0, 100_000, 90), np.array([0, 1112])).nbytes < 1112 + 16
+
+
+def test_postings_come_in_the_order_they_are_stored_in(spark):
+    """Of ordinary texts, and of one whose places and characters do not fit one number."""
+    wide = "".join(map(chr, range(0x4E00, 0x9000))) * 30
+    for texts in (["thatin thatin 甲醛 😀b", "ab", "", None, "zz thatin"] * 20, [wide, wide[:50], "a😀b"]):
+        rows = [(f"{k:012d}_0", t, f"raw/{k}.txt") for k, t in enumerate(texts)]
+        made = postings.postings(spark.createDataFrame(rows, "uid string, content string, source_path string").coalesce(1))
+        p = postings.POSTINGS
+        got = [tuple(r) for r in postings.placed(made).select(p.bucket(F.expr(p.key)), F.expr(p.split), "gram", "uid", "at").collect()]
+        assert [r[:4] for r in got] == sorted(r[:4] for r in got)
+        want = {}
+        for uid, t, path in rows:
+            for s, start in ((t or "", 0), (path, len(t or "") + postings.GAP)):
+                for k in range(len(s) - 2):
+                    want.setdefault((postings.code(s[k : k + 3]), uid), []).append(start + k)
+        assert {(g, uid): at for _, _, g, uid, at in got} == want
